@@ -125,7 +125,7 @@ def attenuation(distance, config: Config = DEFAULT) -> Column:
 
 
 def intensity_at(intensity, distance, config: Config = DEFAULT) -> Column:
-    return (col(intensity).cast("double") / attenuation(distance, config)).cast("decimal(4,2)")
+    return (col(intensity).cast("double") / attenuation(distance, config)).cast("decimal(9,2)")
 
 
 def whole_years(start, end) -> Column:
@@ -162,8 +162,9 @@ def seniority_reason(seniority, result) -> Column:
 
 def percent_change(new, old) -> Column:
     """new relative to old in percent, one decimal; NULL when old is zero."""
-    ratio = F.try_divide(col(new).cast("double"), col(old).cast("double"))
-    return F.round(ratio * 100 - 100, 1).cast("decimal(20,1)")
+    new, old = (col(c).cast("decimal(18,1)") for c in (new, old))
+    share = F.try_divide((new - old) * F.lit(100).cast("decimal(3,0)"), old)
+    return F.round(share, 1).cast("decimal(20,1)")
 
 
 def first_reason(*checks: tuple[Column, str]) -> Column:

@@ -8,7 +8,7 @@ still worked on by many tasks.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -212,3 +212,65 @@ def settle(candidates: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> Da
         if judged.filter(moved).isEmpty():
             return judged.drop("previous")
         current = judged.drop("previous").withColumnRenamed("reason", "previous")
+
+
+def following_min(
+    df: DataFrame,
+    keys: Sequence[str],
+    chunks: Sequence[str],
+    order: Sequence[str],
+    values: Mapping[str, str],
+) -> DataFrame:
+    """Smallest value from the current row on, per key, for several `out: value` pairs."""
+    part = [*keys, *chunks]
+    after = (
+        Window.partitionBy(*keys).orderBy(*chunks).rowsBetween(1, Window.unboundedFollowing)
+    )
+    within = (
+        Window.partitionBy(*part).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    )
+    names = list(values)
+    offsets = (
+        df.groupBy(*part)
+        .agg(*(F.min(values[n]).alias(f"_min_{n}") for n in names))
+        .select(*part, *(F.min(f"_min_{n}").over(after).alias(f"_after_{n}") for n in names))
+    )
+    out = df.join(offsets, part)
+    for n in names:
+        out = out.withColumn(n, F.least(F.min(values[n]).over(within), F.col(f"_after_{n}")))
+    return out.drop(*(f"_after_{n}" for n in names))
+
+
+def match_ranges(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str
+) -> DataFrame:
+    """Overlaps of two runs of adjacent ranges per key.
+
+    Each side has the keys, its id column (any type) and `upto`, the end of its
+    range; a range starts where the previous one of its side ends, the first at 0.
+    All ends are merged and sorted: every piece between neighbouring ends lies in
+    one range of each side. No pairs are formed, so the work grows with the sum of
+    both sides. Returns keys, both ids and `amount`.
+    """
+    ids = {"left": F.struct("upto", left_id), "right": F.struct("upto", right_id)}
+    ends = left.select(
+        *keys, "upto", F.lit(0).alias("_side"), ids["left"].alias("_l")
+    ).unionByName(
+        right.select(*keys, "upto", F.lit(1).alias("_side"), ids["right"].alias("_r")),
+        allowMissingColumns=True,
+    )
+    ends = ends.withColumn("_chunk", seq_chunk("upto"))
+    chunked = (list(keys), ["_chunk"], ["upto", "_side"])
+    ahead = following_min(ends, *chunked, {"_left": "_l", "_right": "_r"})
+    pieces = previous_max(ahead, *chunked, "upto", "_from")
+    amount = F.col("upto") - F.coalesce("_from", F.lit(0))
+    return (
+        pieces.withColumn("amount", amount)
+        .filter((F.col("amount") > 0) & F.col("_left").isNotNull() & F.col("_right").isNotNull())
+        .select(
+            *keys,
+            F.col(f"_left.{left_id}").alias(left_id),
+            F.col(f"_right.{right_id}").alias(right_id),
+            "amount",
+        )
+    )

@@ -12,7 +12,7 @@ from stonewatch.config import ACCEL, CRACK, GYRO, HYGRO, RAIN, THERMO
 
 # Fixed values of the mapping: kind and alert threshold by position in a building.
 KIND_BY_SLOT = (THERMO, CRACK, RAIN, HYGRO, ACCEL, GYRO)
-THRESHOLD_BY_SLOT = (60, 150, 90, 70, 380, 420)
+THRESHOLD_BY_SLOT = (55, 55, 55, 53, 330, 340)
 
 CALC_DATE = "2024-01-31"
 TODAY = "2002-01-01"
@@ -117,8 +117,8 @@ _PLAIN: dict[str, tuple[str, list[str], list[str] | None]] = {
         [
             "c_custkey AS id",
             "concat('A', c_nationkey) AS area",
-            "CAST((c_custkey * 37 % 1600) / 10 - 80 AS DECIMAL(9,6)) AS lat",
-            "CAST((c_custkey * 91 % 3400) / 10 - 170 AS DECIMAL(9,6)) AS lon",
+            "CAST((c_custkey * 37 % 1600) / 1000 - 0.8 AS DECIMAL(9,6)) AS lat",
+            "CAST((c_custkey * 91 % 3400) / 1000 - 1.7 AS DECIMAL(9,6)) AS lon",
             "c_mktsegment AS kind",
         ],
         None,
@@ -127,15 +127,15 @@ _PLAIN: dict[str, tuple[str, list[str], list[str] | None]] = {
         "region",
         [
             "timestampadd(MINUTE, r_regionkey + 1, TIMESTAMP_NTZ '2024-01-31 00:00:00') AS ts",
-            "CAST(r_regionkey * 10 AS DECIMAL(9,6)) AS lat",
-            "CAST(r_regionkey * 15 AS DECIMAL(9,6)) AS lon",
+            "CAST(r_regionkey / 10 AS DECIMAL(9,6)) AS lat",
+            "CAST(r_regionkey / 5 AS DECIMAL(9,6)) AS lon",
             "'Terremoto' AS kind",
             "CAST(NULL AS DECIMAL(4,2)) AS intensity",
         ],
         [
             "TIMESTAMP '2024-01-31 00:00:00' + to_minutes(r_regionkey + 1) AS ts",
-            "CAST(r_regionkey * 10 AS DECIMAL(9,6)) AS lat",
-            "CAST(r_regionkey * 15 AS DECIMAL(9,6)) AS lon",
+            "CAST(r_regionkey / 10 AS DECIMAL(9,6)) AS lat",
+            "CAST(r_regionkey / 5 AS DECIMAL(9,6)) AS lon",
             "'Terremoto' AS kind",
             "CAST(NULL AS DECIMAL(4,2)) AS intensity",
         ],
@@ -384,4 +384,4 @@ def with_roles(*names: str, **more: str) -> str:
         ordered.insert(0, "plot")
     parts = [f"{n} AS ({ROLE_SQL[n]})" for n in ordered]
     parts += [f"{n} AS ({text})" for n, text in more.items()]
-    return "WITH " + ", ".join(parts) + " "
+    return "WITH RECURSIVE " + ", ".join(parts) + " "

@@ -167,32 +167,32 @@ def greedy_accept(
     all within the room left. `demand` is non-negative.
     """
     keys = list(keys)
-    open_rows = requests.join(capacity.select(*keys, F.col("room").alias("_room")), keys, "left")
-    open_rows = open_rows.withColumn("_room", F.coalesce("_room", F.lit(0)))
+    open_rows = requests.join(capacity.select(*keys, F.col("room").alias("_g_room")), keys, "left")
+    open_rows = open_rows.withColumn("_g_room", F.coalesce("_g_room", F.lit(0)))
     decided: DataFrame | None = None
     while True:
         run = running_sum(
-            open_rows.withColumn("_chunk", seq_chunk(seq)), keys, ["_chunk"], [seq], demand, "_cum"
+            open_rows.withColumn("_chunk", seq_chunk(seq)), keys, ["_chunk"], [seq], demand, "_g_cum"
         ).drop("_chunk")
-        fits = F.col("_cum") <= F.col("_room")
+        fits = F.col("_g_cum") <= F.col("_g_room")
         used = run.groupBy(*keys).agg(
-            F.coalesce(F.max(F.when(fits, F.col("_cum"))), F.lit(0)).alias("_used")
+            F.coalesce(F.max(F.when(fits, F.col("_g_cum"))), F.lit(0)).alias("_g_used")
         )
         judged = cut_lineage(
             run.join(used, keys)
-            .withColumn("_left", F.col("_room") - F.col("_used"))
-            .withColumn("accepted", F.when(fits, True).when(F.col(demand) > F.col("_left"), False))
+            .withColumn("_g_left", F.col("_g_room") - F.col("_g_used"))
+            .withColumn("accepted", F.when(fits, True).when(F.col(demand) > F.col("_g_left"), False))
             .withColumn(
                 "room_left",
-                F.when(fits, F.col("_room") - F.col("_cum") + F.col(demand)).otherwise(F.col("_left")),
+                F.when(fits, F.col("_g_room") - F.col("_g_cum") + F.col(demand)).otherwise(F.col("_g_left")),
             )
         )
-        done = judged.filter(F.col("accepted").isNotNull()).drop("_room", "_cum", "_used", "_left")
+        done = judged.filter(F.col("accepted").isNotNull()).drop("_g_room", "_g_cum", "_g_used", "_g_left")
         decided = done if decided is None else decided.unionByName(done)
         rest = judged.filter(F.col("accepted").isNull())
         if rest.isEmpty():
             return decided
-        open_rows = rest.select(*requests.columns, F.col("_left").alias("_room"))
+        open_rows = rest.select(*requests.columns, F.col("_g_left").alias("_g_room"))
 
 
 def settle(candidates: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -19,6 +19,7 @@ from stonewatch.functions.exprs import (
     threshold_exceeded,
 )
 from stonewatch.functions.grouped import top_percent_mean
+from stonewatch.operators.geometry import metre_columns
 
 Span = tuple[Column, Column]
 
@@ -113,10 +114,15 @@ def wall_of_sensor(sensors: DataFrame, walls: DataFrame) -> DataFrame:
 
     One row per sensor that is on a wall; the lowest wall id when on several.
     """
-    s = sensors.select(F.col("id").alias("sensor_id"), "building_id", "floor", "x", "y")
-    w = walls.select(F.col("id").alias("wall_id"), "building_id", "floor", "x1", "y1", "x2", "y2")
+    s = sensors.select(
+        F.col("id").alias("sensor_id"), "building_id", "floor", "x", "y", F.floor("x").cast("int").alias("_column")
+    )
+    w = walls.select(
+        F.col("id").alias("wall_id"), "building_id", "floor", "x1", "y1", "x2", "y2",
+        metre_columns("x1", "x2").alias("_column"),
+    )
     return (
-        s.join(w, ["building_id", "floor"])
+        s.join(w, ["building_id", "floor", "_column"])
         .filter(
             F.col("x").between(F.least("x1", "x2"), F.greatest("x1", "x2"))
             & F.col("y").between(F.least("y1", "y2"), F.greatest("y1", "y2"))

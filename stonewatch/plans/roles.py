@@ -335,8 +335,14 @@ MODEST = "floor(SUM(l_quantity) * 0.4)"
 GREEDY = "floor(SUM(l_quantity) * (5 + 2 * l_linenumber) / 10)"
 MATERIAL_SQL = "SELECT p_partkey {div} 4 AS id, MIN(p_name) AS name FROM part GROUP BY 1"
 
+# The same walls with ten plots drawn over each other on each floor.
+CROWDED_SQL = " UNION ALL ".join(
+    _segment(*w).replace("building_id", "building_id {div} 10 AS building_id") for w in _WALLS
+)
+
 _DERIVED_SPARK = {
     "wall": (["part"], WALL_SQL),
+    "crowded_wall": (["part"], CROWDED_SQL.format(div="div")),
     "opening": (["part"], OPENING_SQL),
     "wall_face": (["part"], FACE_SQL),
     "room": (["part"], ROOM_SQL),
@@ -370,6 +376,7 @@ def _role_sql() -> dict[str, str]:
         out[name] = f"SELECT {', '.join(other or projection)} FROM {source}"
     out.update({name: text for name, (_, text) in _DERIVED_SPARK.items()})
     out["plot"] = plot_sql("//")
+    out["crowded_wall"] = CROWDED_SQL.format(div="//")
     out["material"] = MATERIAL_SQL.format(div="//")
     return out
 

@@ -257,7 +257,8 @@ def shift_validation(r: Roles):
     raw = table(r.spark, r.sf_dir, "lineitem")
     rows = raw.selectExpr(
         "l_linestatus",
-        "l_orderkey * 10000000000 + l_linenumber * 1000000000 + l_partkey AS seq",
+        "l_orderkey * 10000 + l_linenumber * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber"
+        " ORDER BY l_partkey, l_suppkey, l_shipdate, l_quantity) AS seq",
         "l_orderkey % 10 AS stage_id",
         "concat('W', l_suppkey) AS worker_id",
         "concat('W', l_suppkey % 5) AS supervisor_id",

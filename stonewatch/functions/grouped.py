@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1_000_000
@@ -19,12 +19,17 @@ ZERO_BIN = -1_000_000
 MISSING_BIN = -2_000_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a local one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or tempfile.mkdtemp(prefix="stonewatch-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the cluster's shared checkpoint folder."""
+    """Materialise a frame in the shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stonewatch-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -50,14 +55,14 @@ def running_sum(
     before = Window.partitionBy(*keys).orderBy(*chunks).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         df.groupBy(*part)
-        .agg(F.sum(value).alias("_total"))
-        .select(*part, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+        .agg(F.sum(value).alias("_chunk_total"))
+        .select(*part, F.coalesce(F.sum("_chunk_total").over(before), F.lit(0)).alias("_carried"))
     )
     within = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         df.join(offsets, part)
-        .withColumn(out, F.col("_before") + F.sum(value).over(within))
-        .drop("_before")
+        .withColumn(out, F.col("_carried") + F.sum(value).over(within))
+        .drop("_carried")
     )
 
 
@@ -74,14 +79,14 @@ def previous_max(
     before = Window.partitionBy(*keys).orderBy(*chunks).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         df.groupBy(*part)
-        .agg(F.max(value).alias("_max"))
-        .select(*part, F.max("_max").over(before).alias("_before"))
+        .agg(F.max(value).alias("_chunk_max"))
+        .select(*part, F.max("_chunk_max").over(before).alias("_carried"))
     )
     within = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         df.join(offsets, part)
-        .withColumn(out, F.greatest("_before", F.max(value).over(within)))
-        .drop("_before")
+        .withColumn(out, F.greatest("_carried", F.max(value).over(within)))
+        .drop("_carried")
     )
 
 

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from stonewatch.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("sensor_queries", "risk_queries", "work_queries", "floor_queries")
+_MODULES = ("sensor_queries", "risk_queries", "work_queries", "floor_queries", "quality_queries")
 
 
 def _load() -> None:

@@ -357,6 +357,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def projected(name: str, raw: DataFrame) -> DataFrame:
+    """A plain role over its source table, also when that is a stream."""
+    return raw.selectExpr(*_PLAIN[name][1])
+
+
 def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A role as a DataFrame over the tables in `sf_dir`."""
     if name in _PLAIN:

@@ -8,13 +8,13 @@ still worked on by many tasks.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1_000_000
-BINS_PER_OCTAVE = 256
+BINS_PER_OCTAVE = 64
 ZERO_BIN = -1_000_000
 MISSING_BIN = -2_000_000
 
@@ -91,13 +91,13 @@ def previous_max(
 
 
 def magnitude_bin(value: str) -> Column:
-    """Bin of a non-negative number, non-decreasing in it; missing values go lowest."""
+    """Bin of a non-negative number, non-decreasing in it; missing values go lowest.
+
+    Never NULL, so that a join on it adds no test of the whole expression to the scan.
+    """
     fine = F.floor(F.log2(F.col(value)) * BINS_PER_OCTAVE).cast("int")
-    return (
-        F.when(F.col(value).isNull(), F.lit(MISSING_BIN))
-        .when(F.col(value) <= 0, F.lit(ZERO_BIN))
-        .otherwise(fine)
-    )
+    low = F.when(F.col(value) <= 0, F.lit(ZERO_BIN)).otherwise(F.lit(MISSING_BIN))
+    return F.coalesce(fine, low)
 
 
 def top_percent_mean(
@@ -131,7 +131,7 @@ def top_percent_mean(
     marked = (
         bins.withColumn("_upto", F.sum("_n").over(down))
         .withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
-        .withColumn("_k", F.floor(F.col("_all") / 100).cast("long"))
+        .withColumn("_k", F.expr("_all div 100"))
         .withColumn("_over", F.col("_upto") - F.col("_n"))
     )
     whole = marked.filter(F.col("_upto") <= F.col("_k")).select(*keys, "_sum", "_known")
@@ -200,52 +200,50 @@ def greedy_accept(
         open_rows = rest.select(*requests.columns, F.col("_g_left").alias("_g_room"))
 
 
-def settle(candidates: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def settle(
+    candidates: DataFrame,
+    judge: Callable[[DataFrame], DataFrame],
+    groups: Sequence[str] = (),
+    touched: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Judge candidates whose verdicts depend on earlier candidates' verdicts.
 
     `judge` gets the candidates with the verdicts so far (`previous`, NULL =
     accepted) and adds `reason`, looking only at existing rows and at earlier
     candidates whose `previous` is NULL. Rounds repeat until nothing changes. As a
-    verdict depends on strictly earlier candidates only, the settled verdicts are
-    those of adding the candidates one by one. A first round usually settles
+    verdict depends on strictly earlier candidates only, settled verdicts are those
+    of adding the candidates one by one, whatever `previous` is first guessed to be
+    (accepted, unless the candidates bring a guess). A first round usually settles
     nearly all; each further round resolves one more link of a dependency chain.
+
+    When verdicts depend on candidates of the same `groups` only, groups without a
+    change are finished and leave the rounds. Otherwise `touched(moved, judged)` may
+    mark in `todo` the rows that depend on a changed one; `judge` then judges those
+    and repeats `previous` for the rest.
     """
-    current = cut_lineage(candidates.withColumn("previous", F.lit(None).cast("string")))
+    if "previous" not in candidates.columns:
+        candidates = candidates.withColumn("previous", F.lit(None).cast("string"))
+    current = cut_lineage(candidates.withColumn("todo", F.lit(True)))
+    finished: DataFrame | None = None
     while True:
         judged = cut_lineage(judge(current))
-        moved = ~F.col("previous").eqNullSafe(F.col("reason"))
-        if judged.filter(moved).isEmpty():
-            return judged.drop("previous")
+        moved = judged.filter(~F.col("previous").eqNullSafe(F.col("reason")))
+        last = moved.isEmpty()
+        done = judged
+        if groups and not last:
+            live = moved.select(*groups).distinct()
+            done = judged.join(live, list(groups), "left_anti")
+            judged = judged.join(live, list(groups), "left_semi")
+        if groups or last:
+            done = done.drop("previous", "todo")
+            finished = done if finished is None else finished.unionByName(done)
+        if last:
+            return finished
+        if touched is not None:
+            judged = touched(moved, judged)
         current = judged.drop("previous").withColumnRenamed("reason", "previous")
 
 
-def following_min(
-    df: DataFrame,
-    keys: Sequence[str],
-    chunks: Sequence[str],
-    order: Sequence[str],
-    values: Mapping[str, str],
-) -> DataFrame:
-    """Smallest value from the current row on, per key, for several `out: value` pairs."""
-    part = [*keys, *chunks]
-    after = (
-        Window.partitionBy(*keys).orderBy(*chunks).rowsBetween(1, Window.unboundedFollowing)
-    )
-    within = (
-        Window.partitionBy(*part).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    )
-    names = list(values)
-    offsets = (
-        df.groupBy(*part)
-        .agg(*(F.min(values[n]).alias(f"_min_{n}") for n in names))
-        .select(*part, *(F.min(f"_min_{n}").over(after).alias(f"_after_{n}") for n in names))
-    )
-    out = df.join(offsets, part)
-    for n in names:
-        out = out.withColumn(n, F.least(F.min(values[n]).over(within), F.col(f"_after_{n}")))
-    return out.drop(*(f"_after_{n}" for n in names))
-
-
 def match_ranges(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str
 ) -> DataFrame:
@@ -254,28 +252,45 @@ def match_ranges(
     Each side has the keys, its id column (any type) and `upto`, the end of its
     range; a range starts where the previous one of its side ends, the first at 0.
     All ends are merged and sorted: every piece between neighbouring ends lies in
-    one range of each side. No pairs are formed, so the work grows with the sum of
-    both sides. Returns keys, both ids and `amount`.
+    one range of each side, the ones ending next. No pairs are formed, so the work
+    grows with the sum of both sides. Returns keys, both ids and `amount`.
     """
-    ids = {"left": F.struct("upto", left_id), "right": F.struct("upto", right_id)}
-    ends = left.select(
-        *keys, "upto", F.lit(0).alias("_side"), ids["left"].alias("_l")
-    ).unionByName(
-        right.select(*keys, "upto", F.lit(1).alias("_side"), ids["right"].alias("_r")),
-        allowMissingColumns=True,
+    ends = (
+        left.select(*keys, "upto", F.lit(0).alias("_side"), F.struct("upto", left_id).alias("_left"))
+        .unionByName(
+            right.select(*keys, "upto", F.lit(1).alias("_side"), F.struct("upto", right_id).alias("_right")),
+            allowMissingColumns=True,
+        )
+        .withColumn("_chunk", seq_chunk("upto"))
     )
-    ends = ends.withColumn("_chunk", seq_chunk("upto"))
-    chunked = (list(keys), ["_chunk"], ["upto", "_side"])
-    ahead = following_min(ends, *chunked, {"_left": "_l", "_right": "_r"})
-    pieces = previous_max(ahead, *chunked, "upto", "_from")
-    amount = F.col("upto") - F.coalesce("_from", F.lit(0))
-    return (
-        pieces.withColumn("amount", amount)
-        .filter((F.col("amount") > 0) & F.col("_left").isNotNull() & F.col("_right").isNotNull())
+    part = [*keys, "_chunk"]
+    chunks = Window.partitionBy(*keys).orderBy("_chunk")
+    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    later = chunks.rowsBetween(1, Window.unboundedFollowing)
+    around = (
+        ends.groupBy(*part)
+        .agg(F.max("upto").alias("_upto"), F.min("_left").alias("_l"), F.min("_right").alias("_r"))
         .select(
-            *keys,
-            F.col(f"_left.{left_id}").alias(left_id),
-            F.col(f"_right.{right_id}").alias(right_id),
-            "amount",
+            *part,
+            F.max("_upto").over(earlier).alias("_from"),
+            F.min("_l").over(later).alias("_l"),
+            F.min("_r").over(later).alias("_r"),
         )
     )
+    within = Window.partitionBy(*part).orderBy("upto", "_side")
+    behind = within.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = within.rowsBetween(0, Window.unboundedFollowing)
+    pieces = ends.join(around, part).select(
+        *keys,
+        (F.col("upto") - F.coalesce(F.max("upto").over(behind), F.col("_from"), F.lit(0))).alias("amount"),
+        F.least(F.min("_left").over(ahead), F.col("_l")).alias("_left"),
+        F.least(F.min("_right").over(ahead), F.col("_r")).alias("_right"),
+    )
+    return pieces.filter(
+        (F.col("amount") > 0) & F.col("_left").isNotNull() & F.col("_right").isNotNull()
+    ).select(
+        *keys,
+        F.col(f"_left.{left_id}").alias(left_id),
+        F.col(f"_right.{right_id}").alias(right_id),
+        "amount",
+    )

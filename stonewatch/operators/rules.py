@@ -72,7 +72,7 @@ def check_walls(existing: DataFrame, candidates: DataFrame) -> DataFrame:
             .select(*rows.columns, "reason")
         )
 
-    return settle(candidates, judge)
+    return settle(candidates, judge, groups=FLOOR)
 
 
 def check_faces(
@@ -194,7 +194,7 @@ def check_stages(existing: DataFrame, candidates: DataFrame, projects: DataFrame
             ),
         ).drop("_until", "_chunk", "_before")
 
-    return settle(base, judge).select(*candidates.columns, "reason")
+    return settle(base, judge, groups=["project_id"]).select(*candidates.columns, "reason")
 
 
 def check_closings(closings: DataFrame, jobs: DataFrame) -> DataFrame:

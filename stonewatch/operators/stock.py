@@ -124,4 +124,4 @@ def check_requests(requests: DataFrame, lots: DataFrame, uses: DataFrame | None
         marked = rows.join(first, pair, "left").withColumn("_plain", F.coalesce("_alone", again))
         return fit(marked).drop("_first", "_plain")
 
-    return settle(base, judge).drop("_used", "_alone", "stock")
+    return settle(base, judge, groups=["material_id"]).drop("_used", "_alone", "stock")

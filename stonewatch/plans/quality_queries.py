@@ -131,8 +131,8 @@ def dq_candidate_rows(r: Roles):
     return quality.check_rows("risk", old, new.withColumn("seq", F.col("risk_id")), {"area": r.area})
 
 
-# walls come in by side, the last side of every plot first
-WALL_SEQ = "(7 - id % 10) * 1000000000000 + id AS seq"
+# walls come in plot by plot, the inner wall of a plot first
+WALL_SEQ = "id - id % 10 + id % 10 % 6 AS seq"
 
 
 @query(
@@ -140,7 +140,7 @@ WALL_SEQ = "(7 - id % 10) * 1000000000000 + id AS seq"
     "id:l reason:s",
     "crowded_wall",
     "SELECT id, reason FROM walk",
-    sq="SELECT *, ROW_NUMBER() OVER (PARTITION BY building_id, floor ORDER BY (7 - id % 10) * 1000000000000 + id) AS rn,"
+    sq="SELECT *, ROW_NUMBER() OVER (PARTITION BY building_id, floor ORDER BY id - id % 10 + id % 10 % 6) AS rn,"
     " x1 || ',' || y1 AS p1, x2 || ',' || y2 AS p2, least(x1 || ',' || y1, x2 || ',' || y2) || ';' || greatest(x1 || ',' || y1,"
     " x2 || ',' || y2) AS sg FROM crowded_wall",
     walk="SELECT building_id, floor, rn, id, CAST(NULL AS VARCHAR) AS reason, [p1, p2] AS pts, [sg] AS sgs FROM sq WHERE rn = 1"

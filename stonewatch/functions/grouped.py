@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1_000_000
+BROADCAST_ROWS = 1_000_000
 BINS_PER_OCTAVE = 64
 ZERO_BIN = -1_000_000
 MISSING_BIN = -2_000_000
@@ -33,6 +34,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Materialise a narrow frame, count it, and mark it for broadcast only up to `rows`.
+
+    Beyond that the join is left to shuffle both sides.
+    """
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def seq_chunk(seq: str, rows: int = CHUNK_ROWS) -> Column:
     """Chunk number of a running number."""
     return F.floor(F.col(seq) / F.lit(rows)).cast("long")
@@ -109,11 +119,13 @@ def top_percent_mean(
 ) -> DataFrame:
     """Mean of `value(rank_by)` over each key's top 1 % of rows by `rank_by`.
 
-    Exact, without sorting a key's rows in one task: a histogram per key (bounded
-    size, combined map-side) says which bins lie wholly in the top 1 % and which
-    single bin is cut; only that bin's distinct values are ranked. Keys with fewer
-    than 100 rows have an empty top and do not appear. `rank_by` is non-negative;
-    rows where it is NULL count as rows and rank last.
+    Exact, without sorting a key's rows in one task and without shuffling the rows:
+    a first pass makes a histogram per key (bounded size, combined map-side), from
+    which follow the sums of the bins wholly inside the top and the one bin in which
+    it ends; a second pass ranks that bin's distinct values only. The histogram's
+    outcome, one row per key, is materialised to know whether it can be broadcast.
+    Keys with fewer than 100 rows have an empty top and do not appear. `rank_by` is
+    non-negative; rows where it is NULL count as rows and rank last.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(rank_by).alias("_m")).withColumn("_bin", magnitude_bin("_m"))
@@ -123,41 +135,39 @@ def top_percent_mean(
         F.sum(worth).alias("_sum"),
         F.count("_m").alias("_known"),
     )
-    down = (
-        Window.partitionBy(*keys)
-        .orderBy(F.desc("_bin"))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    per_key = Window.partitionBy(*keys)
+    down = per_key.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, 0)
     marked = (
         bins.withColumn("_upto", F.sum("_n").over(down))
-        .withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
-        .withColumn("_k", F.expr("_all div 100"))
+        .withColumn("_k", F.sum("_n").over(per_key))
+        .withColumn("_k", F.expr("_k div 100"))
         .withColumn("_over", F.col("_upto") - F.col("_n"))
+        .filter(F.col("_over") < F.col("_k"))
+    )
+    last = F.col("_upto") >= F.col("_k")
+    edge = marked.groupBy(*keys).agg(
+        F.max(F.when(last, F.col("_bin"))).alias("_bin"),
+        F.max(F.when(last, F.col("_k") - F.col("_over"))).alias("_need"),
+        F.coalesce(F.sum(F.when(~last, F.col("_sum"))), F.lit(0.0)).alias("_whole_sum"),
+        F.coalesce(F.sum(F.when(~last, F.col("_known"))), F.lit(0)).alias("_whole_known"),
     )
-    whole = marked.filter(F.col("_upto") <= F.col("_k")).select(*keys, "_sum", "_known")
-    cut = marked.filter(
-        (F.col("_upto") > F.col("_k"))
-        & (F.col("_over") < F.col("_k"))
-        & (F.col("_bin") > MISSING_BIN)
-    ).select(*keys, "_bin", (F.col("_k") - F.col("_over")).alias("_need"))
+    carried = [*keys, "_need", "_whole_sum", "_whole_known"]
     distinct = (
-        rows.join(cut, [*keys, "_bin"])
-        .groupBy(*keys, "_need", "_m")
+        rows.join(broadcast_if_small(edge), [*keys, "_bin"])
+        .groupBy(*carried, "_m")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = (
-        Window.partitionBy(*keys).orderBy(F.desc("_m")).rowsBetween(Window.unboundedPreceding, 0)
-    )
+    ranked = per_key.orderBy(F.desc_nulls_last("_m")).rowsBetween(Window.unboundedPreceding, 0)
+    take = F.least(F.col("_n"), F.col("_need") - F.col("_over"))
     part = (
         distinct.withColumn("_over", F.sum("_n").over(ranked) - F.col("_n"))
-        .withColumn("_take", F.least(F.col("_n"), F.col("_need") - F.col("_over")))
-        .filter(F.col("_take") > 0)
-        .select(*keys, (worth * F.col("_take")).alias("_sum"), F.col("_take").alias("_known"))
+        .withColumn("_take", F.when(F.col("_m").isNotNull(), F.greatest(take, F.lit(0))).otherwise(0))
+        .withColumn("_worth", F.coalesce(worth * F.col("_take"), F.lit(0.0)))
     )
-    return (
-        whole.unionByName(part)
-        .groupBy(*keys)
-        .agg(F.try_divide(F.sum("_sum"), F.sum("_known")).alias(out))
+    return part.groupBy(*keys).agg(
+        F.try_divide(
+            F.sum("_worth") + F.first("_whole_sum"), F.sum("_take") + F.first("_whole_known")
+        ).alias(out)
     )
 
 

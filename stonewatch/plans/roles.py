@@ -296,12 +296,25 @@ _FACES = [
 ]
 
 
-def _segment(slot, x1, y1, x2, y2, *kind) -> str:
-    ends = ", ".join(
-        f"CAST({v} AS DECIMAL(5,2)) AS {n}" for v, n in ((x1, "x1"), (y1, "y1"), (x2, "x2"), (y2, "y2"))
+def _segment(slot, x1, y1, x2, y2, *kind) -> dict[str, str]:
+    ends = {n: f"CAST({v} AS DECIMAL(5,2))" for n, v in (("x1", x1), ("y1", y1), ("x2", x2), ("y2", y2))}
+    out = {"id": f"p_partkey * 10 + {slot}", "building_id": "building_id", "floor": "floor", **ends}
+    return {**out, "kind": kind[0]} if kind else out
+
+
+def _rows_sql(rows: list[tuple[dict[str, str], str]]) -> str:
+    """Several rows per plot as a union, for plain SQL."""
+    return " UNION ALL ".join(
+        f"SELECT {', '.join(f'{v} AS {n}' for n, v in row.items())} FROM plot WHERE {cond}" for row, cond in rows
+    )
+
+
+def _rows_inline(rows: list[tuple[dict[str, str], str]]) -> str:
+    """The same in one pass over the plots, for Spark."""
+    structs = ", ".join(
+        f"IF({cond}, named_struct({', '.join(f"'{n}', {v}" for n, v in row.items())}), NULL)" for row, cond in rows
     )
-    extra = f", {kind[0]} AS kind" if kind else ""
-    return f"SELECT p_partkey * 10 + {slot} AS id, building_id, floor, {ends}{extra} FROM plot"
+    return f"SELECT inline(array_compact(array({structs}))) FROM plot"
 
 
 def plot_sql(div: str) -> str:
@@ -310,15 +323,19 @@ def plot_sql(div: str) -> str:
     return f"SELECT {cols} FROM part"
 
 
-WALL_SQL = " UNION ALL ".join(_segment(*w) for w in _WALLS)
-OPENING_SQL = " UNION ALL ".join(_segment(*o) for o in _OPENINGS)
-FACE_SQL = " UNION ALL ".join(
-    f"SELECT p_partkey * 10 + {room} AS room_id, p_partkey * 10 + {wall} AS wall_id FROM plot WHERE {cond}"
-    for wall, room, cond in _FACES
-)
-ROOM_SQL = " UNION ALL ".join(
-    f"SELECT p_partkey * 10 + {n} AS id, building_id, floor FROM plot" for n in (1, 2)
-)
+PLOT_ROWS = {
+    "wall": [(_segment(*w), "true") for w in _WALLS],
+    # the same walls with ten plots drawn over each other on each floor
+    "crowded_wall": [({**_segment(*w), "building_id": "p_partkey {div} 30"}, "true") for w in _WALLS],
+    "opening": [(_segment(*o), "true") for o in _OPENINGS],
+    "wall_face": [
+        ({"room_id": f"p_partkey * 10 + {room}", "wall_id": f"p_partkey * 10 + {wall}"}, cond)
+        for wall, room, cond in _FACES
+    ],
+    "room": [
+        ({"id": f"p_partkey * 10 + {n}", "building_id": "building_id", "floor": "floor"}, "true") for n in (1, 2)
+    ],
+}
 # Stock: one lot per part, day and order line; ids are unique within part and day.
 LOT_SQL = (
     "SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS material_id,"
@@ -335,21 +352,11 @@ MODEST = "floor(SUM(l_quantity) * 0.4)"
 GREEDY = "floor(SUM(l_quantity) * (5 + 2 * l_linenumber) / 10)"
 MATERIAL_SQL = "SELECT p_partkey {div} 4 AS id, MIN(p_name) AS name FROM part GROUP BY 1"
 
-# The same walls with ten plots drawn over each other on each floor.
-CROWDED_SQL = " UNION ALL ".join(
-    _segment(*w).replace("building_id", "building_id {div} 10 AS building_id") for w in _WALLS
-)
-
-_DERIVED_SPARK = {
-    "wall": (["part"], WALL_SQL),
-    "crowded_wall": (["part"], CROWDED_SQL.format(div="div")),
-    "opening": (["part"], OPENING_SQL),
-    "wall_face": (["part"], FACE_SQL),
-    "room": (["part"], ROOM_SQL),
-    "lot": (["lineitem"], LOT_SQL),
-    "request": (["lineitem"], REQUEST_SQL.format(share=MODEST)),
-    "greedy_request": (["lineitem"], REQUEST_SQL.format(share=GREEDY)),
-    "material": (["part"], MATERIAL_SQL.format(div="div")),
+_GROUPED = {
+    "lot": ("lineitem", LOT_SQL),
+    "request": ("lineitem", REQUEST_SQL.format(share=MODEST)),
+    "greedy_request": ("lineitem", REQUEST_SQL.format(share=GREEDY)),
+    "material": ("part", MATERIAL_SQL),
 }
 
 
@@ -367,22 +374,24 @@ def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in _PLAIN:
         source, projection, _ = _PLAIN[name]
         return table(spark, sf_dir, source).selectExpr(*projection)
-    (source,), text = _DERIVED_SPARK[name]
-    raw = table(spark, sf_dir, source)
-    if " FROM plot" in text:
-        plots = spark.sql(plot_sql("div").replace("FROM part", "FROM {part}"), part=raw)
-        return spark.sql(text.replace("FROM plot", "FROM {plot}"), plot=plots)
-    return spark.sql(text.replace(f"FROM {source}", "FROM {raw}"), raw=raw)
+    if name in PLOT_ROWS:
+        text = _rows_inline(PLOT_ROWS[name]).format(div="div").replace("FROM plot", "FROM {plot}")
+        plots = spark.sql(plot_sql("div").replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+        return spark.sql(text, plot=plots)
+    source, text = _GROUPED[name]
+    text = text.format(div="div").replace(f"FROM {source}", "FROM {raw}")
+    return spark.sql(text, raw=table(spark, sf_dir, source))
 
 
 def _role_sql() -> dict[str, str]:
     out = {}
     for name, (source, projection, other) in _PLAIN.items():
         out[name] = f"SELECT {', '.join(other or projection)} FROM {source}"
-    out.update({name: text for name, (_, text) in _DERIVED_SPARK.items()})
+    for name, rows in PLOT_ROWS.items():
+        out[name] = _rows_sql(rows).format(div="//")
+    for name, (_, text) in _GROUPED.items():
+        out[name] = text.format(div="//")
     out["plot"] = plot_sql("//")
-    out["crowded_wall"] = CROWDED_SQL.format(div="//")
-    out["material"] = MATERIAL_SQL.format(div="//")
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stonewatch.functions.exprs import segment_key
+from stonewatch.functions.grouped import cut_lineage
 
 FLOOR = ["building_id", "floor"]
 
@@ -25,10 +26,12 @@ def wall_ends(walls: DataFrame) -> DataFrame:
     return walls.select("id", *FLOOR, F.explode(ends).alias("_p")).select("id", *FLOOR, "_p.x", "_p.y")
 
 
-def open_outlines(outer: DataFrame) -> DataFrame:
-    """Floors whose outer walls leave an end unmatched."""
-    odd = wall_ends(outer).groupBy(*FLOOR, "x", "y").agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1")
-    return odd.select(*FLOOR).distinct()
+def outlined_floors(outer: DataFrame) -> DataFrame:
+    """Floors with outer walls, with a reason where these leave an end unmatched."""
+    points = wall_ends(outer).groupBy(*FLOOR, "x", "y").agg((F.count(F.lit(1)) % 2).alias("_odd"))
+    return points.groupBy(*FLOOR).agg(
+        F.when(F.max("_odd") == 1, F.lit("open outline")).alias("reason")
+    )
 
 
 def floor_area(walls: DataFrame, faces: DataFrame) -> DataFrame:
@@ -40,23 +43,27 @@ def floor_area(walls: DataFrame, faces: DataFrame) -> DataFrame:
     several outlines come out right. Slabs per floor are bounded by the two-decimal
     coordinates; a wall meets only the slabs it crosses.
     """
-    outer = external_walls(walls, faces)
-    cuts = wall_ends(outer).select(*FLOOR, "x").distinct()
+    outer = cut_lineage(external_walls(walls, faces))
+    ends = wall_ends(outer)
     order = Window.partitionBy(*FLOOR).orderBy("x")
-    slabs = cuts.withColumn("_i", F.row_number().over(order)).withColumn("_right", F.lead("x").over(order))
-    first = slabs.select(*FLOOR, F.col("x").alias("_lo"), F.col("_i").alias("_from"))
-    last = slabs.select(*FLOOR, F.col("x").alias("_hi"), F.col("_i").alias("_to"))
+    slabs = (
+        ends.select(*FLOOR, "x")
+        .distinct()
+        .select(*FLOOR, F.col("x").alias("_left"), F.lead("x").over(order).alias("_right"), F.row_number().over(order).alias("_i"))
+    )
+    reach = (
+        ends.join(slabs.select(*FLOOR, F.col("_left").alias("x"), "_i"), [*FLOOR, "x"])
+        .groupBy("id")
+        .agg(F.min("_i").alias("_from"), F.max("_i").alias("_to"))
+        .filter("_from < _to")
+    )
     crossing = (
-        outer.filter("x1 <> x2")
-        .withColumn("_lo", F.least("x1", "x2"))
-        .withColumn("_hi", F.greatest("x1", "x2"))
-        .join(first, [*FLOOR, "_lo"])
-        .join(last, [*FLOOR, "_hi"])
+        outer.join(reach, "id")
         .withColumn("_i", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)))
         .join(slabs, [*FLOOR, "_i"])
     )
     x1, y1, x2, y2, left, right = (
-        F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2", "x", "_right")
+        F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2", "_left", "_right")
     )
     height = y1 + (y2 - y1) * ((left + right) / 2 - x1) / (x2 - x1)
     ranked = crossing.withColumn("_y", height).withColumn(
@@ -64,12 +71,9 @@ def floor_area(walls: DataFrame, faces: DataFrame) -> DataFrame:
     )
     signed = (right - left) * F.col("_y") * F.when(F.col("_rank") % 2 == 0, 1).otherwise(-1)
     areas = ranked.groupBy(*FLOOR).agg(F.sum(signed).cast("decimal(12,2)").alias("_area"))
-    leaky = open_outlines(outer).withColumn("reason", F.lit("open outline"))
     return (
-        cuts.select(*FLOOR)
-        .distinct()
+        outlined_floors(outer)
         .join(areas, FLOOR, "left")
-        .join(leaky, FLOOR, "left")
         .select(
             *FLOOR,
             F.when(F.col("reason").isNull(), F.coalesce("_area", F.lit(0))).alias("area"),

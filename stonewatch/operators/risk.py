@@ -13,27 +13,35 @@ from stonewatch.functions.grouped import previous_max
 from stonewatch.operators.sensors import day_spans, sensor_health, window_readings
 
 
-def _age(tie: Sequence[str]) -> Column:
-    return F.struct("measured", *tie)
+def one_per_date(risk: DataFrame, tie: str | None) -> DataFrame:
+    """One coefficient per area, kind and date: the one with the highest `tie`.
 
+    Without `tie` the history is taken to have one already, as its key says.
+    """
+    if tie is None:
+        return risk.select("area", "kind", "measured", "coefficient")
+    return risk.groupBy("area", "kind", "measured").agg(
+        F.max_by("coefficient", tie).alias("coefficient")
+    )
 
-def risk_in_force(risk: DataFrame, as_of, tie: Sequence[str] = ()) -> DataFrame:
+
+def risk_in_force(risk: DataFrame, as_of, tie: str | None = None) -> DataFrame:
     """The latest coefficient per area and kind measured on or before a date."""
     return (
-        risk.filter(F.col("measured") <= as_date(as_of))
+        one_per_date(risk.filter(F.col("measured") <= as_date(as_of)), tie)
         .groupBy("area", "kind")
         .agg(
-            F.max_by("coefficient", _age(tie)).alias("coefficient"),
+            F.max_by("coefficient", "measured").alias("coefficient"),
             F.max("measured").alias("measured"),
         )
     )
 
 
-def risk_on_dates(requests: DataFrame, risk: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
+def risk_on_dates(requests: DataFrame, risk: DataFrame, tie: str | None = None) -> DataFrame:
     """The coefficient in force for each (area, kind, date) asked for."""
-    latest = F.struct("measured", *tie, "coefficient")
+    latest = F.struct("measured", "coefficient")
     asked = requests.select("area", "kind", "date").distinct()
-    both = risk.select(
+    both = one_per_date(risk, tie).select(
         "area", "kind", F.col("measured").alias("date"), F.lit(0).alias("_asks"), latest.alias("_risk")
     ).unionByName(asked.withColumn("_asks", F.lit(1)), allowMissingColumns=True)
     found = previous_max(
@@ -85,7 +93,7 @@ def building_risk(
     risk: DataFrame,
     as_of,
     config: Config = DEFAULT,
-    tie: Sequence[str] = (),
+    tie: str | None = None,
 ) -> DataFrame:
     """Risk per building, class and period on one date."""
     spans = day_spans(as_of, config.risk_periods)
@@ -93,11 +101,13 @@ def building_risk(
     ends = {name: days_before(as_date(as_of), getattr(config.risk_periods, name)[1]) for name in spans}
     wanted = [c.area_kind for c in config.risk_classes]
     known = (
-        risk.filter(F.col("kind").isin(*wanted) & (F.col("measured") <= F.greatest(*ends.values())))
+        one_per_date(
+            risk.filter(F.col("kind").isin(*wanted) & (F.col("measured") <= F.greatest(*ends.values()))), tie
+        )
         .groupBy("area", F.col("kind").alias("area_kind"))
         .agg(
             *(
-                F.max_by("coefficient", F.when(F.col("measured") <= end, _age(tie))).alias(name)
+                F.max_by("coefficient", F.when(F.col("measured") <= end, F.col("measured"))).alias(name)
                 for name, end in ends.items()
             )
         )
@@ -120,7 +130,7 @@ def building_risk_on_dates(
     risk: DataFrame,
     requests: DataFrame,
     config: Config = DEFAULT,
-    tie: Sequence[str] = (),
+    tie: str | None = None,
 ) -> DataFrame:
     """Risk per building, class and period for each (building_id, as_of) asked for.
 
@@ -184,7 +194,7 @@ def building_state(risk_rows: DataFrame, keys: Sequence[str] = ("building_id",))
     )
 
 
-def area_risk_mean(risk: DataFrame, as_of, tie: Sequence[str] = ()) -> DataFrame:
+def area_risk_mean(risk: DataFrame, as_of, tie: str | None = None) -> DataFrame:
     """Mean over kinds of the coefficients in force in each area."""
     return (
         risk_in_force(risk, as_of, tie)
@@ -215,7 +225,7 @@ ALERTS_DIFFER = (
 
 
 def risk_trend(
-    risk: DataFrame, areas: DataFrame, as_of, months: int = 6, tie: Sequence[str] = ()
+    risk: DataFrame, areas: DataFrame, as_of, months: int = 6, tie: str | None = None
 ) -> DataFrame:
     """Mean risk of each area now and some months before, with the trend in words."""
     day = as_date(as_of)

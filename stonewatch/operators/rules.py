@@ -143,11 +143,16 @@ def check_material_class(bricks: DataFrame, tiles: DataFrame, candidates: DataFr
         tiles.select("material_id", F.lit("tile").alias("_class"))
     )
     old = old.groupBy("material_id").agg(F.min("_class").alias("_old"))
-    settled = candidates.groupBy("material_id").agg(F.min_by("class", "seq").alias("_new"))
-    taken = F.coalesce("_old", "_new")
+
+    def first(name: str) -> Column:
+        return F.min(F.when(F.col("class") == name, F.col("seq")))
+
+    came = candidates.groupBy("material_id").agg(first("brick").alias("_b"), first("tile").alias("_t"))
+    tile_first = F.col("_b").isNull() | (F.col("_t") < F.col("_b"))
+    taken = F.coalesce("_old", F.when(tile_first, F.lit("tile")).otherwise(F.lit("brick")))
     return (
         candidates.join(old, "material_id", "left")
-        .join(settled, "material_id")
+        .join(came, "material_id")
         .withColumn(
             "reason", F.when(F.col("class") != taken, F.concat(F.lit("already a "), taken))
         )

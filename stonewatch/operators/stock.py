@@ -28,10 +28,10 @@ def allocate(requests: DataFrame, lots: DataFrame) -> DataFrame:
     """
     key = ["material_id"]
     stock = running_sum(
-        lots.filter(F.col("available") > 0).withColumn("_month", F.trunc("purchased", "month")),
+        lots.filter(F.col("available") > 0).withColumn("_block", seq_chunk("id")),
         key,
-        ["_month"],
-        ["purchased", "id"],
+        ["purchased", "_block"],
+        ["id"],
         "available",
         "upto",
     ).withColumn("_lot", F.struct("purchased", "id"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from stonewatch.config import DEFAULT
 from stonewatch.functions.exprs import distance_km, mercalli
+from stonewatch.functions.grouped import cut_lineage
 from stonewatch.operators import disaster, risk
 from stonewatch.operators import sensors as sensor_op
 from stonewatch.plans.registry import Roles, query
@@ -13,7 +14,7 @@ from stonewatch.plans.sqltext import MAGNITUDE, health_ctes, quoted, ratio
 
 RISK_DATE = "2001-06-30"
 EARLIER = "2000-12-30"
-TIE = ["risk_id"]
+TIE = "risk_id"
 P = DEFAULT.risk_periods
 
 
@@ -364,10 +365,9 @@ DAMAGE_DAY = "2024-01-30"
     ss=state_sql("br", "building_id"),
 )
 def damage_estimate(r: Roles):
-    stats = statistics(r)
-    asked = hits(r).select(
-        "building_id", F.date_sub(F.to_date("disaster_ts"), 1).alias("as_of")
-    )
+    # the statistics are stored once estimated; damage is a later job on them
+    stats = cut_lineage(statistics(r))
+    asked = stats.select("building_id", F.date_sub(F.to_date("disaster_ts"), 1).alias("as_of"))
     risks = risk.building_risk_on_dates(r.measurement, r.sensor, r.building, r.risk, asked, tie=TIE)
     states = risk.building_state(risks, ("building_id", "as_of"))
     return disaster.damage(stats, states, disaster.building_value(r.project))

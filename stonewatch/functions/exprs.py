@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from stonewatch.config import ACCEL, DEFAULT, HEALTH_WEIGHT, LOW_RATE, Config
 
 EARTH_RADIUS_KM = 6371
+UNKNOWN = "unknown seniority"
+OUT_OF_RANGE = "date out of range"
 
 # Ground velocity to Mercalli degrees, below and above the knee.
 MERCALLI_KNEE = Decimal("0.234686")
@@ -155,8 +157,8 @@ def supervision_capacity(seniority, on_date, as_of, config: Config = DEFAULT) ->
 def seniority_reason(seniority, result) -> Column:
     """Why pay or capacity is NULL."""
     return (
-        F.when(col(seniority).isNull(), F.lit("unknown seniority"))
-        .when(col(result).isNull(), F.lit("date out of range"))
+        F.when(col(seniority).isNull(), F.lit(UNKNOWN))
+        .when(col(result).isNull(), F.lit(OUT_OF_RANGE))
     )
 
 

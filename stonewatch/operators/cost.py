@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stonewatch.config import DEFAULT, Config
-from stonewatch.functions.exprs import as_date, hourly_pay, seniority_reason, shift_minutes
+from stonewatch.functions.exprs import (
+    OUT_OF_RANGE,
+    UNKNOWN,
+    as_date,
+    hourly_pay,
+    seniority_reason,
+    shift_minutes,
+)
 
 MONEY = "decimal(20,2)"
 
@@ -38,11 +45,15 @@ def labour_cost(shifts: DataFrame, people: DataFrame, as_of, config: Config = DE
     """Cost of labour per stage; NULL with a reason when some shift has no known pay."""
     paid = shift_pay(shifts.select("stage_id", "worker_id", "start", "end"), people, as_of, config)
     minutes = shift_minutes().cast("decimal(12,0)")
-    total = (F.sum(minutes * F.col("pay")) / 60).cast(MONEY)
-    missing = F.max(F.col("pay").isNull())
-    return paid.groupBy("stage_id").agg(
-        F.when(~missing, total).alias("labour_cost"),
-        F.min("reason").alias("reason"),
+    sums = paid.groupBy("stage_id").agg(
+        (F.sum(minutes * F.col("pay")) / 60).cast(MONEY).alias("_total"),
+        F.max(F.col("pay").isNull()).alias("_unpaid"),
+        F.max(F.col("pay").isNull() & F.col("seniority").isNotNull()).alias("_dated"),
+    )
+    return sums.select(
+        "stage_id",
+        F.when(~F.col("_unpaid"), F.col("_total")).alias("labour_cost"),
+        F.when(F.col("_dated"), F.lit(OUT_OF_RANGE)).when(F.col("_unpaid"), F.lit(UNKNOWN)).alias("reason"),
     )
 
 

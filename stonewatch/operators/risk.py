@@ -39,21 +39,24 @@ def risk_in_force(risk: DataFrame, as_of, tie: str | None = None) -> DataFrame:
 
 def risk_on_dates(requests: DataFrame, risk: DataFrame, tie: str | None = None) -> DataFrame:
     """The coefficient in force for each (area, kind, date) asked for."""
-    latest = F.struct("measured", "coefficient")
+    history = one_per_date(risk, tie)
     asked = requests.select("area", "kind", "date").distinct()
-    both = one_per_date(risk, tie).select(
-        "area", "kind", F.col("measured").alias("date"), F.lit(0).alias("_asks"), latest.alias("_risk")
+    both = history.select(
+        "area", "kind", F.col("measured").alias("date"), F.lit(0).alias("_asks"), "measured"
     ).unionByName(asked.withColumn("_asks", F.lit(1)), allowMissingColumns=True)
     found = previous_max(
         both.withColumn("_month", F.trunc("date", "month")),
         ["area", "kind"],
         ["_month"],
         ["date", "_asks"],
-        "_risk",
-        "_found",
+        "measured",
+        "_latest",
     )
-    answers = found.filter(F.col("_asks") == 1).select(
-        "area", "kind", "date", F.col("_found.coefficient").alias("coefficient")
+    answers = (
+        found.filter((F.col("_asks") == 1) & F.col("_latest").isNotNull())
+        .select("area", "kind", "date", F.col("_latest").alias("measured"))
+        .join(history, ["area", "kind", "measured"])
+        .drop("measured")
     )
     return requests.join(answers, ["area", "kind", "date"], "left")
 

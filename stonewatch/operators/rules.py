@@ -139,17 +139,18 @@ def check_openings(existing: DataFrame, candidates: DataFrame, walls: DataFrame)
 
 def check_material_class(bricks: DataFrame, tiles: DataFrame, candidates: DataFrame) -> DataFrame:
     """A material is a brick or a tile, not both. Candidates have material_id and class."""
-    old = bricks.select("material_id", F.lit("brick").alias("_class")).unionByName(
-        tiles.select("material_id", F.lit("tile").alias("_class"))
+    brick, tile = F.lit("brick"), F.lit("tile")
+    old = bricks.select("material_id", F.lit(True).alias("_is_brick")).unionByName(
+        tiles.select("material_id", F.lit(False).alias("_is_brick"))
     )
-    old = old.groupBy("material_id").agg(F.min("_class").alias("_old"))
+    old = old.groupBy("material_id").agg(F.max("_is_brick").alias("_old"))
 
     def first(name: str) -> Column:
         return F.min(F.when(F.col("class") == name, F.col("seq")))
 
     came = candidates.groupBy("material_id").agg(first("brick").alias("_b"), first("tile").alias("_t"))
-    tile_first = F.col("_b").isNull() | (F.col("_t") < F.col("_b"))
-    taken = F.coalesce("_old", F.when(tile_first, F.lit("tile")).otherwise(F.lit("brick")))
+    tile_first = F.coalesce(F.col("_t") < F.col("_b"), F.col("_b").isNull())
+    taken = F.when(F.coalesce(F.col("_old"), ~tile_first), brick).otherwise(tile)
     return (
         candidates.join(old, "material_id", "left")
         .join(came, "material_id")

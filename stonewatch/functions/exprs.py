@@ -135,8 +135,16 @@ def whole_years(start, end) -> Column:
     return F.timestamp_diff("YEAR", col(start), col(end))
 
 
+def whole_days(start, end) -> Column:
+    """Completed days between two zone-free times."""
+    return F.extract(F.lit("DAY"), col(end) - col(start))
+
+
 def shift_minutes(start="start", end="end") -> Column:
-    return F.timestamp_diff("MINUTE", col(start), col(end))
+    """Completed minutes between two zone-free times."""
+    gap = col(end) - col(start)
+    hours = F.extract(F.lit("DAY"), gap) * 24 + F.extract(F.lit("HOUR"), gap)
+    return (hours * 60 + F.extract(F.lit("MINUTE"), gap)).cast("long")
 
 
 def hourly_pay(seniority, on_date, as_of, config: Config = DEFAULT) -> Column:

@@ -17,6 +17,7 @@ from stonewatch.functions.exprs import (
     magnitude,
     midnight,
     threshold_exceeded,
+    whole_days,
 )
 from stonewatch.functions.grouped import top_percent_mean
 from stonewatch.operators.geometry import metre_columns
@@ -260,7 +261,7 @@ def expected_alerts(
         .groupBy("area")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    days = F.timestamp_diff("DAY", F.col("first_alert"), midnight(as_date(as_of)))
+    days = whole_days("first_alert", midnight(as_date(as_of)))
     return summary.join(counts, "area", "left").select(
         *summary.columns, (F.coalesce("_n", F.lit(0)) * days).alias("expected")
     )

@@ -1,4 +1,3 @@
-import datetime as dt
 from decimal import Decimal as D
 
 import pytest
@@ -80,9 +79,21 @@ def test_percent_change(spark, new, old, text):
     assert got == (None if text is None else D(text))
 
 
-def test_shift_minutes_counts_whole_minutes(spark):
-    a, b = F.lit(dt.datetime(2020, 1, 1, 10)), F.lit(dt.datetime(2020, 1, 1, 10, 59, 59))
-    assert one(spark, e.shift_minutes(a, b)) == 59
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Rome"])
+def test_times_ignore_clock_changes(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        def ntz(text):
+            return F.lit(text).cast("timestamp_ntz")
+
+        night = e.shift_minutes(ntz("2020-03-29 01:00:00"), ntz("2020-03-29 04:30:59"))
+        assert one(spark, night) == 210
+        assert one(spark, e.shift_minutes(ntz("2020-03-29 04:00:00"), ntz("2020-03-29 03:00:00"))) == -60
+        assert one(spark, e.shift_minutes(ntz("2020-03-28 22:00:00"), ntz("2020-03-30 06:00:00"))) == 1920
+        assert one(spark, e.whole_days(ntz("2020-03-28 12:00:00"), ntz("2020-03-29 12:00:00"))) == 1
+        assert one(spark, e.whole_days(ntz("2020-03-28 12:00:01"), ntz("2020-03-29 12:00:00"))) == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_segment_key_ignores_direction(spark):

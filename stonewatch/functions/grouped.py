@@ -7,6 +7,7 @@ still worked on by many tasks.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Sequence
 
@@ -21,9 +22,19 @@ MISSING_BIN = -2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is named."""
+    """The shared folder that spark.checkpoint.dir names; a temporary one in local mode only.
+
+    Elsewhere executors would each write to their own disk, so an unset folder is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or tempfile.mkdtemp(prefix="stonewatch-")
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"master {master} needs spark.checkpoint.dir set to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="stonewatch-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from stonewatch.llm import exact_dedup, quality, url_filter
+from stonewatch.llm import exact_dedup, packing, quality, token_counts, url_filter
 from stonewatch.llm.common import table
 from stonewatch.llm.registry import query
 
@@ -93,3 +93,13 @@ _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 def op5_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op9_packing")
+def op9_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from stonewatch.llm import exact_dedup, packing, quality, token_counts, url_filter
+from stonewatch.llm import exact_dedup, mixing, packing, quality, token_counts, url_filter
 from stonewatch.llm.common import table
 from stonewatch.llm.registry import query
 
@@ -103,3 +103,8 @@ def op4_token_counts(spark, sf_dir):
 @query("op9_packing")
 def op9_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op3_mixing")
+def op3_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from stonewatch.llm import exact_dedup, mixing, packing, quality, token_counts, url_filter
+from stonewatch.llm import exact_dedup, mixing, packing, quality, secrets, token_counts, toxicity, url_filter
 from stonewatch.llm.common import table
 from stonewatch.llm.registry import query
 
@@ -108,3 +108,14 @@ def op9_packing(spark, sf_dir):
 @query("op3_mixing")
 def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark, sf_dir):
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from stonewatch.llm import exact_dedup, mixing, packing, quality, secrets, token_counts, toxicity, url_filter
+from stonewatch.llm import exact_dedup, html_extract, mixing, packing, quality, secrets, token_counts, toxicity, url_filter
 from stonewatch.llm.common import table
 from stonewatch.llm.registry import query
 
@@ -119,3 +119,8 @@ def op8_secret_scan(spark, sf_dir):
 def op6_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op10_html_extraction")
+def op10_html_extraction(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from stonewatch.llm import exact_dedup, html_extract, mixing, packing, quality, secrets, token_counts, toxicity, url_filter
+from stonewatch.llm import exact_dedup, html_extract, minhash, mixing, packing, quality, secrets, token_counts, toxicity, url_filter
 from stonewatch.llm.common import table
 from stonewatch.llm.registry import query
 
@@ -124,3 +124,8 @@ def op6_toxicity(spark, sf_dir):
 @query("op10_html_extraction")
 def op10_html_extraction(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op7_minhash_dedup")
+def op7_minhash_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -65,22 +65,26 @@ def project_cost(
     labour: DataFrame,
     strict_nulls: bool = False,
 ) -> DataFrame:
-    """Fees plus material and labour of all stages, per project.
+    """Fees plus material and labour of all stages, per project, with a reason where unknown.
 
-    With `strict_nulls` a stage lacking either part counts nothing, and a project
-    lacking managers or stages has no cost; otherwise missing parts are zero.
+    A project with a stage whose labour cannot be paid has no cost, and `reason` tells why.
+    What is absent (no managers, stages, material or shifts) is zero; with `strict_nulls` a
+    stage lacking material or shifts counts nothing, and a project lacking managers or
+    counted stages has no cost.
     """
     zero = F.lit(0).cast(MONEY)
     fees = management.groupBy("project_id").agg(F.sum("fee").cast(MONEY).alias("fees"))
     parts = (
         stages.select(F.col("id").alias("stage_id"), "project_id")
         .join(materials, "stage_id", "left")
-        .join(labour.select("stage_id", "labour_cost"), "stage_id", "left")
+        .join(labour.select("stage_id", "labour_cost", "reason"), "stage_id", "left")
     )
     material, work = F.col("material_cost"), F.col("labour_cost")
     if not strict_nulls:
         material, work = F.coalesce(material, zero), F.coalesce(work, zero)
-    built = parts.groupBy("project_id").agg(F.sum(material + work).cast(MONEY).alias("stages"))
+    built = parts.groupBy("project_id").agg(
+        F.sum(material + work).cast(MONEY).alias("stages"), F.min("reason").alias("reason")
+    )
     fee, stage = F.col("fees"), F.col("stages")
     if not strict_nulls:
         fee, stage = F.coalesce(fee, zero), F.coalesce(stage, zero)
@@ -88,13 +92,21 @@ def project_cost(
         projects.select(F.col("id").alias("project_id"))
         .join(fees, "project_id", "left")
         .join(built, "project_id", "left")
-        .select("project_id", (fee + stage).cast(MONEY).alias("cost"))
+        .select(
+            "project_id",
+            F.when(F.col("reason").isNull(), (fee + stage).cast(MONEY)).alias("cost"),
+            "reason",
+        )
     )
 
 
 def finish_projects(projects: DataFrame, costs: DataFrame) -> DataFrame:
-    """Projects with the given costs written into them; others unchanged."""
-    done = costs.select(F.col("project_id").alias("id"), F.col("cost").alias("_cost"), F.lit(True).alias("_done"))
+    """Projects with the given costs written into them; others unchanged.
+
+    A cost that is unknown for a reason is not written over what a project has.
+    """
+    known = costs.filter(F.col("reason").isNull()) if "reason" in costs.columns else costs
+    done = known.select(F.col("project_id").alias("id"), F.col("cost").alias("_cost"), F.lit(True).alias("_done"))
     cost = F.when(F.col("_done"), F.col("_cost")).otherwise(F.col("cost"))
     return projects.join(done, "id", "left").withColumn("cost", cost).select(*projects.columns)
 

@@ -433,19 +433,81 @@ def update_stock(r: Roles):
     return maintenance.update_columns(lots, drawn, ["id"], ["available"])
 
 
+def filled(df, name: str):
+    """A role's columns as those of a stored table; the others are unknown."""
+    fields = store.TABLES[name].schema
+    return df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).alias(f.name) for f in fields))
+
+
+def _folder(r: Roles, name: str) -> str:
+    return f"{shared_folder(r.spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query(
     "append_measurements",
-    "sensor_id:l ts:t",
+    "sensor_id:l ts:t x:d y:d z:d",
     "measurement",
-    "SELECT DISTINCT sensor_id, ts FROM measurement",
+    "SELECT sensor_id, ts, v.x AS x, v.y AS y, v.z AS z FROM (SELECT sensor_id, ts, coalesce(MIN({'x': x, 'y': y, 'z': z})"
+    " FILTER (WHERE event_id % 2 = 0), MIN({'x': x, 'y': y, 'z': z})) AS v FROM measurement GROUP BY 1, 2)",
 )
 def append_measurements(r: Roles):
-    root = f"{shared_folder(r.spark)}/measurements-{uuid.uuid4().hex}"
-    store.write_table(r.measurement.filter("event_id % 2 = 0").dropDuplicates(["sensor_id", "ts"]), root, "measurement")
+    root = _folder(r, "measurements")
+    first = r.measurement.filter("event_id % 2 = 0").groupBy("sensor_id", "ts")
+    first = first.agg(F.min(F.struct("x", "y", "z")).alias("v")).select("sensor_id", "ts", "v.*")
+    store.write_table(first, root, "measurement")
     store.append_measurements(r.spark, root, r.measurement)
     return store.read_table(r.spark, root, "measurement")
 
 
+@query(
+    "store_updates",
+    "id:s available:l active:b seniority:l",
+    "priced_lot lot_use person",
+    "SELECT CAST(p.id AS VARCHAR) AS id, coalesce(100000 - u.q, 100000) AS available, CAST(NULL AS BOOLEAN) AS active,"
+    " CAST(NULL AS BIGINT) AS seniority FROM priced_lot p LEFT JOIN (SELECT lot_id, SUM(quantity) AS q FROM lot_use GROUP BY"
+    " 1) u ON u.lot_id = p.id UNION ALL SELECT id, NULL, active, CASE WHEN active THEN seniority + 2 ELSE seniority END FROM"
+    " person",
+)
+def store_updates(r: Roles):
+    """Tables are stored, updated in their own place (staff twice) and read back."""
+    root = _folder(r, "updates")
+    lots = r.priced_lot.withColumn("available", F.lit(100000).cast("bigint"))
+    store.write_table(filled(lots, "lot"), root, "lot")
+    store.write_table(filled(r.person, "person"), root, "person")
+    drawn = r.lot_use.groupBy(F.col("lot_id").alias("id")).agg((F.lit(100000) - F.sum("quantity")).alias("available"))
+    stored = store.read_table(r.spark, root, "lot")
+    store.write_table(maintenance.update_columns(stored, drawn, ["id"], ["available"]), root, "lot")
+    for _ in range(2):
+        staff = store.read_table(r.spark, root, "person")
+        store.write_table(maintenance.add_year_of_seniority(staff), root, "person")
+    lots = store.read_table(r.spark, root, "lot").select(F.col("id").cast("string"), "available")
+    return lots.unionByName(
+        store.read_table(r.spark, root, "person").select("id", "active", "seniority"), allowMissingColumns=True
+    )
+
+
+@query(
+    "retention_store",
+    "kind:s sensor_id:l ts:t",
+    "measurement sensor",
+    f"SELECT DISTINCT 'reading' AS kind, sensor_id, ts FROM measurement WHERE ts >= TIMESTAMP '{KEPT_FROM}' - INTERVAL 1"
+    f" MONTH UNION ALL SELECT DISTINCT 'alert', sensor_id, ts FROM al WHERE ts >= TIMESTAMP '{KEPT_FROM}' - INTERVAL 1 MONTH",
+    al=ALERT_SQL,
+)
+def retention_store(r: Roles):
+    """Stored days before the bound are dropped as folders."""
+    root = _folder(r, "retention")
+    store.write_table(r.measurement.dropDuplicates(["sensor_id", "ts"]), root, "measurement")
+    store.write_table(sensor_op.alerts(r.measurement, r.sensor).distinct(), root, "alert")
+    day = r.spark.range(1).select(maintenance.first_kept_day(KEPT_FROM)).first()[0]
+    left = None
+    for kind, name in (("reading", "measurement"), ("alert", "alert")):
+        store.drop_days_before(r.spark, root, name, day)
+        rows = store.read_table(r.spark, root, name).select(F.lit(kind).alias("kind"), "sensor_id", "ts")
+        left = rows if left is None else left.unionByName(rows)
+    return left
+
+
 @query(
     "streamed_alerts",
     "sensor_id:l ts:t",
@@ -453,10 +515,12 @@ def append_measurements(r: Roles):
     f"SELECT DISTINCT sensor_id, ts FROM ({ALERT_SQL})",
 )
 def streamed_alerts(r: Roles):
+    """The events in eight files, dealt without regard to time, two to a batch, some twice."""
     raw = table(r.spark, r.sf_dir, "events")
-    # a pattern, so that the table may be one file or a folder of files
-    stream = r.spark.readStream.schema(raw.schema).parquet(f"{r.sf_dir}/event[s].parquet")
-    root = f"{shared_folder(r.spark)}/alerts-{uuid.uuid4().hex}"
+    root = _folder(r, "alerts")
+    again = raw.filter("event_id % 5 = 0")
+    raw.unionByName(again).repartition(8, F.hash("event_id")).write.parquet(f"{root}/in")
+    stream = r.spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
     found = streaming.stream_alerts(projected("measurement", stream), r.sensor)
     streaming.start_alerts(found, f"{root}/out", f"{root}/state", available_now=True).awaitTermination()
     return streaming.read_alerts(r.spark, f"{root}/out")

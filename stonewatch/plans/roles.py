@@ -226,6 +226,12 @@ _PLAIN: dict[str, tuple[str, list[str], list[str] | None]] = {
         ],
         None,
     ),
+    # most pay known, so that most projects have a cost
+    "paid_person": (
+        "supplier",
+        ["concat('W', s_suppkey) AS id", "CASE WHEN s_suppkey % 97 <> 0 THEN 30 + s_suppkey % 30 END AS seniority"],
+        None,
+    ),
     "shift": (
         "lineitem",
         [

@@ -104,7 +104,7 @@ def project_costs(r: Roles, strict: bool):
         r.management,
         r.stage,
         cost.material_cost(r.lot_use, r.priced_lot, r.job),
-        cost.labour_cost(r.shift, r.person, TODAY),
+        cost.labour_cost(r.shift, r.paid_person, TODAY),
         strict_nulls=strict,
     )
 
@@ -113,24 +113,28 @@ def _project_sql(strict: bool) -> str:
     def part(c):
         return c if strict else f"coalesce({c}, 0)"
 
+    # a stage's labour is unknown if any of its shifts is unpaid, whatever the sums say
     return (
-        f"SELECT p.id AS project_id, {part('f.fees')} + {part('s.st')} AS cost FROM project p LEFT JOIN (SELECT project_id,"
-        " SUM(fee) AS fees FROM management GROUP BY 1) f ON f.project_id = p.id LEFT JOIN (SELECT project_id,"
-        f" SUM({part('m.material_cost')} + {part('l.labour_cost')}) AS st FROM stage s LEFT JOIN mc m ON m.stage_id = s.id LEFT"
-        " JOIN lc l ON l.stage_id = s.id GROUP BY 1) s ON s.project_id = p.id"
+        f"SELECT p.id AS project_id, CASE WHEN w.reason IS NULL THEN {part('f.fees')} + {part('s.st')} END AS cost, w.reason"
+        " FROM project p LEFT JOIN (SELECT project_id, SUM(fee) AS fees FROM management GROUP BY 1) f ON f.project_id = p.id"
+        f" LEFT JOIN (SELECT project_id, SUM({part('m.material_cost')} + {part('l.labour_cost')}) AS st FROM stage s LEFT JOIN"
+        " mc m ON m.stage_id = s.id LEFT JOIN lc l ON l.stage_id = s.id GROUP BY 1) s ON s.project_id = p.id"
+        " LEFT JOIN (SELECT st.project_id, MIN(x.reason) AS reason FROM stage st JOIN (SELECT stage_id, CASE WHEN"
+        " COUNT(*) FILTER (WHERE reason = 'date out of range') > 0 THEN 'date out of range' ELSE 'unknown seniority' END AS"
+        " reason FROM pd WHERE pay IS NULL GROUP BY 1) x ON x.stage_id = st.id GROUP BY 1) w ON w.project_id = p.id"
     )
 
 
-COST_ROLES = "project management stage lot_use priced_lot job shift person"
-COST_CTES = {"mc": MATERIAL_SQL, "pd": PAID_SQL, "lc": LABOUR_SQL}
+COST_ROLES = "project management stage lot_use priced_lot job shift paid_person"
+COST_CTES = {"mc": MATERIAL_SQL, "pd": PAID_SQL.replace("JOIN person p", "JOIN paid_person p"), "lc": LABOUR_SQL}
 
 
-@query("project_cost", "project_id:l cost:d", COST_ROLES, _project_sql(False), **COST_CTES)
+@query("project_cost", "project_id:l cost:d reason:s", COST_ROLES, _project_sql(False), **COST_CTES)
 def project_cost(r: Roles):
     return project_costs(r, strict=False)
 
 
-@query("project_cost_strict", "project_id:l cost:d", COST_ROLES, _project_sql(True), **COST_CTES)
+@query("project_cost_strict", "project_id:l cost:d reason:s", COST_ROLES, _project_sql(True), **COST_CTES)
 def project_cost_strict(r: Roles):
     return project_costs(r, strict=True)
 
@@ -139,12 +143,14 @@ def project_cost_strict(r: Roles):
     "apply_updates",
     "id:l building_id:l cost:d",
     COST_ROLES,
-    "SELECT p.id, p.building_id, c.cost FROM project p JOIN pc c ON c.project_id = p.id",
+    "SELECT p.id, p.building_id, CASE WHEN p.id % 3 = 0 OR c.reason IS NOT NULL THEN p.cost ELSE c.cost END AS cost FROM"
+    " project p JOIN pc c ON c.project_id = p.id",
     **COST_CTES,
     pc=_project_sql(False),
 )
 def apply_updates(r: Roles):
-    return cost.finish_projects(r.project, project_costs(r, strict=False))
+    ended = project_costs(r, strict=False).filter("project_id % 3 <> 0")
+    return cost.finish_projects(r.project, ended)
 
 
 @query(

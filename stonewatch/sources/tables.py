@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,9 +48,61 @@ def _writer(df: DataFrame, name: str):
     return writer.partitionBy("day") if spec.partition else writer
 
 
+def _files(spark: SparkSession, path: str):
+    """The Hadoop file system that holds a path, and the path as it takes it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, at = _files(spark, path)
+    return files.exists(at)
+
+
 def write_table(df: DataFrame, root: str, name: str) -> None:
-    """Replace a stored table."""
-    _writer(_laid_out(df, name), name).mode("overwrite").parquet(f"{root}/{name}")
+    """Replace a stored table, also by rows that are computed from it.
+
+    The new rows are written in full next to the table, which is then exchanged by two
+    renames. A write that fails leaves the table as it was. A driver lost between the
+    renames leaves the old rows in `.{name}-old-*`.
+    """
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex
+    fresh, old = f"{root}/.{name}-new-{mark}", f"{root}/.{name}-old-{mark}"
+    files, target = _files(spark, f"{root}/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    try:
+        _writer(_laid_out(df, name), name).parquet(fresh)
+    except Exception:
+        files.delete(path(fresh), True)
+        raise
+    had = files.exists(target)
+    if had and not files.rename(target, path(old)):
+        raise OSError(f"cannot set aside {root}/{name}")
+    if not files.rename(path(fresh), target):
+        if had:
+            files.rename(path(old), target)
+        raise OSError(f"cannot put new rows into {root}/{name}")
+    if had:
+        files.delete(path(old), True)
+    spark.catalog.refreshByPath(f"{root}/{name}")
+
+
+def drop_days_before(spark: SparkSession, root: str, name: str, first_day) -> list[str]:
+    """Delete the stored days before a date, by folder; no row is read. The days dropped."""
+    if TABLES[name].partition is None:
+        raise ValueError(f"{name} is not stored by day")
+    files, at = _files(spark, f"{root}/{name}")
+    if not files.exists(at):
+        return []
+    gone = []
+    for folder in files.listStatus(at):
+        key, _, day = folder.getPath().getName().partition("=")
+        if key == "day" and day < str(first_day):  # ISO dates sort as text; the null folder's name sorts last
+            files.delete(folder.getPath(), True)
+            gone.append(day)
+    spark.catalog.refreshByPath(f"{root}/{name}")
+    return sorted(gone)
 
 
 def append_table(df: DataFrame, root: str, name: str) -> None:
@@ -69,11 +122,16 @@ def reload_all(tables: Mapping[str, DataFrame], root: str) -> None:
 def append_measurements(spark: SparkSession, root: str, rows: DataFrame) -> None:
     """Add readings, at most one per sensor and time, new ones only.
 
-    Stored readings are compared on the days of the new ones only.
+    Of new readings with equal sensor and time the smallest values are kept. Stored readings
+    are read for the days from the first to the last of the new ones only.
     """
-    fresh = rows.dropDuplicates(["sensor_id", "ts"]).withColumn("day", F.to_date("ts"))
-    known = read_table(spark, root, "measurement").select("sensor_id", "ts", "day")
-    append_table(fresh.join(known, ["day", "sensor_id", "ts"], "left_anti"), root, "measurement")
+    values = F.min(F.struct("x", "y", "z"))
+    fresh = rows.groupBy("sensor_id", "ts").agg(values.alias("v")).select("sensor_id", "ts", "v.*")
+    fresh = fresh.withColumn("day", F.to_date("ts"))
+    low, high = rows.agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+    known = read_table(spark, root, "measurement").filter(F.col("day").between(low, high))
+    new = fresh.join(known.select("sensor_id", "ts", "day"), ["day", "sensor_id", "ts"], "left_anti")
+    append_table(new, root, "measurement")
 
 
 def append_hit_statistics(rows: DataFrame, root: str) -> None:
@@ -87,7 +145,12 @@ def read_hit_statistics(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_plans(plans: DataFrame, path: str) -> None:
-    """Floor plans as text, one folder per building and floor."""
-    plans.select("building_id", "floor", "html").write.partitionBy("building_id", "floor").mode(
+    """Floor plans as keyed rows, the floors of a building next to each other."""
+    rows = plans.select("building_id", "floor", "html")
+    rows.repartitionByRange("building_id", "floor").sortWithinPartitions("building_id", "floor").write.mode(
         "overwrite"
-    ).text(path, lineSep="\0")
+    ).parquet(path)
+
+
+def read_plans(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("building_id BIGINT, floor INT, html STRING").parquet(path)

@@ -8,6 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stonewatch.operators.sensors import alerts
 from stonewatch.sources.schema import TABLES
+from stonewatch.sources.tables import path_exists
+
+STORED = "sensor_id BIGINT, ts TIMESTAMP_NTZ, day DATE"
 
 
 def read_stream(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -15,41 +18,45 @@ def read_stream(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.readStream.schema(TABLES["measurement"].schema).options(**options).parquet(path)
 
 
-def once_each(readings: DataFrame, delay: str) -> DataFrame:
-    """One reading per sensor and time among those at most `delay` apart in arrival.
+def stream_alerts(readings: DataFrame, sensors: DataFrame) -> DataFrame:
+    """Alerts of readings against a table of sensors, one per sensor and time.
 
-    Event time is zone-free; the watermark needs an instant, so the session time
-    zone has to be UTC.
+    On a stream repeated readings are settled when alerts are stored, see `store_new`.
     """
-    return (
-        readings.withColumn("_at", F.col("ts").cast("timestamp"))
-        .withWatermark("_at", delay)
-        .dropDuplicatesWithinWatermark(["sensor_id", "ts"])
-        .drop("_at")
-    )
+    found = alerts(readings, sensors)
+    return found if readings.isStreaming else found.dropDuplicates(["sensor_id", "ts"])
 
 
-def stream_alerts(readings: DataFrame, sensors: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Alerts of a stream of readings against a table of sensors.
+def store_new(found: DataFrame, path: str) -> None:
+    """Append the alerts that are not stored yet, by day.
 
-    Readings below their threshold are dropped before any state is kept.
+    Stored alerts are read for the days between the first and last of the new ones only.
+    Storing the same alerts again, as a restarted stream does, adds nothing.
     """
-    found = alerts(readings, sensors)
-    return once_each(found, delay) if readings.isStreaming else found.dropDuplicates(["sensor_id", "ts"])
+    spark = found.sparkSession
+    fresh = found.select("sensor_id", "ts").distinct().withColumn("day", F.to_date("ts"))
+    if path_exists(spark, path):
+        low, high = fresh.agg(F.min("day"), F.max("day")).first()
+        if low is None:
+            return
+        known = spark.read.schema(STORED).parquet(path).filter(F.col("day").between(low, high))
+        fresh = fresh.join(known, ["day", "sensor_id", "ts"], "left_anti")
+    fresh.write.partitionBy("day").mode("append").parquet(path)
 
 
 def start_alerts(
     alert_stream: DataFrame, path: str, checkpoint: str, available_now: bool = False, **trigger
 ) -> StreamingQuery:
-    """Append alerts to files; with `available_now`, stop once the input is used up."""
-    writer = (
-        alert_stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
+    """Store the alerts of a stream; with `available_now`, stop once the input is used up.
+
+    Nothing is late: a reading alerts whatever its time and the order of arrival, and no
+    state is kept between batches but the stored alerts themselves.
+    """
+    writer = alert_stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, _: store_new(batch, path)
     )
     return writer.trigger(**({"availableNow": True} if available_now else trigger)).start()
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("sensor_id BIGINT, ts TIMESTAMP_NTZ").parquet(path)
+    return spark.read.schema(STORED).parquet(path).select("sensor_id", "ts")

@@ -129,10 +129,65 @@ def test_hit_statistics_table(spark, make, tmp_path):
     ]
 
 
-def test_plans_are_written_as_text(make, tmp_path):
-    store.write_plans(make("building_id bigint, floor int, html string", [(1, 0, "a\nb"), (1, 1, "c")]), str(tmp_path / "p"))
-    (page,) = (tmp_path / "p" / "building_id=1" / "floor=0").glob("*.txt")
-    assert page.read_text().rstrip("\0") == "a\nb"
+def test_plans_are_written_as_rows(spark, make, tmp_path):
+    path = str(tmp_path / "p")
+    store.write_plans(make("building_id bigint, floor int, html string", [(1, 0, "a\nb"), (1, 1, "c")]), path)
+    assert values(store.read_plans(spark, path), "building_id", "floor", "html") == [(1, 0, "a\nb"), (1, 1, "c")]
+
+
+LOT = "id bigint, material_id bigint, supplier string, batch string, purchased date, unit_price decimal(10,2), units int, available int"
+PERSON = "id string, born date, phone string, first_name string, last_name string, active boolean, seniority smallint"
+
+
+def test_a_table_is_replaced_by_rows_made_of_it(spark, make, tmp_path):
+    root = str(tmp_path)
+    staff = [(f"W{i}", "1990-01-01", "1", "a", "b", i % 2 == 0, i) for i in range(40)]
+    store.write_table(make(PERSON, staff), root, "person")
+    for _ in range(3):
+        store.write_table(maintenance.add_year_of_seniority(store.read_table(spark, root, "person")), root, "person")
+    got = store.read_table(spark, root, "person")
+    assert values(got, "id", "seniority") == sorted((f"W{i}", i + 3 * (i % 2 == 0)) for i in range(40))
+    lots = [(i, 1, "s", "b", "2023-01-01", 1, 10, 10) for i in range(30)]
+    store.write_table(make(LOT, lots), root, "lot")
+    new = make("id bigint, available int", [(3, 4), (5, None)])
+    store.write_table(maintenance.update_columns(store.read_table(spark, root, "lot"), new, ["id"], ["available"]), root, "lot")
+    got = dict(values(store.read_table(spark, root, "lot"), "id", "available"))
+    assert len(got) == 30 and got[3] == 4 and got[5] is None and got[4] == 10
+
+
+def test_a_failed_write_leaves_the_table(spark, make, tmp_path):
+    root = str(tmp_path)
+    lots = [(i, 1, "s", "b", "2023-01-01", 1, 10, 10) for i in range(30)]
+    store.write_table(make(LOT, lots), root, "lot")
+    broken = store.read_table(spark, root, "lot").withColumn("units", F.expr("if(id = 29, raise_error('no'), units)"))
+    with pytest.raises(Exception, match="no"):
+        store.write_table(broken, root, "lot")
+    assert store.read_table(spark, root, "lot").count() == 30
+    assert [p.name for p in tmp_path.iterdir()] == ["lot"]
+
+
+def test_retention_drops_days_as_folders(spark, make, tmp_path):
+    root = str(tmp_path)
+    rows = [(1, f"2023-01-{d:02d} 23:59:59", 1, None, None) for d in range(1, 21)]
+    store.write_table(make(READING, rows), root, "measurement")
+    assert len(store.drop_days_before(spark, root, "measurement", dt.date(2023, 1, 10))) == 9
+    assert store.read_table(spark, root, "measurement").count() == 11
+    assert store.drop_days_before(spark, root, "alert", dt.date(2023, 1, 10)) == []
+    kept = maintenance.keep_recent(store.read_table(spark, root, "measurement"), "2023-02-15")
+    plan = kept._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and kept.count() == 6
+
+
+def test_alerts_of_readings_in_any_order(spark, make, tmp_path):
+    sensors = make(SENSOR, [sensor(1, "Termometro", 40)])
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    times = ["2023-03-05 10:00:00", "2023-03-09 10:00:00", "2023-03-01 10:00:00", "2023-03-05 10:00:00"]
+    for at in times:
+        make(READING, [(1, at, 41, None, None), (1, at, 41, None, None)]).coalesce(1).write.mode("append").parquet(source)
+    stream = streaming.stream_alerts(streaming.read_stream(spark, source, maxFilesPerTrigger=1), sensors)
+    streaming.start_alerts(stream, out, state, available_now=True).awaitTermination()
+    got = values(streaming.read_alerts(spark, out), "ts")
+    assert [str(t) for (t,) in got] == sorted(set(times))
 
 
 def test_streamed_alerts_equal_batch(spark, make, tmp_path):

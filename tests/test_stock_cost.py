@@ -3,6 +3,8 @@ from decimal import Decimal as D
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from conftest import values
 from stonewatch.operators import cost, stock
 
@@ -126,6 +128,19 @@ def test_labour_without_known_pay_has_a_reason(make):
     assert cost.labour_cost(odd, people, "2023-02-01").first().reason == "unknown seniority"
 
 
+def test_unknown_pay_makes_the_project_cost_unknown(make):
+    uses, jobs, stages, shifts, people, management, projects = project_tables(make)
+    materials = cost.material_cost(uses, make(LOT, LOTS), jobs)
+    unpaid = cost.labour_cost(shifts, people.filter("false"), "2023-02-01")
+    for strict in (False, True):
+        total = cost.project_cost(projects, management, stages, materials, unpaid, strict_nulls=strict)
+        (one,) = total.filter("project_id = 1").collect()
+        assert (one.cost, one.reason) == (None, "unknown seniority")
+    before = projects.withColumn("cost", F.lit(5).cast("decimal(10,2)"))
+    done = cost.finish_projects(before, cost.project_cost(projects, management, stages, materials, unpaid))
+    assert values(done, "id", "cost") == [(1, D("5.00")), (2, D("0.00"))]
+
+
 def test_material_report_is_for_stages_ended_in_the_month(make):
     uses, jobs, stages, _, _, _, _ = project_tables(make)
     materials = make("id bigint, name string", [(1, "Mattone"), (2, "Intonaco"), (3, "Lastra"), (4, "Schiuma")])

@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stonewatch.llm.common import attach, stage
+from stonewatch.llm.common import stage
 
 
-def _with_label(rows: DataFrame, key: str, labels: DataFrame, out: str, total: int) -> DataFrame:
-    """The label of each row's `key`; a key may own any share of the rows."""
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    known = labels.select(F.col("node").alias(key), F.col("label").alias(out))
-    groups = stage(sizes.join(known, key), "label-groups")
-    return attach(rows, groups, [key], "_n", total).drop("_n")
+def _with_label(rows: DataFrame, key: str, labels: DataFrame, out: str) -> DataFrame:
+    """The label of each row's `key`. Both sides are read from staged tables, so that adaptive
+    execution can split a key with any share of the rows."""
+    return rows.join(labels.select(F.col("node").alias(key), F.col("label").alias(out)), key)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes in `links` (a, b): the label is the smallest node reachable.
 
-    A round sends every node the smallest label around it and then follows labels of labels,
-    so the number of rounds is logarithmic for chains and one or two for stars. Links whose
-    ends share a label are dropped from further rounds. Links must be staged.
+    Nodes start with the smallest label around them. A round looks at the labels of the
+    ends of every link; where they differ, the larger label is pointed to the smallest one it
+    meets, and labels of labels are followed, so chains take a logarithmic number of rounds
+    and stars one. Links whose ends share a label are dropped from further rounds. Links must
+    be staged.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = stage(
@@ -29,29 +29,25 @@ def components(links: DataFrame) -> DataFrame:
     )
     open_links = links.select("a", "b")
     while True:
-        total = labels.count()
-        # a label is a node, so its own label is found among the nodes
-        jumped = _with_label(labels, "label", labels.select("node", "label"), "further", total)
-        labels = stage(jumped.select("node", F.col("further").alias("label")), "labels")
-        n_links = open_links.count()
-        left = stage(_with_label(open_links, "a", labels, "la", n_links), "ends")
-        marked = _with_label(left, "b", labels, "lb", n_links)
-        open_links = stage(
-            marked.filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "open"
+        ends = _with_label(open_links, "a", labels, "la")
+        ends = stage(_with_label(ends, "b", labels, "lb").filter("la <> lb").select("la", "lb"), "ends")
+        if ends.isEmpty():
+            break
+        # the labels themselves are nodes: link them, then follow labels of labels twice
+        open_links = stage(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "open")
+        lower = open_links.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("lower"))
+        labels = stage(
+            labels.join(lower, "node", "left").select("node", F.least("label", F.coalesce("lower", "label")).alias("label")),
+            "labels",
         )
-        if open_links.isEmpty():
-            settled = _with_label(labels, "label", labels, "further", total).select(
-                "node", "label", F.col("further")
-            )
-            settled = stage(settled, "labels")
-            if settled.filter("label <> further").isEmpty():
-                return settled.select("node", "label")
-            labels = settled.select("node", F.col("further").alias("label"))
-            continue
-        # labels of meeting components: the larger one points to the smallest it meets
-        pairs = open_links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("lower"))
-        lower = stage(pairs.groupBy("node").agg(F.min("lower").alias("lower")), "lower")
-        moved = labels.join(lower, "node", "left").select(
-            "node", F.least("label", F.coalesce("lower", "label")).alias("label")
-        )
-        labels = stage(moved, "labels")
+        labels = _jumped(labels)
+    while True:  # every component has one label by now, unless a label points further
+        further = _jumped(labels)
+        if further.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").isEmpty():
+            return further
+        labels = further
+
+
+def _jumped(labels: DataFrame) -> DataFrame:
+    found = _with_label(labels, "label", labels.select("node", "label"), "further")
+    return stage(found.select("node", F.col("further").alias("label")), "labels")

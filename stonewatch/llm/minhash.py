@@ -11,12 +11,15 @@ coordinates of one of BANDS bands share a bucket. Work within a bucket is never
 1. every class is compared with the bucket's smallest one;
 2. links found so far give components; buckets that lie in one component are done;
 3. in the others, the classes outside the bucket's most frequent component are compared, in
-   blocks spread over tasks, with all classes of another component. Pairs of one component
-   need no comparison, so every pair in a bucket is settled.
+   blocks spread over tasks, with all classes of another component. First each takes the
+   one most like it, which joins most of them to the rest; then steps 2 and 3 are done again
+   with all pairs that are still open. Pairs of one component need no comparison, so every
+   pair in a bucket is settled. A pair is settled in the first bucket that it shares.
 
 Comparisons look at set sizes and a byte of each coordinate first; pairs whose estimate is
-more than SLACK under the threshold (six standard deviations) are out, the others are verified
-on the full sets of both texts. A pair with the threshold's similarity shares no bucket with
+more than SLACK under the threshold (four standard deviations) are out, the others are
+verified on the full sets of both texts. Hot buckets, centres and classes meet their rows in
+joins of staged tables, which adaptive execution splits. A pair with the threshold's similarity shares no bucket with
 probability (1 - 0.8**ROWS)**BANDS, about 3 in a million.
 
 Null and empty texts, and texts without words, have empty sets and are linked with nothing; a
@@ -36,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stonewatch.llm.common import attach, stage, text_of
+from stonewatch.llm.common import stage, text_of
 from stonewatch.llm.components import components
 from stonewatch.llm.exact_dedup import BLOCK_BITS, MAX_BITS, test_slot
 from stonewatch.llm.token_counts import slices
@@ -46,9 +49,10 @@ COORDINATES = BANDS * ROWS
 CIRCLE = 2**20
 SEED = 7
 PERCENT = 80
-SLACK = 0.2
+SLACK = 0.13
 BLOCK_CLASSES = 256
 PAIRS_A_TASK = 512
+SLICE_CHARS = 1_000_000
 
 
 @lru_cache(1)
@@ -113,31 +117,33 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SKETCHED = "rid long, n_shingles long, class_key binary, bands array<long>, sketch binary"
+_SKETCHED = "rid long, doc_id long, n_shingles long, class_key binary, bands array<long>, sketch binary"
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """Set size, class key, band keys and sketch of each row of (rid, text)."""
+    """Set size, class key, band keys and sketch of each row of (rid, doc_id, text)."""
 
     def made(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
-            rids = iter(batch.column(0).to_pylist())
-            for texts in slices(batch.column(1).to_pylist()):
+            done = 0
+            for texts in slices(batch.column(2).to_pylist(), SLICE_CHARS):
                 sets = shingles(texts)
                 signatures = np.stack([signature(s) for s in sets])
                 keys, low = band_keys(signatures), signatures.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([next(rids) for _ in texts], pa.int64()),
+                        batch.column(0).slice(done, len(texts)),
+                        batch.column(1).slice(done, len(texts)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([k if len(s) else [] for k, s in zip(keys, sets)], pa.list_(pa.int64())),
                         pa.array([x.tobytes() if len(s) else None for x, s in zip(low, sets)], pa.binary()),
                     ],
-                    ["rid", "n_shingles", "class_key", "bands", "sketch"],
+                    ["rid", "doc_id", "n_shingles", "class_key", "bands", "sketch"],
                 )
+                done += len(texts)
 
-    return docs.select("rid", text_of().alias("text")).mapInArrow(made, _SKETCHED)
+    return docs.select("rid", "doc_id", text_of().alias("text")).mapInArrow(made, _SKETCHED)
 
 
 def likely(sizes_a, sizes_b, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -170,9 +176,7 @@ def star_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFram
     facts = lambda s: classes.select(
         F.col("rid").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"s{s}")
     )
-    centres = stage(pairs.groupBy("a").agg(F.count("*").alias("times")).join(facts("a"), "a"), "centres")
-    with_b = stage(pairs.join(facts("b"), "b"), "star-b")
-    known = attach(with_b, centres, ["a"], "times", pairs.count())
+    known = pairs.join(facts("b"), "b").join(facts("a"), "a")
 
     def tested(batches):
         for batch in batches:
@@ -184,14 +188,18 @@ def star_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFram
     return known.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tested, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs between components that meet in a bucket, by blocks against blocks."""
+def cross_pairs(
+    members: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, best_only: bool
+) -> DataFrame:
+    """Likely pairs (a, b) between components that meet in a bucket, by blocks against blocks.
+
+    `best_only`: of each class outside its bucket's largest component, only the likeliest
+    partner. Pairs come once, from the first bucket that both classes share.
+    """
     known = members.filter("n > 2").join(labels.withColumnRenamed("node", "rid"), "rid", "left")
-    known = known.select("bucket", "rid", F.coalesce("label", "rid").alias("label"))
-    open_buckets = known.groupBy("bucket").agg(
-        F.min("label").alias("low"), F.max("label").alias("high")
-    ).filter("low <> high").select("bucket")
-    mixed = stage(known.join(open_buckets, "bucket"), "mixed")
+    known = stage(known.select("bucket", "rid", F.coalesce("label", "rid").alias("label")), "labelled")
+    open_buckets = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = stage(known.join(open_buckets.filter("low <> high").select("bucket"), "bucket"), "mixed")
     per_label = mixed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     buckets = stage(
         per_label.groupBy("bucket").agg(
@@ -201,12 +209,11 @@ def cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, perce
         ),
         "open-buckets",
     )
-    rows = attach(mixed, buckets, ["bucket"], "n", mixed.count())
-    facts = rows.join(classes.select("rid", "n_shingles", "sketch"), "rid")
+    facts = mixed.join(buckets, "bucket").join(classes.select("rid", "n_shingles", "sketch", "bands"), "rid")
 
     def blocks(frame: DataFrame, size: str, out: str) -> DataFrame:
         count = F.ceil(F.col(size) / F.lit(BLOCK_CLASSES))
-        one = F.struct("rid", "label", "n_shingles", "sketch")
+        one = F.struct("rid", "label", "n_shingles", "sketch", "bands")
         return (
             frame.withColumn(out, F.pmod(F.xxhash64("rid", F.lit(out)), count))
             .groupBy("bucket", out, "n")
@@ -222,22 +229,37 @@ def cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, perce
 
     def compared(batches):
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1)):
-                a, b = x.values, y.values
-                col = lambda v, c: v.field(c).to_numpy()
-                sa, sb = _sketches(a.field("sketch")), _sketches(b.field("sketch"))
-                found = []
-                for i in range(len(a)):
-                    good = likely(col(a, "n_shingles")[i], col(b, "n_shingles"), sa[i], sb, percent)
-                    good &= col(a, "label")[i] != col(b, "label")
-                    j = np.flatnonzero(good)
-                    found.append(np.stack((np.full(len(j), col(a, "rid")[i]), col(b, "rid")[j]), 1))
-                both = np.concatenate(found)
-                both.sort(axis=1)
-                both = np.unique(both, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    return met.select("outer_rows", "block_rows").mapInArrow(compared, "a long, b long").distinct()
+            found = [
+                _open_pairs(bucket.as_py(), x.values, y.values, percent, best_only)
+                for bucket, x, y in zip(*batch.columns)
+            ]
+            rows = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(3)], ["a", "b", "matches"])
+
+    made = met.select("bucket", "outer_rows", "block_rows").mapInArrow(compared, "a long, b long, matches long")
+    if best_only:
+        made = made.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b"))
+    return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _open_pairs(bucket: int, outer: pa.Array, block: pa.Array, percent: int, best_only: bool) -> np.ndarray:
+    """Likely pairs (outer, other, matching bytes) of differing labels first met in this bucket."""
+    col = lambda v, c: v.field(c).to_numpy()
+    keys = lambda v: v.field("bands").flatten().to_numpy().reshape(-1, BANDS)
+    a, b, ka, kb = _sketches(outer.field("sketch")), _sketches(block.field("sketch")), keys(outer), keys(block)
+    ids, labels, sizes = (col(block, c) for c in ("rid", "label", "n_shingles"))
+    found = []
+    for i, (rid, label, size) in enumerate(zip(*(col(outer, c).tolist() for c in ("rid", "label", "n_shingles")))):
+        j = np.flatnonzero(labels != label)
+        same = ka[i] == kb[j]
+        j = j[ka[i][same.argmax(axis=1)] == bucket]
+        j = j[likely(size, sizes[j], a[i], b[j], percent)]
+        matches = (a[i] == b[j]).sum(axis=1)
+        if best_only and len(j):
+            top = matches.argmax()
+            j, matches = j[top : top + 1], matches[top : top + 1]
+        found.append(np.stack((np.full(len(j), rid), ids[j], matches), 1))
+    return np.concatenate(found)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -257,11 +279,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         .select("a", "part", F.col("text").alias("text_a"))
     )
-    # the centre's number of parts reaches its pairs by one more narrow join, split likewise
-    dealt = attach(
-        pairs.select("a", "b"), stage(pairs.groupBy("a").agg(F.count("*").alias("times")).join(times, "a"), "dealt"),
-        ["a"], "times", pairs.count(),
-    ).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    dealt = pairs.select("a", "b").join(times, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     both = dealt.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b").join(left, ["a", "part"])
 
     def checked(batches):
@@ -301,14 +319,10 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kept: the row of the smallest id of its component (of equal ids, the smallest rid).
     """
     rows = stage(sketched(docs), "sketches")
-    ids = docs.select("rid", "doc_id")
-    narrow = stage(rows.select("rid", "n_shingles", "class_key").join(ids, "rid"), "sizes")
+    narrow = rows.select("rid", "doc_id", "n_shingles", "class_key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid"))
     groups = stage(
-        narrow.filter("class_key is not null")
-        .groupBy("class_key")
-        .agg(first.alias("first"), F.count("*").alias("docs")),
-        "classes",
+        narrow.filter("class_key is not null").groupBy("class_key").agg(first.alias("first")), "classes"
     )
     classes = stage(
         rows.join(groups.select(F.col("first.rid").alias("rid")), "rid").select("rid", "n_shingles", "sketch", "bands"),
@@ -318,23 +332,22 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     buckets = stage(
         banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rid").alias("pivot")).filter("n > 1"), "buckets"
     )
-    total = classes.count()
-    members = stage(attach(banded, buckets, ["bucket"], "n", total * BANDS), "members")
+    members = stage(banded.join(buckets, "bucket"), "members")
     links = stage(verified(stage(star_pairs(members, classes, percent), "likely"), docs, percent), "links")
-    labels = stage(components(links), "found")
-    more = stage(cross_pairs(members, classes, labels, percent), "likely2")
-    if not more.isEmpty():
-        added = stage(verified(more, docs, percent), "links2")
+    labels = components(links)
+    for best_only in (True, False):
+        more = stage(cross_pairs(members, classes, labels, percent, best_only), "likely")
+        if more.isEmpty():
+            break
+        added = stage(verified(more, docs, percent), "links")
         if not added.isEmpty():
-            labels = stage(components(stage(links.unionByName(added), "all-links")), "found2")
-    named = groups.select("class_key", "docs", "first", F.col("first.rid").alias("node")).join(labels, "node", "left")
+            links = stage(links.unionByName(added), "links")
+            labels = components(links)
+    named = groups.select("class_key", "first", F.col("first.rid").alias("node")).join(labels, "node", "left")
     named = stage(named.withColumn("label", F.coalesce("label", "node")), "named")
-    smallest = stage(
-        named.groupBy("label").agg(F.min("first").alias("head"), F.count("*").alias("n_classes")), "heads"
-    )
-    placed = attach(named.select("class_key", "docs", "label"), smallest, ["label"], "n_classes", total)
-    placed = stage(placed.select("class_key", "docs", "head"), "placed")
-    grouped = attach(narrow.filter("class_key is not null"), placed, ["class_key"], "docs", narrow.count())
+    smallest = stage(named.groupBy("label").agg(F.min("first").alias("head")), "heads")
+    placed = named.join(smallest, "label").select("class_key", "head")
+    grouped = narrow.filter("class_key is not null").join(stage(placed, "placed"), "class_key")
     found = grouped.select(
         "rid", "doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"),
         (F.col("rid") == F.col("head.rid")).alias("kept"),

@@ -252,7 +252,8 @@ def mix(
     times = picks(docs.sparkSession, recipe).groupBy("source_no", "block").agg(F.count("*").alias("times"))
     taken = (
         doc_blocks(known, block)
-        .join(times, ["source_no", "block"])
+        # the planner sees a row per shard and would broadcast the slots: name the join
+        .join(times.hint("merge"), ["source_no", "block"])
         .groupBy("rid")
         .agg(F.sum((F.col("to") - F.col("from")) * F.col("times")).alias("taken"))
     )
@@ -296,7 +297,9 @@ def mixed_documents(
     known = placed(rows, sources, rows.count())
     spans = (
         doc_blocks(known, block)
-        .join(picks(docs.sparkSession, recipe).select("source_no", "block", "round"), ["source_no", "block"])
+        .join(
+            picks(docs.sparkSession, recipe).select("source_no", "block", "round").hint("merge"), ["source_no", "block"]
+        )
         .groupBy("rid")
         .agg(F.collect_list(F.struct("round", "from", "to")).alias("spans"))
     )

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 1_000_000
 BROADCAST_ROWS = 1_000_000
 BINS_PER_OCTAVE = 64
+SUB_BINS = 1024
+EDGE_ROWS = 4096
 ZERO_BIN = -1_000_000
 MISSING_BIN = -2_000_000
 
@@ -130,44 +132,79 @@ def top_percent_mean(
 ) -> DataFrame:
     """Mean of `value(rank_by)` over each key's top 1 % of rows by `rank_by`.
 
-    Exact, without sorting a key's rows in one task and without shuffling the rows:
-    a first pass makes a histogram per key (bounded size, combined map-side), from
-    which follow the sums of the bins wholly inside the top and the one bin in which
-    it ends; a second pass ranks that bin's distinct values only. The histogram's
-    outcome, one row per key, is materialised to know whether it can be broadcast.
+    Exact, without sorting a key's rows in one task and with few of the rows shuffled:
+    a first pass makes a histogram per key (bounded size, combined map-side), from which
+    follow the sums of the bins wholly inside the top and the one bin in which it ends.
+    While that bin has over EDGE_ROWS rows of differing values for some key, as with
+    readings close together, another pass cuts it into SUB_BINS bins of equal width. The
+    last pass ranks the distinct values of what is left. The histogram's outcome, one row
+    per key, is materialised to know whether it can be broadcast.
     Keys with fewer than 100 rows have an empty top and do not appear. `rank_by` is
     non-negative; rows where it is NULL count as rows and rank last.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(rank_by).alias("_m")).withColumn("_bin", magnitude_bin("_m"))
     worth = value(F.col("_m"))
-    bins = rows.groupBy(*keys, "_bin").agg(
+    sums = [
         F.count(F.lit(1)).alias("_n"),
         F.sum(worth).alias("_sum"),
         F.count("_m").alias("_known"),
-    )
+        F.min("_m").alias("_lo"),
+        F.max("_m").alias("_hi"),
+    ]
     per_key = Window.partitionBy(*keys)
     down = per_key.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, 0)
-    marked = (
-        bins.withColumn("_upto", F.sum("_n").over(down))
-        .withColumn("_k", F.sum("_n").over(per_key))
-        .withColumn("_k", F.expr("_k div 100"))
-        .withColumn("_over", F.col("_upto") - F.col("_n"))
-        .filter(F.col("_over") < F.col("_k"))
-    )
-    last = F.col("_upto") >= F.col("_k")
-    edge = marked.groupBy(*keys).agg(
-        F.max(F.when(last, F.col("_bin"))).alias("_bin"),
-        F.max(F.when(last, F.col("_k") - F.col("_over"))).alias("_need"),
-        F.coalesce(F.sum(F.when(~last, F.col("_sum"))), F.lit(0.0)).alias("_whole_sum"),
-        F.coalesce(F.sum(F.when(~last, F.col("_known"))), F.lit(0)).alias("_whole_known"),
-    )
+    bins = rows.groupBy(*keys, "_bin").agg(*sums)
+    counted = bins.withColumn("_k", F.sum("_n").over(per_key))
+    counted = counted.withColumn("_k", F.expr("_k div 100"))
+
+    def edge_of(found: DataFrame) -> DataFrame:
+        """The bin in which each key's `_k` highest rows end, and the sums of those above."""
+        marked = (
+            found.withColumn("_upto", F.sum("_n").over(down))
+            .withColumn("_over", F.col("_upto") - F.col("_n"))
+            .filter(F.col("_over") < F.col("_k"))
+        )
+        last = F.col("_upto") >= F.col("_k")
+        ends = F.max(
+            F.when(last, F.struct("_bin", "_lo", "_hi", "_n", (F.col("_k") - F.col("_over")).alias("_need")))
+        )
+        return marked.groupBy(*keys).agg(
+            ends.alias("_e"),
+            F.coalesce(F.sum(F.when(~last, F.col("_sum"))), F.lit(0.0)).alias("_whole_sum"),
+            F.coalesce(F.sum(F.when(~last, F.col("_known"))), F.lit(0)).alias("_whole_known"),
+        ).select(*keys, "_e.*", "_whole_sum", "_whole_known")
+
+    def in_edge(edge: DataFrame) -> DataFrame:
+        met = rows.join(edge, [*keys, "_bin"])
+        return met.filter(F.col("_lo").isNull() | F.col("_m").between(F.col("_lo"), F.col("_hi")))
+
+    edge = broadcast_if_small(edge_of(counted))
+    while not edge.filter((F.col("_n") > EDGE_ROWS) & (F.col("_hi") > F.col("_lo"))).isEmpty():
+        carry = [*keys, "_bin", "_need", "_whole_sum", "_whole_known"]
+        width = F.col("_hi").cast("double") - F.col("_lo").cast("double")
+        place = F.floor(F.try_divide(F.col("_m").cast("double") - F.col("_lo").cast("double"), width) * SUB_BINS)
+        finer = (
+            in_edge(edge)
+            .withColumn("_sub", F.coalesce(place, F.lit(-1)))
+            .groupBy(*carry, "_sub")
+            .agg(*sums)
+            .select(
+                *keys, F.col("_sub").alias("_bin"), F.col("_need").alias("_k"), "_n", "_sum", "_known", "_lo", "_hi"
+            )
+        )
+        old = edge.select(
+            *keys, "_bin", F.col("_whole_sum").alias("_old_sum"), F.col("_whole_known").alias("_old_known")
+        )
+        edge = broadcast_if_small(
+            edge_of(finer).drop("_bin").join(old, keys).select(
+                *keys, "_bin", "_lo", "_hi", "_n", "_need",
+                (F.col("_whole_sum") + F.col("_old_sum")).alias("_whole_sum"),
+                (F.col("_whole_known") + F.col("_old_known")).alias("_whole_known"),
+            )
+        )
     carried = [*keys, "_need", "_whole_sum", "_whole_known"]
-    distinct = (
-        rows.join(broadcast_if_small(edge), [*keys, "_bin"])
-        .groupBy(*carried, "_m")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    distinct = in_edge(edge).groupBy(*carried, "_m").agg(F.count(F.lit(1)).alias("_n"))
     ranked = per_key.orderBy(F.desc_nulls_last("_m")).rowsBetween(Window.unboundedPreceding, 0)
     take = F.least(F.col("_n"), F.col("_need") - F.col("_over"))
     part = (

@@ -46,10 +46,13 @@ def peak_motion(measurements: DataFrame, sensors: DataFrame, hits: DataFrame) ->
         .join(hits.select("disaster_ts", "building_id"), "building_id")
         .withColumn("_minute", F.explode(clock))
     )
+    by_day = ["day"] if "day" in measurements.columns else []
+    if by_day:  # stored days without a disaster are pruned by the join
+        placed = placed.withColumn("day", F.to_date("_minute"))
     near = (
-        measurements.select("sensor_id", "ts", magnitude().alias("m"))
+        measurements.select("sensor_id", "ts", magnitude().alias("m"), *by_day)
         .withColumn("_minute", F.date_trunc("minute", "ts"))
-        .join(placed, ["sensor_id", "_minute"])
+        .join(placed, [*by_day, "sensor_id", "_minute"])
         .filter(F.col("ts").between(at - minute, at + minute))
     )
     per_sensor = top_percent_mean(

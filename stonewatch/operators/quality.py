@@ -82,8 +82,17 @@ def orphans(
     return _violations(rows, table, key, "reference", f"no such {parent_table}")
 
 
+def _unchecked(df: DataFrame, table: str, columns: Sequence[str], parent: str) -> DataFrame:
+    return df.sparkSession.range(1).select(
+        F.lit("unchecked").alias("rule"),
+        F.lit(table).alias("table"),
+        F.lit(", ".join(columns)).alias("key"),
+        F.lit(f"{parent} not given").alias("reason"),
+    )
+
+
 def table_violations(name: str, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """All declared rules of one table."""
+    """All declared rules of one table; references to tables not given are listed as unchecked."""
     spec, df = TABLES[name], tables[name]
     parts = [
         row_rules(
@@ -97,6 +106,8 @@ def table_violations(name: str, tables: Mapping[str, DataFrame]) -> DataFrame:
     for columns, parent, parent_columns in spec.refs:
         if parent in tables:
             parts.append(orphans(df, name, spec.key, columns, tables[parent], parent, parent_columns))
+        else:
+            parts.append(_unchecked(df, name, columns, parent))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -109,9 +120,12 @@ def check_rows(name: str, existing: DataFrame, candidates: DataFrame, tables: Ma
     """New rows of a table with the first declared rule they break in `reason`.
 
     A candidate whose key exists, or that repeats an earlier candidate (by `seq`)
-    with the same key, is refused.
+    with the same key, is refused. All tables referred to must be given.
     """
     spec = TABLES[name]
+    missing = sorted({parent for _, parent, _ in spec.refs} - set(tables))
+    if missing:
+        raise ValueError(f"{name} refers to {', '.join(missing)}, which are not given")
     texts = [
         F.when(~F.expr(cond), F.lit(text))
         for text, cond in {
@@ -121,8 +135,6 @@ def check_rows(name: str, existing: DataFrame, candidates: DataFrame, tables: Ma
     judged = candidates.withColumn("_row", F.coalesce(*texts))
     flags = [F.col("_row")]
     for i, (columns, parent, parent_columns) in enumerate(spec.refs):
-        if parent not in tables:
-            continue
         known = (
             tables[parent].select(*(F.col(p).alias(c) for p, c in zip(parent_columns, columns)))
             .distinct()

@@ -151,10 +151,10 @@ def building_risk_on_dates(
     windows = asked.withColumn("_w", F.explode(F.array(*spans))).select("building_id", "as_of", "_w.*")
     days = windows.withColumn("_day", F.explode(F.sequence("from_day", "to_day")))
     side = sensors.select(F.col("id").alias("sensor_id"), "building_id", "kind")
+    day = (F.col("day") if "day" in measurements.columns else F.to_date("ts")).alias("_day")
     tagged = (
-        measurements.select("sensor_id", "ts", "x", "y", "z")
+        measurements.select("sensor_id", "ts", "x", "y", "z", day)
         .join(side, "sensor_id")
-        .withColumn("_day", F.to_date("ts"))
         .join(days, ["building_id", "_day"])
         .filter(F.col("ts").between(midnight(F.col("from_day")), midnight(F.col("to_day"))))
     )

@@ -283,7 +283,11 @@ def check_managers(candidates: DataFrame, people: DataFrame) -> DataFrame:
 def check_contributions(
     existing: DataFrame, candidates: DataFrame, jobs: DataFrame, shifts: DataFrame
 ) -> DataFrame:
-    """Hours go to open jobs of the shift's stage, in all no more than the shift lasts."""
+    """Hours go to open jobs of the shift's stage, in all no more than the shift lasts.
+
+    Whether job and shift exist is for the reference checks: where the shift is unknown,
+    nothing can be compared with it and the row passes.
+    """
     of_job = jobs.select(F.col("id").alias("job_id"), F.col("done").alias("_done"), F.col("stage_id").alias("_js"))
     of_shift = shifts.select(
         F.col("id").alias("shift_id"),
@@ -305,12 +309,13 @@ def check_contributions(
     room = of_shift.join(worked, "shift_id", "left").select(
         "shift_id", (F.col("_length") - F.coalesce("_worked", F.lit(0))).alias("room")
     )
-    served = greedy_accept(rows.filter(F.col("_alone").isNull()), room, ["shift_id"], "seq", "hours")
+    weighed = F.col("_alone").isNull() & F.col("_ss").isNotNull()
+    served = greedy_accept(rows.filter(weighed), room, ["shift_id"], "seq", "hours")
     over = F.when(~F.col("accepted"), F.lit("more hours than the shift has"))
     return (
         served.withColumn("reason", over)
         .drop("accepted", "room_left")
-        .unionByName(rows.filter(F.col("_alone").isNotNull()).withColumn("reason", F.col("_alone")))
+        .unionByName(rows.filter(~weighed).withColumn("reason", F.col("_alone")))
         .select(*candidates.columns, "reason")
     )
 

@@ -37,6 +37,18 @@ def day_spans(as_of, periods) -> dict[str, Span]:
     }
 
 
+def readings_of(measurements: DataFrame, *columns: str) -> DataFrame:
+    """The columns asked for, and the day where the readings are stored by day."""
+    return measurements.select(*columns, *(c for c in ("day",) if c in measurements.columns))
+
+
+def on_days(rows: DataFrame, first, last) -> DataFrame:
+    """Rows between two times, by their stored days: folders outside are not read."""
+    if "day" not in rows.columns:
+        return rows
+    return rows.filter(F.col("day").between(F.to_date(first), F.to_date(last))).drop("day")
+
+
 def tag_periods(measurements: DataFrame, spans: Mapping[str, Span]) -> DataFrame:
     """Readings inside any span, once per span, with its name in `period`."""
     ts = F.col("ts")
@@ -47,7 +59,7 @@ def tag_periods(measurements: DataFrame, spans: Mapping[str, Span]) -> DataFrame
     earliest = F.least(*(a for a, _ in spans.values())) if len(spans) > 1 else next(iter(spans.values()))[0]
     latest = F.greatest(*(b for _, b in spans.values())) if len(spans) > 1 else next(iter(spans.values()))[1]
     return (
-        measurements.filter(ts.between(earliest, latest) & inside)
+        on_days(measurements, earliest, latest).filter(ts.between(earliest, latest) & inside)
         .withColumn("period", F.explode(F.array_compact(F.array(*names))))
     )
 
@@ -83,7 +95,7 @@ def with_kind(measurements: DataFrame, sensors: DataFrame, *extra: str) -> DataF
 def sensor_health(measurements: DataFrame, sensors: DataFrame, spans: Mapping[str, Span]) -> DataFrame:
     """Health of every sensor in every span; NULL without (enough) readings."""
     tagged = with_kind(
-        tag_periods(measurements.select("sensor_id", "ts", "x", "y", "z"), spans), sensors
+        tag_periods(readings_of(measurements, "sensor_id", "ts", "x", "y", "z"), spans), sensors
     )
     readings = window_readings(tagged, ["sensor_id", "period"])
     names = F.array(*(F.lit(name) for name in spans))
@@ -187,9 +199,8 @@ def interventions(
 def deviation_ranking(measurements: DataFrame, sensors: DataFrame, at, top: int = 5) -> DataFrame:
     """Low-rate sensors by how far their highest readings of 24 hours exceed the threshold."""
     at = as_ntz(at)
-    day = measurements.select("sensor_id", "ts", "x").filter(
-        F.col("ts").between(at - F.expr("INTERVAL 24 HOURS"), at)
-    )
+    before = at - F.expr("INTERVAL 24 HOURS")
+    day = on_days(readings_of(measurements, "sensor_id", "ts", "x"), before, at).filter(F.col("ts").between(before, at))
     low = sensors.filter(is_low_rate()).select(
         F.col("id").alias("sensor_id"), "building_id", "kind", "threshold", "importance"
     )

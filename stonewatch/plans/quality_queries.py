@@ -334,13 +334,16 @@ HOURS = ["l_partkey AS job_id", "l_orderkey AS shift_id", "CAST(l_quantity / 10
     body="WITH RECURSIVE cd AS (SELECT "
     + ", ".join(HOURS)
     + " FROM lineitem), k AS (SELECT cd.*, CASE WHEN p_size > 45 THEN 'job already done' WHEN p_partkey % 2 <> o_orderkey % 2"
-    " THEN 'job and shift in different stages' END AS alone, coalesce(CAST(round((o_custkey % 480) / 60, 1) AS DECIMAL(4,1)), 0)"
-    " AS room FROM cd LEFT JOIN part ON p_partkey = job_id LEFT JOIN orders ON o_orderkey = shift_id), g AS (SELECT *,"
-    " ROW_NUMBER() OVER (PARTITION BY shift_id ORDER BY seq) AS rn FROM k WHERE alone IS NULL), walk AS (SELECT g.*, hours <="
+    " THEN 'job and shift in different stages' END AS alone, CAST(round((o_custkey % 480) / 60, 1) AS DECIMAL(4,1)) -"
+    " coalesce((SELECT SUM(x.hours) FROM cd x WHERE x.shift_id = cd.shift_id AND x.seq % 7 = 0), 0) AS room FROM cd LEFT JOIN"
+    " part ON p_partkey = job_id LEFT JOIN orders ON o_orderkey = shift_id AND o_orderkey % 11 <> 0 WHERE cd.seq % 7 <> 0), g"
+    " AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY shift_id ORDER BY seq) AS rn FROM k WHERE alone IS NULL AND room IS NOT"
+    " NULL), walk AS (SELECT g.*, hours <="
     " room AS taken, room - CASE WHEN hours <= room THEN hours ELSE 0 END AS rest FROM g WHERE rn = 1 UNION ALL SELECT g.*,"
     " g.hours <= w.rest, w.rest - CASE WHEN g.hours <= w.rest THEN g.hours ELSE 0 END FROM walk w JOIN g ON g.shift_id ="
     " w.shift_id AND g.rn = w.rn + 1) SELECT seq, job_id, shift_id, hours, CASE WHEN NOT taken THEN 'more hours than the shift"
-    " has' END AS reason FROM walk UNION ALL SELECT seq, job_id, shift_id, hours, alone FROM k WHERE alone IS NOT NULL",
+    " has' END AS reason FROM walk UNION ALL SELECT seq, job_id, shift_id, hours, alone FROM k WHERE alone IS NOT NULL"
+    " OR room IS NULL",
 )
 def rule_contributions(r: Roles):
     candidates = table(r.spark, r.sf_dir, "lineitem").selectExpr(*HOURS)
@@ -352,8 +355,9 @@ def rule_contributions(r: Roles):
         "o_orderkey % 2 AS stage_id",
         "o_orderdate AS start",
         "timestampadd(MINUTE, CAST(o_custkey % 480 AS INT), o_orderdate) AS end",
-    )
-    return rules.check_contributions(candidates.filter("false"), candidates, jobs, shifts)
+    ).filter("id % 11 <> 0")
+    old, new = candidates.filter("seq % 7 = 0"), candidates.filter("seq % 7 <> 0")
+    return rules.check_contributions(old, new, jobs, shifts)
 
 
 @query(

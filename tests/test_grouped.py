@@ -51,6 +51,20 @@ def test_top_percent_mean_equals_sorting(make):
             assert got[name] == pytest.approx(want, rel=1e-12), name
 
 
+def test_close_readings_leave_few_rows_to_rank(make, spark, monkeypatch):
+    """One sensor at rest: all magnitudes differ and lie within two per thousand."""
+    rows = spark.range(200_000).select(
+        F.lit("s").alias("k"), (F.lit(1.0) + F.pmod(F.hash("id"), F.lit(1_000_003)) / 5e8 + F.col("id") / 1e12).alias("m")
+    )
+    met = []
+    plain = g.broadcast_if_small
+    monkeypatch.setattr(g, "broadcast_if_small", lambda df, *a: met.append(plain(df, *a)) or met[-1])
+    got = g.top_percent_mean(rows, ["k"], "m", "top").first().top
+    numbers = sorted((r.m for r in rows.collect()), reverse=True)[:2000]
+    assert got == pytest.approx(sum(numbers) / 2000, rel=1e-12)
+    assert len(met) > 1 and met[-1].first()._n <= g.EDGE_ROWS < met[0].first()._n
+
+
 def test_top_percent_mean_of_a_value_of_the_rank(make):
     rows = [("a", i / 100) for i in range(200)]
     df = g.top_percent_mean(

@@ -53,7 +53,9 @@ def test_audit_finds_one_of_each(make):
             ("sensor", "value", "2", "threshold not negative"),
             ("sensor", "value", "2", "importance in range"),
             ("sensor", "reference", "2", "no such floor"),
+            ("lot", "unchecked", "material_id", "material not given"),
             ("lot", "value", "1", "available within units"),
+            ("stage", "unchecked", "project_id", "project not given"),
             ("stage", "value", "1", "planned end after start"),
             ("stage", "value", "1", "end after start"),
         ]

@@ -163,11 +163,11 @@ def test_contributions(make):
     jobs = make("id bigint, stage_id bigint, done boolean", [(1, 1, False), (2, 1, True), (3, 1, False)])
     ddl = "job_id bigint, shift_id bigint, hours decimal(2,1)"
     existing = make(ddl, [(1, 1, 3)])
-    rows = [(1, 1, "4.9"), (3, 1, "0.2"), (3, 1, "0.1"), (2, 2, 1), (1, 3, 1), (1, 2, "2.0"), (3, 2, "0.1")]
+    rows = [(1, 1, "4.9"), (3, 1, "0.2"), (3, 1, "0.1"), (2, 2, 1), (1, 3, 1), (1, 2, "2.0"), (3, 2, "0.1"), (1, 99, "9.0")]
     got = rules.check_contributions(existing, make(ddl + ", seq bigint", with_seq(rows)), jobs, shifts)
     over = "more hours than the shift has"
     assert reasons(got) == [
-        None, over, None, "job already done", "job and shift in different stages", None, over,
+        None, over, None, "job already done", "job and shift in different stages", None, over, None,
     ]
 
 

@@ -140,3 +140,19 @@ def test_alerts_and_summaries(make):
 def test_empty_tables(make):
     table = op.health_table(make(READING, []), make(SENSOR, []), "2023-02-01")
     assert table.count() == 0
+
+
+def test_stored_days_outside_the_periods_are_not_read(spark, make, tmp_path):
+    from stonewatch.sources import tables as store
+
+    sensors = make(SENSOR, [sensor(1, "Termometro", 40), sensor(2, "Giroscopio", "0.5")])
+    rows = [(1, f"2023-01-{d:02d} 10:00:00", 20 + d, None, None) for d in range(1, 29)]
+    store.write_table(make(READING, rows), str(tmp_path), "measurement")
+    stored, plain = store.read_table(spark, str(tmp_path), "measurement"), make(READING, rows)
+    for run in (
+        lambda m: op.health_table(m, sensors, "2023-01-28"),
+        lambda m: op.deviation_ranking(m, sensors, "2023-01-20 12:00:00"),
+    ):
+        got, want = run(stored), run(plain)
+        assert "PartitionFilters: [isnotnull(day" in got._jdf.queryExecution().toString()
+        assert values(got, *got.columns) == values(want, *want.columns)

@@ -130,6 +130,7 @@ class Periods:
     old: tuple[int, int]
 
 
+# Windows, limits, rates, sizes and colours that results depend on.
 @dataclass(frozen=True)
 class Config:
     advice_periods: Periods = Periods(new=(15, 0), old=(30, 16))

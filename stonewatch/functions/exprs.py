@@ -127,6 +127,7 @@ def attenuation(distance, config: Config = DEFAULT) -> Column:
 
 
 def intensity_at(intensity, distance, config: Config = DEFAULT) -> Column:
+    """Intensity left at a distance from the centre."""
     return (col(intensity).cast("double") / attenuation(distance, config)).cast("decimal(9,2)")
 
 

@@ -54,6 +54,7 @@ def _text(parts) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
+# The text of the drawn pieces, here and in `floor_plans`.
 def _line(at, colour: Column) -> Column:
     return _text(
         [

@@ -125,3 +125,15 @@ def check_requests(requests: DataFrame, lots: DataFrame, uses: DataFrame | None
         return fit(marked).drop("_first", "_plain")
 
     return settle(base, judge, groups=["material_id"]).drop("_used", "_alone", "stock")
+
+
+def serve(
+    requests: DataFrame, lots: DataFrame, uses: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Judge requests, draw the accepted ones from the lots, and lower what is available.
+
+    The judged requests, the draws and the lots afterwards; refused requests draw nothing.
+    """
+    judged = check_requests(requests, lots, uses)
+    drawn = allocate(judged.filter(F.col("reason").isNull()).select("job_id", "material_id", "quantity", "seq"), lots)
+    return judged, drawn, remaining_stock(lots, drawn)

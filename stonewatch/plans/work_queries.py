@@ -41,20 +41,59 @@ def remaining_stock(r: Roles):
     return stock.remaining_stock(r.lot, stock.allocate(r.request, r.lot))
 
 
+GUARD_CTES = {
+    "gr": "SELECT job_id, CASE WHEN seq % 17 = 0 THEN material_id + 1000000 ELSE material_id END AS material_id, CASE WHEN"
+    " seq % 13 = 0 THEN -quantity ELSE quantity END AS quantity, seq FROM greedy_request",
+    "us": "SELECT DISTINCT u.job_id, l.material_id FROM greedy_request u JOIN (SELECT material_id, MIN(id) AS id FROM lot GROUP"
+    " BY 1) m ON m.material_id = u.material_id JOIN lot l ON l.id = m.id WHERE u.seq % 19 = 0",
+    "pl": "SELECT g.*, s.stock, CASE WHEN u.job_id IS NOT NULL THEN 'material already used by the job' WHEN g.quantity < 0 THEN"
+    " 'negative quantity' WHEN s.stock IS NULL THEN 'no stock of the material' END AS plain FROM gr g LEFT JOIN (SELECT"
+    " material_id, SUM(available) AS stock FROM lot GROUP BY 1) s ON s.material_id = g.material_id LEFT JOIN us u ON u.job_id ="
+    " g.job_id AND u.material_id = g.material_id",
+    "rq": "SELECT *, ROW_NUMBER() OVER (PARTITION BY material_id ORDER BY seq) AS rn FROM pl WHERE plain IS NULL",
+    "walk": "SELECT job_id, material_id, seq, quantity, rn, quantity <= stock AS taken, stock - CASE WHEN quantity <= stock"
+    " THEN quantity ELSE 0 END AS room FROM rq WHERE rn = 1 UNION ALL SELECT q.job_id, q.material_id, q.seq, q.quantity, q.rn,"
+    " q.quantity <= w.room, w.room - CASE WHEN q.quantity <= w.room THEN q.quantity ELSE 0 END FROM walk w JOIN rq q ON"
+    " q.material_id = w.material_id AND q.rn = w.rn + 1",
+}
+
+
+def guarded(r: Roles):
+    """Requests of which some are negative, some for a material without lots, some made before."""
+    requests = r.greedy_request
+    lot = r.lot.groupBy("material_id").agg(F.min("id").alias("lot_id"))
+    uses = requests.filter("seq % 19 = 0").join(lot, "material_id").select("job_id", "lot_id")
+    odd = requests.withColumn(
+        "material_id", F.expr("if(seq % 17 = 0, material_id + 1000000, material_id)")
+    ).withColumn("quantity", F.expr("if(seq % 13 = 0, -quantity, quantity)"))
+    return odd, r.lot, uses
+
+
 @query(
     "allocation_guards",
     "job_id:l material_id:l seq:l quantity:l reason:s",
     "lot greedy_request",
-    "SELECT job_id, material_id, seq, quantity, CASE WHEN NOT taken THEN 'insufficient stock' END AS reason FROM walk",
-    rq="SELECT g.*, s.stock, ROW_NUMBER() OVER (PARTITION BY g.material_id ORDER BY g.seq) AS rn FROM greedy_request g JOIN"
-    " (SELECT material_id, SUM(available) AS stock FROM lot GROUP BY 1) s ON s.material_id = g.material_id",
-    walk="SELECT job_id, material_id, seq, quantity, rn, quantity <= stock AS taken, stock - CASE WHEN quantity <= stock"
-    " THEN quantity ELSE 0 END AS room FROM rq WHERE rn = 1 UNION ALL SELECT q.job_id, q.material_id, q.seq, q.quantity, q.rn,"
-    " q.quantity <= w.room, w.room - CASE WHEN q.quantity <= w.room THEN q.quantity ELSE 0 END FROM walk w JOIN rq q ON"
-    " q.material_id = w.material_id AND q.rn = w.rn + 1",
+    "SELECT job_id, material_id, seq, quantity, CASE WHEN NOT taken THEN 'insufficient stock' END AS reason FROM walk UNION ALL"
+    " SELECT job_id, material_id, seq, quantity, plain FROM pl WHERE plain IS NOT NULL",
+    **GUARD_CTES,
 )
 def allocation_guards(r: Roles):
-    return stock.check_requests(r.greedy_request, r.lot)
+    return stock.check_requests(*guarded(r))
+
+
+@query(
+    "served_requests",
+    "material_id:l id:l purchased:D available:l",
+    "lot greedy_request",
+    "SELECT l.material_id, l.id, l.purchased, l.available - coalesce(a.q, 0) AS available FROM lot l LEFT JOIN (SELECT"
+    " material_id, lot_id, purchased, SUM(quantity) AS q FROM al GROUP BY 1, 2, 3) a ON a.material_id = l.material_id AND"
+    " a.lot_id = l.id AND a.purchased = l.purchased",
+    **GUARD_CTES,
+    request="SELECT job_id, material_id, quantity, seq FROM walk WHERE taken",
+    al=ALLOCATION_SQL,
+)
+def served_requests(r: Roles):
+    return stock.serve(*guarded(r))[2]
 
 
 MATERIAL_SQL = (

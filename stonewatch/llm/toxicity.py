@@ -1,12 +1,13 @@
 """Toxicity scores from a learned lexicon, misspellings and contexts included.
 
 Terms are words and word stems that labelled toxic documents hold far more often than labelled
-clean ones; some tell only when a text holds them twice. They form a trie. Each distinct word of a text is turned into a Levenshtein
-automaton (bit vectors of the places reached with no, one, or two errors) which is run
-along the trie, all terms at once: what both accept are the terms that the word spells or
-misspells. Every hit is then read in its window of WINDOW words on either side: inside
-quotation marks or next to words of reporting it is a quotation; next to a word of address or
-to another hit it is abuse. A logistic model over these few sums gives the score.
+clean ones; some tell only when a text holds them twice. They form a trie, which is met with
+the Levenshtein automata of its terms (one or two errors in longer terms): the places of the
+trie that a word's letters can lead to are the states of a machine that is compiled as words
+come. What it accepts are the terms that a word spells or misspells. Every hit is then read in
+its window of WINDOW words on either side: inside quotation marks or next to words of reporting
+it is a quotation; next to a word of address or to another hit it is abuse. A logistic model
+over these few sums gives the score.
 
 The lexicon and the model are fitted on at most FIT_ROWS toxic and FIT_ROWS clean labelled
 documents (those with the smallest hashes of their ids), held-out rows left out; texts of all
@@ -42,7 +43,7 @@ ONE_ERROR_FROM, TWO_ERRORS_FROM = 5, 10
 WINDOW = 6
 RIDGE = 0.5
 BLANK_SCORE = 0.1
-MAX_KNOWN = 600_000
+MAX_STEPS = 300_000
 
 #: Digits and signs that stand for letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -162,69 +163,123 @@ def choose_terms(counts: DataFrame, toxic: int, clean: int) -> dict[str, tuple[f
     return kept
 
 
+def allowed_errors(length: int) -> int:
+    return 2 if length >= TWO_ERRORS_FROM else 1 if length >= ONE_ERROR_FROM else 0
+
+
 class Lexicon:
-    """A trie of terms, searched with Levenshtein automata of words."""
+    """The trie of terms met with the Levenshtein automata of all of them.
+
+    A place is a trie node with the errors made so far; a letter of a word matches a child,
+    stands in for one, or stands for nothing, and a child may be left out. Sets of places are
+    the states of a deterministic machine, compiled when first met, so that a word costs one
+    lookup a letter and most words end after a few, when no place is left.
+    """
 
     def __init__(self, terms: dict[str, tuple[float, int]]):
-        self.root: dict = {}
+        self.children: list[dict[str, int]] = [{}]
+        self.ends: list[list[tuple]] = [[]]  # (odds, term's number, least, allowed errors, is a stem)
+        self.most: list[int] = [0]  # errors that any term below allows
         for number, (term, (odds, least)) in enumerate(sorted(terms.items())):
-            stem = term.endswith("*")
-            at = self.root
-            letters = term[:-1] if stem else term
+            letters, at = term.rstrip("*"), 0
+            allowed = allowed_errors(len(letters))
             for c in letters:
-                at = at.setdefault(c, {})
-            at[""] = (odds, stem, len(letters), number, least)
-        self.known: dict[str, tuple | None] = {}
+                self.most[at] = max(self.most[at], allowed)
+                if c not in self.children[at]:
+                    self.children[at][c] = len(self.children)
+                    self.children.append({})
+                    self.ends.append([])
+                    self.most.append(0)
+                at = self.children[at][c]
+            self.most[at] = max(self.most[at], allowed)
+            self.ends[at].append((odds, number, least, allowed, term.endswith("*")))
+        self._reset()
+
+    def _reset(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.steps: list[dict[str, int]] = []
+        self.results: list[tuple | None] = []
+        self.n_steps = 0
+        self.start = self._number(self._closed({0: 0}), None)
+
+    def _closed(self, places: dict[int, int]) -> dict[int, int]:
+        """Places reached by leaving out children as well; the fewest errors of each node."""
+        todo = list(places.items())
+        while todo:
+            node, errors = todo.pop()
+            if errors == places[node]:
+                for child in self.children[node].values():
+                    if errors < self.most[child] and errors + 1 < places.get(child, 99):
+                        places[child] = errors + 1
+                        todo.append((child, errors + 1))
+        return places
+
+    @staticmethod
+    def _better(a: tuple | None, b: tuple | None) -> tuple | None:
+        """Fewer errors, then higher odds, then the term's number."""
+        if a is None or b is None:
+            return a or b
+        return min(a, b, key=lambda x: (x[1], -x[0], x[2]))
+
+    def _number(self, places: dict[int, int], found: tuple | None) -> int:
+        at_end = None
+        for node, errors in places.items():
+            for odds, number, least, allowed, stem in self.ends[node]:
+                if errors <= allowed:
+                    hit = (odds, errors, number, least)
+                    at_end = self._better(at_end, hit)
+                    if stem:  # met, whatever follows
+                        found = self._better(found, hit)
+        key = (frozenset(places.items()), found)
+        if key not in self.numbers:
+            self.numbers[key] = len(self.states)
+            self.states.append((places, found))
+            self.steps.append({})
+            self.results.append(self._better(found, at_end))
+        return self.numbers[key]
+
+    def _step(self, state: int, letter: str) -> int:
+        places, found = self.states[state]
+        moved: dict[int, int] = {}
+
+        def reach(node: int, errors: int) -> None:
+            if errors <= self.most[node] and errors < moved.get(node, 99):
+                moved[node] = errors
+
+        for node, errors in places.items():
+            reach(node, errors + 1)
+            for c, child in self.children[node].items():
+                reach(child, errors + (c != letter))
+        self.n_steps += 1
+        made = self.steps[state][letter] = self._number(self._closed(moved), found)
+        return made
+
+    def _run(self, word: str) -> tuple[float, int, int, int] | None:
+        state, steps = self.start, self.steps
+        for letter in word:
+            following = steps[state].get(letter)
+            if following is None:
+                following = self._step(state, letter)
+            state = following
+            if not self.states[state][0]:
+                break
+        return self.results[state]
 
     def find(self, word: str) -> tuple[float, int, int, int] | None:
         """(odds, errors, term's number, least occurrences) of the closest term that the word
         spells, else None."""
-        if word not in self.known:
-            if len(self.known) > MAX_KNOWN:
-                self.known.clear()
-            own = plain(word)
-            found = self._search(own)
-            straight = own.translate(LEET)
-            if found is None and straight != own:
-                found = self._search(straight)
-                found = found and (found[0], max(1, found[1]), *found[2:])
-            self.known[word] = found
-        return self.known[word]
-
-    def _search(self, word: str) -> tuple[float, int, int, int] | None:
-        n = len(word)
-        if not MIN_WORD <= n <= MAX_WORD:
+        if self.n_steps > MAX_STEPS:
+            self._reset()
+        own = plain(word)
+        if not MIN_WORD <= len(own) <= MAX_WORD:
             return None
-        errors = 2 if n >= TWO_ERRORS_FROM else 1 if n >= ONE_ERROR_FROM - 1 else 0
-        where: dict[str, int] = {}
-        for i, c in enumerate(word):
-            where[c] = where.get(c, 0) | 1 << i
-        full = (1 << (n + 1)) - 1
-        # row k: places of the word that are reached with k errors at most
-        start = tuple((1 << (k + 1)) - 1 & full for k in range(errors + 1))
-        best = None
-        stack = [(self.root, start)]
-        while stack:
-            node, rows = stack.pop()
-            for c, below in node.items():
-                if c == "":
-                    odds, stem, length, number, least = below
-                    allowed = 2 if length >= TWO_ERRORS_FROM else 1 if length >= ONE_ERROR_FROM else 0
-                    for k in range(min(errors, allowed) + 1):
-                        if rows[k] if stem else rows[k] >> n & 1:
-                            if best is None or (k, -odds) < (best[1], -best[0]):
-                                best = (odds, k, number, least)
-                            break
-                    continue
-                mask = where.get(c, 0)
-                new = [(rows[0] & mask) << 1]
-                for k in range(1, errors + 1):
-                    # the letter matches, is swapped in, is left out of the word, or stands for nothing
-                    row = (rows[k] & mask) << 1 | rows[k - 1] << 1 | rows[k - 1] | new[k - 1] << 1
-                    new.append(row & full)
-                if new[errors]:
-                    stack.append((below, new))
-        return best
+        found = self._run(own)
+        if found is None and not own.isalpha():
+            straight = own.translate(LEET)
+            found = self._run(straight) if straight != own else None
+            found = found and (found[0], max(1, found[1]), *found[2:])
+        return found
 
 
 def features(texts: list[str], lexicon: Lexicon) -> np.ndarray:

@@ -64,7 +64,7 @@ FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search
 #: Words in class and id that mark furniture.
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion cookie"
-    " cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup sidebar sidenav nav navbar"
+    " cookies consent gdpr notice notices alert alerts announcement popup modal overlay newsletter subscribe signup sidebar sidenav nav navbar"
     " navigation menu menus breadcrumb breadcrumbs footer comment comments commentlist respond reply replies disqus"
     " share sharing social related recommended pagination pager widget widgets toolbar topbar masthead".split()
 )
@@ -203,6 +203,11 @@ def is_prose(node: Node) -> bool:
     )
 
 
+def is_template(node: Node, in_article: bool) -> bool:
+    """Whether a recurring subtree may go: blocks that are no prose; in an article only lists of links."""
+    return node.tag in BLOCKS and not is_prose(node) and (not in_article or node.linked > LINK_SHARE * node.chars)
+
+
 def subtrees(root: Node) -> set[int]:
     """Hashes of the page's block subtrees that hold text and could be template."""
     found, todo = set(), [root]
@@ -211,7 +216,7 @@ def subtrees(root: Node) -> set[int]:
         for child in node.children:
             if isinstance(child, Node):
                 todo.append(child)
-                if child.chars and child.tag in BLOCKS and (not is_prose(child) or is_furniture(child, False)):
+                if child.chars and (is_template(child, False) or is_furniture(child, False)):
                     found.add(child.digest)
     return found
 
@@ -257,7 +262,7 @@ def main_text(root: Node, templates: frozenset | set) -> str:
                 held.append(child)
             elif is_furniture(child, in_article):
                 held.append(" ")
-            elif child.digest in templates and child.tag in BLOCKS and not is_prose(child):
+            elif child.digest in templates and is_template(child, in_article):
                 flush()
             else:
                 if child.tag in BLOCKS:

@@ -28,7 +28,7 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
 MIN_LINE_DOCS = 20
-LINE_PERCENT = 5
+LINE_PERCENT = 10
 KEEP_PERCENT = 30
 
 

@@ -42,7 +42,7 @@ def op1_exact_dedup(spark, sf_dir):
          hosts AS (SELECT host, count(DISTINCT t) AS host_docs FROM d GROUP BY host),
          freq AS (SELECT host, norm FROM lines JOIN d USING (rid) JOIN hosts USING (host) WHERE words > 0
                   GROUP BY host, norm, host_docs
-                  HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) * 100 > host_docs * 5),
+                  HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) * 100 > host_docs * 10),
          gone AS (SELECT rid, sum(words) AS n FROM lines JOIN d USING (rid) JOIN freq USING (host, norm)
                   WHERE words > 0 GROUP BY rid),
          m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
@@ -126,6 +126,28 @@ def op10_html_extraction(spark, sf_dir):
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-@query("op7_minhash_dedup")
+@query(
+    "op7_minhash_dedup",
+    rf"""
+    WITH RECURSIVE
+         w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+                 translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '{SQL_SPACE}'),
+                 lambda x: x <> '') AS ws FROM documents),
+         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 1 THEN ws ELSE
+                 list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh
+               FROM w WHERE len(ws) > 0),
+         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+         p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id
+               GROUP BY 1, 2),
+         e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+               WHERE 100 * c >= 80 * (x.n + y.n - c)),
+         ends AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+         r AS (SELECT doc_id AS node, doc_id AS met FROM documents
+               UNION SELECT r.node, ends.b FROM r JOIN ends ON ends.a = r.met),
+         c AS (SELECT node AS doc_id, min(met) AS component_id FROM r GROUP BY 1)
+    SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
+)
 def op7_minhash_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))

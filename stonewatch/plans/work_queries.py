@@ -316,3 +316,80 @@ def shift_validation(r: Roles):
     existing = rows.filter("l_linestatus = 'F'").select(*shifts.SHIFT_COLUMNS)
     candidates = rows.filter("l_linestatus = 'O'").select("seq", *shifts.SHIFT_COLUMNS)
     return shifts.validate_shifts(existing, candidates, r.person, stages, TODAY)
+
+
+#: Sites of some 40 orders, closed in themselves: 40 workers, the first three of them supervisors
+#: who are on eight-hour shifts of their own around the clock.
+SITE_ROWS = [
+    "l_linenumber",
+    "l_orderkey * 10000 + l_linenumber * 1000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber"
+    " ORDER BY l_partkey, l_suppkey, l_shipdate, l_quantity) AS seq",
+    "l_orderkey {div} 40 AS stage_id",
+    "concat('W', l_orderkey {div} 40, '-', l_partkey % 40) AS worker_id",
+    "concat('W', l_orderkey {div} 40, '-', CASE WHEN l_suppkey % 10 < 8 THEN 0 ELSE 1 + l_suppkey % 2 END) AS supervisor_id",
+    "CAST((l_partkey * 7 + l_suppkey + l_linenumber) % 60 AS INT) AS hour",
+    "CAST(l_quantity * 10 AS INT) AS minutes",
+]
+SITE_START = "1998-01-05 06:00:00"
+_SITE_SQL = ", ".join(SITE_ROWS).format(div="//")
+_SEEN = "{{'w': {w}, 'u': {u}, 's': {s}, 'e': {e}, 'q': CAST({q} AS BIGINT)}}"
+SITE_CTES = {
+    "sh": f"SELECT stage_id, worker_id, supervisor_id, seq, l_linenumber, TIMESTAMP '{SITE_START}' + to_hours(hour) AS s,"
+    f" TIMESTAMP '{SITE_START}' + to_hours(hour) + to_minutes(minutes) AS e FROM (SELECT {_SITE_SQL} FROM lineitem)",
+    "ex": "SELECT stage_id, worker_id, supervisor_id, s, e FROM sh WHERE l_linenumber = 1 UNION ALL SELECT stage_id,"
+    " concat('W', stage_id, '-', k), concat('W', stage_id, '-', k),"
+    f" TIMESTAMP '{SITE_START}' + to_hours(CAST(8 * i AS INTEGER)), TIMESTAMP '{SITE_START}' + to_hours(CAST(8 * i + 8 AS"
+    " INTEGER)) FROM (SELECT DISTINCT stage_id FROM sh), range(8) a(i), range(3) b(k)",
+    "cand": "SELECT *, ROW_NUMBER() OVER (PARTITION BY stage_id ORDER BY seq) AS rn, CASE WHEN worker_id LIKE '%-39' THEN"
+    " 'worker not active' WHEN stage_id % 9 = 3 THEN 'stage already closed' WHEN e <= s OR e > s + INTERVAL 8 HOURS THEN"
+    " 'invalid times' END AS fixed, CASE WHEN supervisor_id LIKE '%-0' THEN 8 END AS capacity FROM sh WHERE l_linenumber > 1",
+    "walk": "SELECT stage_id, CAST(0 AS BIGINT) AS rn, list("
+    + _SEEN.format(w="worker_id", u="supervisor_id", s="s", e="e", q="-1")
+    + ") AS seen, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS reason FROM ex GROUP BY 1 UNION ALL SELECT stage_id, rn,"
+    " CASE WHEN reason IS NULL THEN list_append(seen, "
+    + _SEEN.format(w="worker_id", u="supervisor_id", s="s", e="e", q="seq")
+    + ") ELSE seen END, seq, reason FROM (SELECT *, CASE WHEN fixed IS NOT NULL THEN fixed WHEN len(list_filter(near, lambda v:"
+    " v.w = worker_id)) > 0 THEN 'worker already on another shift' WHEN crowd > 14 THEN 'too many workers at once' WHEN"
+    " worker_id = supervisor_id THEN NULL WHEN own IS NULL THEN 'supervisor not on shift' WHEN capacity IS NULL THEN"
+    " 'supervisor''s seniority unknown or out of range' WHEN capacity <= len(list_distinct(list_transform(list_filter(seen,"
+    " lambda v: v.u = supervisor_id AND v.s BETWEEN own.s AND own.e), lambda v: v.w))) THEN 'supervisor''s crew is full' END AS"
+    " reason FROM (SELECT *, list_max(list_transform(near, lambda t: len(list_filter(near, lambda v: v.s <= greatest(t.s, s)"
+    " AND v.e >= greatest(t.s, s))))) AS crowd FROM (SELECT c.*, w.seen, list_filter(w.seen, lambda v: v.e >= c.s AND v.s <="
+    " c.e) AS near, list_min(list_transform(list_filter(w.seen, lambda v: v.w = c.supervisor_id AND v.s <= c.s AND v.e >= c.e),"
+    " lambda v: {'q': v.q, 's': v.s, 'e': v.e})) AS own FROM walk w JOIN cand c ON c.stage_id = w.stage_id AND c.rn = w.rn +"
+    " 1)))",
+}
+
+
+@query(
+    "shift_validation_sites",
+    "seq:l stage_id:l worker_id:s supervisor_id:s start:t end:t reason:s",
+    "person",
+    'SELECT c.seq, c.stage_id, c.worker_id, c.supervisor_id, c.s AS "start", c.e AS "end", w.reason FROM cand c JOIN walk w ON'
+    " w.seq = c.seq",
+    **SITE_CTES,
+)
+def shift_validation_sites(r: Roles):
+    rows = table(r.spark, r.sf_dir, "lineitem").selectExpr(*(c.format(div="div") for c in SITE_ROWS))
+    first = f"TIMESTAMP_NTZ '{SITE_START}'"
+    rows = rows.withColumn("start", F.expr(f"timestampadd(HOUR, hour, {first})"))
+    rows = rows.withColumn("end", F.expr("timestampadd(MINUTE, minutes, start)"))
+    sites = rows.select("stage_id").distinct()
+    own = sites.selectExpr("stage_id", "explode(sequence(0, 7)) AS i").selectExpr(
+        "stage_id", "explode(array(0, 1, 2)) AS k", "i"
+    ).selectExpr(
+        "stage_id",
+        "concat('W', stage_id, '-', k) AS worker_id",
+        "concat('W', stage_id, '-', k) AS supervisor_id",
+        f"timestampadd(HOUR, 8 * i, {first}) AS start",
+        f"timestampadd(HOUR, 8 * i + 8, {first}) AS end",
+    )
+    people = sites.selectExpr("stage_id", "explode(sequence(0, 39)) AS k").selectExpr(
+        "concat('W', stage_id, '-', k) AS id",
+        "k < 39 AS active",
+        "CASE k WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN NULL ELSE 5 END AS seniority",
+    )
+    stages = sites.selectExpr("stage_id AS id", "CASE WHEN stage_id % 9 = 3 THEN DATE '2001-12-31' END AS ended")
+    existing = rows.filter("l_linenumber = 1").select(*shifts.SHIFT_COLUMNS).unionByName(own)
+    candidates = rows.filter("l_linenumber > 1").select("seq", *shifts.SHIFT_COLUMNS)
+    return shifts.validate_shifts(existing, candidates, people, stages, TODAY)

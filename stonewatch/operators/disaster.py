@@ -86,6 +86,11 @@ def new_hits(hits: DataFrame, known: DataFrame) -> DataFrame:
     return hits.join(known.select("disaster_ts").distinct(), "disaster_ts", "left_anti")
 
 
+def estimate_new(measurements: DataFrame, sensors: DataFrame, hits: DataFrame, known: DataFrame) -> DataFrame:
+    """Statistics of the disasters without any so far, to be added to the known ones."""
+    return hit_statistics(measurements, sensors, new_hits(hits, known))
+
+
 def epicentre_intensity(statistics: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Intensity at the centre: what buildings felt, with the attenuation undone."""
     at_centre = F.col("mercalli").cast("double") * attenuation("distance_km", config)

@@ -1,16 +1,19 @@
 """Registered queries of risk, building state, trends and disasters."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stonewatch.config import DEFAULT
 from stonewatch.functions.exprs import distance_km, mercalli
-from stonewatch.functions.grouped import cut_lineage
+from stonewatch.functions.grouped import cut_lineage, shared_folder
 from stonewatch.operators import disaster, risk
 from stonewatch.operators import sensors as sensor_op
 from stonewatch.plans.registry import Roles, query
 from stonewatch.plans.roles import CALC_DATE
 from stonewatch.plans.sensor_queries import ALERT_SQL, EXPECTED_SQL, SUMMARY_SQL
 from stonewatch.plans.sqltext import MAGNITUDE, health_ctes, quoted, ratio
+from stonewatch.sources import tables as store
 
 RISK_DATE = "2001-06-30"
 EARLIER = "2000-12-30"
@@ -346,6 +349,25 @@ def new_events_only(r: Roles):
     return disaster.new_hits(hits(r), known)
 
 
+@query(
+    "estimated_events",
+    "disaster_ts:t building_id:l distance_km:l mercalli:d",
+    TREMOR_ROLES,
+    STATS_SQL,
+    hi=DISTANCE_SQL,
+    mo=MOTION_SQL,
+)
+def estimated_events(r: Roles):
+    """Statistics are stored for one disaster, then for the others, and a third run adds nothing."""
+    root = f"{shared_folder(r.spark)}/estimates-{uuid.uuid4().hex}"
+    first = r.disaster.agg(F.max("ts").alias("disaster_ts"))
+    known = r.disaster.select(F.col("ts").alias("disaster_ts")).join(first, "disaster_ts", "left_anti")
+    for _ in range(3):
+        store.append_hit_statistics(disaster.estimate_new(r.tremor, r.tremor_sensor, hits(r), known), root)
+        known = store.read_hit_statistics(r.spark, root)
+    return known
+
+
 DAMAGE_DAY = "2024-01-30"
 
 

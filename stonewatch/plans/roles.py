@@ -49,26 +49,26 @@ _PLAIN: dict[str, tuple[str, list[str], list[str] | None]] = {
             "event_id",
         ],
     ),
-    # the same readings with a month drawn together into six minutes
+    # some 300 readings of each sensor within two minutes
     "tremor": (
-        "events",
+        "lineitem",
         [
-            "user_id div 10 AS sensor_id",
-            "timestampadd(MICROSECOND, timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)"
-            " div 7200, TIMESTAMP_NTZ '2024-01-31 00:00:00') AS ts",
-            "CAST(1 + value / 1000 AS DECIMAL(18,6)) AS x",
-            "CAST(value / 2000 AS DECIMAL(18,6)) AS y",
-            "CAST(CAST(get_json_object(props, '$.k') AS DOUBLE) / 1000 AS DECIMAL(18,6)) AS z",
-            "event_id",
+            "l_orderkey div 75 AS sensor_id",
+            "timestampadd(SECOND, CAST((l_partkey * 7919 + l_suppkey * 31 + l_linenumber) % 121 AS INT),"
+            " TIMESTAMP_NTZ '2024-01-31 00:02:00') AS ts",
+            "CAST(1 + l_discount AS DECIMAL(18,6)) AS x",
+            "CAST(l_tax AS DECIMAL(18,6)) AS y",
+            "CAST(l_quantity / 1000 AS DECIMAL(18,6)) AS z",
+            "l_orderkey AS event_id",
         ],
         [
-            "user_id // 10 AS sensor_id",
-            "TIMESTAMP '2024-01-31 00:00:00' + to_microseconds("
-            "date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) // 7200) AS ts",
-            "CAST(1 + value / 1000 AS DECIMAL(18,6)) AS x",
-            "CAST(value / 2000 AS DECIMAL(18,6)) AS y",
-            "CAST(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 1000 AS DECIMAL(18,6)) AS z",
-            "event_id",
+            "l_orderkey // 75 AS sensor_id",
+            "TIMESTAMP '2024-01-31 00:02:00' + to_seconds(CAST((l_partkey * 7919 + l_suppkey * 31 + l_linenumber) % 121 AS"
+            " INTEGER)) AS ts",
+            "CAST(1 + l_discount AS DECIMAL(18,6)) AS x",
+            "CAST(l_tax AS DECIMAL(18,6)) AS y",
+            "CAST(l_quantity / 1000 AS DECIMAL(18,6)) AS z",
+            "l_orderkey AS event_id",
         ],
     ),
     "sensor": (
@@ -97,18 +97,18 @@ _PLAIN: dict[str, tuple[str, list[str], list[str] | None]] = {
         ],
     ),
     "tremor_sensor": (
-        "supplier",
+        "customer",
         [
-            "s_suppkey AS id",
-            "CAST(s_suppkey % 3 AS SMALLINT) AS floor",
-            "s_suppkey div 6 AS building_id",
-            f"{KIND_CASE} AS kind",
+            "c_custkey AS id",
+            "CAST(c_custkey % 3 AS SMALLINT) AS floor",
+            "c_custkey div 2 AS building_id",
+            "CASE WHEN c_custkey % 2 = 0 THEN 'Accelerometro' ELSE 'Giroscopio' END AS kind",
         ],
         [
-            "s_suppkey AS id",
-            "CAST(s_suppkey % 3 AS SMALLINT) AS floor",
-            "s_suppkey // 6 AS building_id",
-            f"{KIND_CASE} AS kind",
+            "c_custkey AS id",
+            "CAST(c_custkey % 3 AS SMALLINT) AS floor",
+            "c_custkey // 2 AS building_id",
+            "CASE WHEN c_custkey % 2 = 0 THEN 'Accelerometro' ELSE 'Giroscopio' END AS kind",
         ],
     ),
     "area": ("nation", ["concat('A', n_nationkey) AS postcode"], None),

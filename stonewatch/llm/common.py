@@ -20,11 +20,19 @@ HOT_SHARE = 10_000
 HOT_ROWS = 64
 
 
+#: Rows that a Python worker holds at a time; texts may be long.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers of this machine import the package from where the driver has it.
+    """Let Python workers of this machine import the package from where the driver has it, and
+    hand them BATCH_ROWS rows at a time at most, which bounds their memory.
 
     On a cluster the package is installed on the executors or given by --py-files.
     """
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(batch)) <= BATCH_ROWS:
+        spark.conf.set(batch, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(os.pathsep)

@@ -52,7 +52,6 @@ PERCENT = 80
 SLACK = 0.13
 BLOCK_CLASSES = 256
 PAIRS_A_TASK = 512
-SLICE_CHARS = 1_000_000
 
 
 @lru_cache(1)
@@ -126,7 +125,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     def made(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
             done = 0
-            for texts in slices(batch.column(2).to_pylist(), SLICE_CHARS):
+            for texts in slices(batch.column(2).to_pylist()):
                 sets = shingles(texts)
                 signatures = np.stack([signature(s) for s in sets])
                 keys, low = band_keys(signatures), signatures.astype(np.uint8)

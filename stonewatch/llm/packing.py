@@ -17,8 +17,10 @@ along; empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,20 +39,22 @@ CAPACITY = 2048
 CLOSING_ID = 1
 HELD = 1024
 LOW_WATER = 256
-MAX_KNOWN = 600_000
+MAX_KNOWN = 300_000
 
 
 class WordIds:
     """Ids of whole texts; the library is asked once for each distinct piece."""
 
     def __init__(self, path: str):
+        # one thread a task: Spark runs the tasks side by side
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}  # ids of a piece as packed uint16
 
     @staticmethod
     def normalised(text: str) -> str:
@@ -58,13 +62,15 @@ class WordIds:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma
         return text.lower()
 
-    def _ids(self, found: list[bytes]) -> list[np.ndarray]:
+    def _ids(self, found: list[bytes]) -> list[bytes]:
         known = self.known
         if len(known) > MAX_KNOWN:
             known.clear()
         new = [p for p in found if p not in known]
-        encoded = self.library.encode_batch([p.decode() for p in new], add_special_tokens=False)
-        known.update((p, np.array(e.ids, np.uint16)) for p, e in zip(new, encoded))
+        for i in range(0, len(new), 1000):
+            some = new[i : i + 1000]
+            encoded = self.library.encode_batch([p.decode() for p in some], add_special_tokens=False)
+            known.update((p, array("H", e.ids).tobytes()) for p, e in zip(some, encoded))
         return [known[p] for p in found]
 
     def of_texts(self, texts: list[str]) -> list[np.ndarray]:
@@ -72,8 +78,8 @@ class WordIds:
         parts, owner, met = parts_of(texts, list(self.special))
         encoded, starts = pieces([self.normalised(p) for p in parts], False)
         each = self._ids(encoded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.concatenate(each) if each else np.zeros(0, np.uint16)
+        lengths = np.fromiter(map(len, each), np.int64, len(each)) // 2
+        flat = np.frombuffer(b"".join(each), np.uint16)
         at = np.cumsum(lengths) - lengths
         order = encoded.indices.to_numpy()
         taken = lengths[order]

@@ -22,7 +22,7 @@ from stonewatch.llm.transducer import file_of, piece_transducer, pieces
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def slices(texts: Iterable[str], chars: int = SLICE_CHARS) -> Iterator[list[str]]:

@@ -54,12 +54,11 @@ def character_classes() -> np.ndarray:
     """Class of every code point: LETTER, NUMBER, OTHER, SPACE_MORE (the space) or BLANK_MORE."""
     import regex
 
-    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
-    text = "".join(map(chr, points))
+    text = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
     classes = np.full(0x110000, OTHER, np.uint8)
     for pattern, value in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", BLANK_MORE)):
-        found = "".join(regex.findall(pattern, text))
-        classes[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = value
+        for run in regex.finditer(pattern, text):
+            classes[ord(run[0][0]) : ord(run[0][-1]) + 1] = value
     classes[32] = SPACE_MORE
     return classes
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,35 @@ def ship(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
 
 
+#: Batches after which a worker hands freed memory back.
+RELEASE_EVERY = 8
+
+
+def release_memory() -> None:
+    """Hand what Arrow and the C library keep of freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def frugal(function):
+    """A function of record batches that hands freed memory back as it goes and at its end.
+
+    Workers are used again by later tasks and stages; what they kept would add up.
+    """
+
+    def run(batches):
+        for i, made in enumerate(function(batches)):
+            yield made
+            del made
+            if i % RELEASE_EVERY == RELEASE_EVERY - 1:
+                release_memory()
+        release_memory()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

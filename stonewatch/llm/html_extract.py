@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stonewatch.llm.common import attach, stage
+from stonewatch.llm.common import attach, frugal, stage
 from stonewatch.llm.url_filter import host_of
 
 MIN_PAGES = 10
@@ -282,6 +282,7 @@ def template_counts(pages: DataFrame) -> DataFrame:
     """(host, subtree, pages): on how many pages of the host a subtree occurs, of `pages`
     with host and html. Each batch is counted before anything is shuffled."""
 
+    @frugal
     def counted(batches):
         for batch in batches:
             seen: Counter = Counter()
@@ -330,6 +331,7 @@ def extract(
     total = templates.agg(F.sum("host_pages")).first()[0] or 0
     known = attach(rows, templates, ["host"], "host_pages", total).select("page_id", "url", "html", "templates")
 
+    @frugal
     def extracted(batches):
         for batch in batches:
             texts, sets = [], {}

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stonewatch.llm.common import stage, text_of
+from stonewatch.llm.common import frugal, stage, text_of
 from stonewatch.llm.components import components
 from stonewatch.llm.exact_dedup import BLOCK_BITS, MAX_BITS, test_slot
 from stonewatch.llm.token_counts import slices
@@ -122,6 +122,7 @@ _SKETCHED = "rid long, doc_id long, n_shingles long, class_key binary, bands arr
 def sketched(docs: DataFrame) -> DataFrame:
     """Set size, class key, band keys and sketch of each row of (rid, doc_id, text)."""
 
+    @frugal
     def made(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
             done = 0
@@ -177,6 +178,7 @@ def star_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFram
     )
     known = pairs.join(facts("b"), "b").join(facts("a"), "a")
 
+    @frugal
     def tested(batches):
         for batch in batches:
             if batch.num_rows:
@@ -226,6 +228,7 @@ def cross_pairs(
     )
     met = everything.drop("n").join(spread.drop("n"), ["bucket", "block"])
 
+    @frugal
     def compared(batches):
         for batch in batches:
             found = [
@@ -281,6 +284,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     dealt = pairs.select("a", "b").join(times, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     both = dealt.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b").join(left, ["a", "part"])
 
+    @frugal
     def checked(batches):
         last, own = None, set()
         for batch in batches:

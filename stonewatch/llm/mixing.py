@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stonewatch.llm.common import attach, stage, text_of
+from stonewatch.llm.common import attach, frugal, stage, text_of
 from stonewatch.llm.quality import words_of
 
 BLOCK = 64
@@ -201,6 +201,7 @@ def picks(spark, recipe: Recipe, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     seed = recipe.seed
     shards = max(1, -(-int(slots.sum()) // shard_slots))
 
+    @frugal
     def fill(batches):
         for batch in batches:
             for shard in batch.column(0).to_pylist():
@@ -304,6 +305,7 @@ def mixed_documents(
         .agg(F.collect_list(F.struct("round", "from", "to")).alias("spans"))
     )
 
+    @frugal
     def cut(batches):
         for batch in batches:
             texts = [

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stonewatch.llm.common import text_of
+from stonewatch.llm.common import frugal, text_of
 from stonewatch.llm.token_counts import parts_of, slices
 from stonewatch.llm.transducer import file_of, pieces
 
@@ -257,6 +257,7 @@ def pack(
     `with_ids` adds the piece's ids. A sequence is the pieces of one sequence_id by offset.
     """
 
+    @frugal
     def packed(batches):
         return _packed(batches, file_of(tokenizer), capacity, with_ids)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stonewatch.llm.common import text_of
+from stonewatch.llm.common import frugal, text_of
 from stonewatch.llm.transducer import file_of
 
 #: The base patterns, and the least characters of the value or match.
@@ -241,6 +241,7 @@ def find_secrets(
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     kinds = [pa.int64()] * 4 + [pa.string()] * 2
 
+    @frugal
     def scanned(batches):
         ranks = word_ranks(file_of(words))
         for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stonewatch.llm.common import text_of
+from stonewatch.llm.common import frugal, text_of
 from stonewatch.llm.transducer import file_of, piece_transducer, pieces
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,6 +72,7 @@ def token_counts(
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit."""
 
+    @frugal
     def counted(batches):
         path = file_of(tokenizer)
         for batch in batches:

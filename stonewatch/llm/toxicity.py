@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stonewatch.llm.common import stage, text_of
+from stonewatch.llm.common import frugal, stage, text_of
 from stonewatch.llm.token_counts import slices
 from stonewatch.llm.transducer import SPACE_MORE, character_classes
 
@@ -116,6 +116,7 @@ _COUNTS = ("toxic1", "clean1", "toxic2", "clean2")
 def term_counts(sample: DataFrame) -> DataFrame:
     """Toxic and clean documents with each term once or more, and twice or more."""
 
+    @frugal
     def counted(batches):
         for batch in batches:
             both: dict[str, Counter] = {c: Counter() for c in _COUNTS}
@@ -381,6 +382,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         return Model({}, None)
     model = Model(choose_terms(term_counts(sample), sizes[1], sizes[0]), None)
 
+    @frugal
     def measured(batches):
         for batch in batches:
             x = features(batch.column(1).to_pylist(), model.lexicon)
@@ -397,6 +399,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
 
+    @frugal
     def scored(batches):
         for batch in batches:
             found = [model.scores(s) for s in slices(batch.column(2).to_pylist())]
@@ -413,6 +416,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with a score under one half, all columns kept."""
 
+    @frugal
     def passed(batches):
         for batch in batches:
             found = [model.scores(s) for s in slices(batch.column("text_").to_pylist())]

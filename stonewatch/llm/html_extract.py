@@ -6,7 +6,10 @@ MIN_PAGES pages and PAGES_PERCENT percent of the host's pages are the site's tem
 deleted, whatever their markup says. Blocks of prose are never template: text is dropped for
 being furniture, not for being repeated. Besides, elements that are furniture by tag, role or
 class (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles)
-are left out. The text is that of the page's article, else its main element, else its body.
+are left out. A form, or a class or id that only has such a word as part of a longer name
+(`with-sidebar`), does not make furniture of what holds over half of the page's unlinked text.
+The text is that of the page's article, else its main element, else its body; where that shows
+less than an article inside a wrapper with a furniture word, it is that article's.
 
 Inside a block white space becomes one space; blocks are joined by a line feed in page order.
 Markup may be broken: end tags may lack, be doubled or cross, comments and tags may not end.
@@ -20,6 +23,7 @@ all pages.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from html import unescape
@@ -99,6 +103,8 @@ class Node:
                 h.update(b"\2" + child.digest.to_bytes(8, "little"))
                 self.chars += child.chars
                 self.linked += child.linked
+        if self.tag in RAW:
+            self.chars = 0
         if self.tag == "a":
             self.linked = self.chars
         self.digest = h.intdigest()
@@ -178,19 +184,30 @@ def parse(html: str) -> Node:
     return root
 
 
-def is_furniture(node: Node, in_article: bool) -> bool:
+def is_apart(node: Node) -> bool:
+    """Furniture by tag (forms aside), role or being hidden: no article is looked for inside."""
     a = node.attributes
-    if node.tag in FURNITURE_TAGS or node.tag == "header" and not in_article:
+    if node.tag in FURNITURE_TAGS and node.tag != "form":
         return True
     if not a:
         return False
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in FURNITURE_ROLES:
         return True
-    if "display:none" in a.get("style", "").replace(" ", "").lower():
+    return "display:none" in a.get("style", "").replace(" ", "").lower()
+
+
+def is_furniture(node: Node, in_article: bool, most: float = math.inf) -> bool:
+    """`most` is the unlinked text above which a form or a part of a longer name does not count."""
+    if is_apart(node) or node.tag == "header" and not in_article:
+        return True
+    large = node.chars - node.linked > most
+    if node.tag == "form" and not large:
         return True
-    if node.tag in ("html", "body", "main", "h1"):
+    a = node.attributes
+    if not a or node.tag in ("html", "body", "main", "h1"):
         return False
-    names = _PART.findall(f"{a.get('class', '')} {a.get('id', '')}".lower())
+    written = f"{a.get('class', '')} {a.get('id', '')}".lower()
+    names = written.split() if large else _PART.findall(written)
     return any(w in FURNITURE_WORDS for w in names) or "header" in names and not in_article
 
 
@@ -221,24 +238,58 @@ def subtrees(root: Node) -> set[int]:
     return found
 
 
+def most_of(roots: list[Node]) -> float:
+    """Half of the roots' unlinked text."""
+    return sum(n.chars - n.linked for n in roots) / 2
+
+
+def is_article(node: Node) -> bool:
+    return node.tag == "article"
+
+
+def is_main(node: Node) -> bool:
+    return node.tag == "main" or node.attributes.get("role") == "main"
+
+
+def below(root: Node, wanted, passes, enters) -> list[Node]:
+    """The outermost wanted elements that pass, in page order; `enters` says where to look."""
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if wanted(node) and passes(node):
+            found.append(node)
+        elif enters(node):
+            todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    return found
+
+
 def content_roots(root: Node) -> tuple[list[Node], bool]:
-    """The outermost articles that are not furniture, else main elements, else the page."""
-    for wanted in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.attributes.get("role") == "main"):
-        found, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            if wanted(node) and not is_furniture(node, True):
-                found.append(node)
-            elif not is_furniture(node, False):
-                todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    """The outermost articles that are not furniture, else main elements, else the page; but
+    the largest article among furniture where those show less text than it has."""
+    most = most_of([root])
+    chosen, in_article = [root], False
+    for wanted in (is_article, is_main):
+        found = below(root, wanted, lambda n: not is_furniture(n, True, most), lambda n: not is_furniture(n, False, most))
         if any(n.chars for n in found):
-            return found, True
-    return [root], False
+            if wanted is is_article:
+                return found, True
+            chosen, in_article = found, True
+            break
+    for wanted in (is_article, is_main):
+        hidden = below(root, wanted, lambda n: not is_apart(n), lambda n: not is_apart(n))
+        largest = max(hidden, key=lambda n: n.chars - n.linked, default=None)
+        if largest and largest.chars - largest.linked > len(text_below(chosen, in_article, frozenset())):
+            return [largest], True
+    return chosen, in_article
 
 
 def main_text(root: Node, templates: frozenset | set) -> str:
     """Blocks of the content, furniture and template subtrees left out."""
-    roots, in_article = content_roots(root)
+    return text_below(*content_roots(root), templates)
+
+
+def text_below(roots: list[Node], in_article: bool, templates: frozenset | set) -> str:
+    most = most_of(roots)
     blocks: list[str] = []
     held: list[str] = []
 
@@ -260,7 +311,7 @@ def main_text(root: Node, templates: frozenset | set) -> str:
                     flush()
             elif isinstance(child, str):
                 held.append(child)
-            elif is_furniture(child, in_article):
+            elif is_furniture(child, in_article, most):
                 held.append(" ")
             elif child.digest in templates and is_template(child, in_article):
                 flush()

@@ -462,6 +462,23 @@ def test_main_text():
         assert html_extract.main_text(html_extract.parse(html), frozenset()) == text
 
 
+def test_articles_in_wrappers_named_like_furniture():
+    for html in (
+        "<div class='layout with-sidebar'><article><p>The text</p></article></div>",
+        "<div id='social-wrapper'><main><p>The text</p></main></div>",
+        "<div class='page-header-wrap'><article><p>The text</p></article></div>",
+        "<form id='aspnetForm'><article><p>The text</p></article></form>",
+        "<form id='aspnetForm'><div><p>The text</p></div><nav>Menu</nav></form>",
+        "<article class='post has-comments'><p>The text</p></article>",
+        "<article><div class='body with-sidebar'><p>The text</p></div></article>",
+        "<main><div class='sidebar'><article><p>The text</p></article></div></main>",
+        "<article><p>The text</p></article><div class='comment-list'><article class='comment-body'>I too</article></div>",
+        "<div><p>The text</p></div><div class='comments'><article>I too</article></div>",
+        "<article><p>The text</p><section class='comments'>Much more than the text itself</section></article>",
+    ):
+        assert html_extract.main_text(html_extract.parse(html), frozenset()) == "The text", html
+
+
 def test_site_templates_are_removed(spark):
     box = "<div class=x><a href=/1>Top story</a> <a href=/2>Other story</a></div>"
     rows = [(i, f"http://h.org/{i}", f"<body>{box}<p>Text number {i} of this site.</p><p>Shared paragraph.</p></body>") for i in range(30)]

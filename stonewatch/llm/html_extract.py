@@ -1,10 +1,15 @@
 """Main text of web pages: what marks itself as furniture goes, and so do site templates.
 
 Pages are parsed into elements; every element's subtree gets a hash of its tags, classes and
-texts. Spark counts per host on how many pages each subtree occurs. Subtrees on at least
-MIN_PAGES pages and PAGES_PERCENT percent of the host's pages are the site's template and are
-deleted, whatever their markup says. Blocks of prose are never template: text is dropped for
-being furniture, not for being repeated. Besides, elements that are furniture by tag, role or
+texts. Spark counts on how many pages of a host each box of a page's content (a subtree of a
+block element) occurs. A box on at least MIN_PAGES pages is the site's template and is deleted,
+whatever its markup, length or place, in articles too. Running prose is not: headings,
+paragraphs and parts of lists and tables stay where they stand directly in the content or a
+sibling of theirs does not recur, unless they are mostly links. So that copies of a page do not
+make its text a template, pages count once by what they hold besides the box: the longest
+texts that make up half of what is outside it. A page with nothing besides is not counted.
+
+Besides, elements that are furniture by tag, role or
 class (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles)
 are left out. A form, or a class or id that only has such a word as part of a longer name
 (`with-sidebar`), does not make furniture of what holds over half of the page's unlinked text.
@@ -16,17 +21,19 @@ Markup may be broken: end tags may lack, be doubled or cross, comments and tags
 
 Null html is empty and gives an empty text; null addresses form a host of their own; repeated
 rows are handled one by one; empty tables give empty results; extra columns are ignored.
-Template hashes of a host are bounded by its mean number of subtrees divided by the share that
-makes a template. Pages meet their host's list by `attach`, so a host may hold any share of
-all pages.
+Pages are parsed once; what their content holds is staged, packed. Boxes meet their counts by
+`attach`, so a box may be on any share of all pages; a page carries only its own boxes.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+import zlib
 from collections import Counter
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -37,8 +44,6 @@ from stonewatch.llm.common import attach, frugal, stage
 from stonewatch.llm.url_filter import host_of
 
 MIN_PAGES = 10
-PAGES_PERCENT = 5
-PROSE_CHARS = 80
 LINK_SHARE = 0.5
 
 #: Element kinds of HTML.
@@ -72,7 +77,11 @@ FURNITURE_WORDS = frozenset(
     " navigation menu menus breadcrumb breadcrumbs footer comment comments commentlist respond reply replies disqus"
     " share sharing social related recommended pagination pager widget widgets toolbar topbar masthead".split()
 )
-PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main body html".split())
+#: Elements that are a page's content rather than boxes in it, and those that are lines of running text.
+WHOLE_TAGS = frozenset("article main body html".split())
+LINE_TAGS = frozenset(
+    "p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd tr caption legend figcaption thead tbody tfoot".split()
+)
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>"']++|"[^"]*+"|'[^']*+')*+))(?:>|\Z)"""
@@ -211,33 +220,6 @@ def is_furniture(node: Node, in_article: bool, most: float = math.inf) -> bool:
     return any(w in FURNITURE_WORDS for w in names) or "header" in names and not in_article
 
 
-def is_prose(node: Node) -> bool:
-    """Text that repetition alone must not delete: headings, paragraphs and long plain texts."""
-    if node.linked > LINK_SHARE * node.chars:
-        return False
-    return node.tag in PROSE_TAGS or node.chars >= PROSE_CHARS or any(
-        isinstance(c, Node) and c.tag in PROSE_TAGS for c in node.children
-    )
-
-
-def is_template(node: Node, in_article: bool) -> bool:
-    """Whether a recurring subtree may go: blocks that are no prose; in an article only lists of links."""
-    return node.tag in BLOCKS and not is_prose(node) and (not in_article or node.linked > LINK_SHARE * node.chars)
-
-
-def subtrees(root: Node) -> set[int]:
-    """Hashes of the page's block subtrees that hold text and could be template."""
-    found, todo = set(), [root]
-    while todo:
-        node = todo.pop()
-        for child in node.children:
-            if isinstance(child, Node):
-                todo.append(child)
-                if child.chars and (is_template(child, False) or is_furniture(child, False)):
-                    found.add(child.digest)
-    return found
-
-
 def most_of(roots: list[Node]) -> float:
     """Half of the roots' unlinked text."""
     return sum(n.chars - n.linked for n in roots) / 2
@@ -283,89 +265,155 @@ def content_roots(root: Node) -> tuple[list[Node], bool]:
     return chosen, in_article
 
 
-def main_text(root: Node, templates: frozenset | set) -> str:
-    """Blocks of the content, furniture and template subtrees left out."""
-    return text_below(*content_roots(root), templates)
-
-
-def text_below(roots: list[Node], in_article: bool, templates: frozenset | set) -> str:
+class Outline:
+    """Texts of the content in page order, each in a box (-1: in none), and the boxes: digest,
+    the box around it, whether it is a line of running text, and what the page holds besides."""
+
+    __slots__ = ("texts", "owners", "digests", "parents", "lines")
+
+    def __init__(self, texts, owners, digests, parents, lines):
+        self.texts, self.owners, self.digests, self.parents, self.lines = texts, owners, digests, parents, lines
+
+    def packed(self) -> bytes:
+        """All but the digests, which stand in a column of their own."""
+        parts = [self.texts, self.owners, self.parents, list(map(int, self.lines))]
+        return zlib.compress(json.dumps(parts, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "replace"), 6)
+
+    @staticmethod
+    def unpacked(data: bytes) -> Outline:
+        texts, owners, parents, lines = json.loads(zlib.decompress(data))
+        return Outline(texts, owners, [], parents, lines)
+
+    def besides(self) -> list[int | None]:
+        """A hash of the texts outside each box that make up half of what is outside: those of
+        the highest classes by length (powers of two). The texts of a box follow one another."""
+        n = len(self.texts)
+        low, high = [n] * len(self.digests), [0] * len(self.digests)
+        for i, owner in enumerate(self.owners):
+            if owner >= 0:
+                low[owner], high[owner] = min(low[owner], i), max(high[owner], i + 1)
+        for i in range(len(self.digests) - 1, -1, -1):
+            p = self.parents[i]
+            if p >= 0:
+                low[p], high[p] = min(low[p], low[i]), max(high[p], high[i])
+        hashes, sizes = [xxhash.xxh3_64_intdigest(t) for t in self.texts], [len(t) for t in self.texts]
+        sums = []  # by class and above: running sizes and hashes
+        for least in sorted({1 << x.bit_length() - 1 for x in sizes}, reverse=True):
+            sums.append((
+                [0, *accumulate(x if x >= least else 0 for x in sizes)],
+                [0, *accumulate(h if x >= least else 0 for h, x in zip(hashes, sizes))],
+            ))
+        found: list[int | None] = []
+        for a, b in zip(low, high):
+            outside = lambda running: running[a] + running[n] - running[max(a, b)]  # noqa: E731, B023
+            every = outside(sums[-1][0]) if sums else 0
+            found.append(next((outside(h) % (1 << 64) for x, h in sums if 2 * outside(x) >= every), 0) if every else None)
+        return found
+
+    def text(self, recurring: frozenset | set) -> str:
+        """The text without templates, given the numbers of the recurring boxes."""
+        if not recurring:
+            return "\n".join(self.texts)
+        own = {p for i, p in enumerate(self.parents) if i not in recurring} | set(self.owners) | {-1}
+        gone: list[bool] = []
+        for i, (parent, line) in enumerate(zip(self.parents, self.lines)):
+            around = parent >= 0 and gone[parent]
+            gone.append(around or i in recurring and not (line and parent in own))
+        return "\n".join(t for t, o in zip(self.texts, self.owners) if o < 0 or not gone[o])
+
+
+def outline(roots: list[Node], in_article: bool) -> Outline:
+    """What the content holds, furniture left out."""
     most = most_of(roots)
-    blocks: list[str] = []
+    made = Outline([], [], [], [], [])
     held: list[str] = []
 
-    def flush() -> None:
+    def flush(owner: int) -> None:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            blocks.append(text)
+            made.texts.append(text)
+            made.owners.append(owner)
 
     for top in roots:
-        walk = [(top, iter(top.children))]
-        flush()
+        walk = [(top, iter(top.children), -1)]
+        flush(-1)
         while walk:
-            node, children = walk[-1]
+            node, children, owner = walk[-1]
             child = next(children, None)
             if child is None:
                 walk.pop()
                 if node.tag in BLOCKS:
-                    flush()
+                    flush(owner)
             elif isinstance(child, str):
                 held.append(child)
             elif is_furniture(child, in_article, most):
                 held.append(" ")
-            elif child.digest in templates and is_template(child, in_article):
-                flush()
             else:
+                box = owner
                 if child.tag in BLOCKS:
-                    flush()
+                    flush(owner)
+                    if child.chars and child.tag not in WHOLE_TAGS:
+                        box = len(made.digests)
+                        made.digests.append(child.digest)
+                        made.parents.append(owner)
+                        made.lines.append(child.tag in LINE_TAGS and child.linked <= LINK_SHARE * child.chars)
                 elif child.tag in ("br", "td", "th"):
                     held.append(" ")
-                walk.append((child, iter(child.children)))
-        flush()
-    return "\n".join(blocks)
+                walk.append((child, iter(child.children), box))
+        flush(-1)
+    return made
+
+
+def text_below(roots: list[Node], in_article: bool, templates: frozenset | set) -> str:
+    made = outline(roots, in_article)
+    return made.text({i for i, d in enumerate(made.digests) if d in templates})
+
+
+def main_text(root: Node, templates: frozenset | set) -> str:
+    """Blocks of the content, furniture and template boxes left out."""
+    return text_below(*content_roots(root), templates)
 
 
 def signed(digest: int) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
 
-def template_counts(pages: DataFrame) -> DataFrame:
-    """(host, subtree, pages): on how many pages of the host a subtree occurs, of `pages`
-    with host and html. Each batch is counted before anything is shuffled."""
+def outlines(pages: DataFrame) -> DataFrame:
+    """Staged (rid, page_id, url, packed, boxes) of pages with rid, page_id, url, host and html;
+    boxes are (digest with the host, besides) in the order of the outline."""
 
     @frugal
-    def counted(batches):
+    def made(batches):
         for batch in batches:
-            seen: Counter = Counter()
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen.update((host, signed(h)) for h in subtrees(parse(html)))
-            hosts, hashes = zip(*seen) if seen else ((), ())
+            packed, boxes = [], []
+            for host, html in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                page = outline(*content_roots(parse(html)))
+                site = "" if host is None else "=" + host
+                digests = (signed(xxhash.xxh3_64_intdigest(f"{site}\0{d}")) for d in page.digests)
+                besides = (None if k is None else signed(k) for k in page.besides())
+                packed.append(page.packed())
+                boxes.append([{"box": d, "besides": k} for d, k in zip(digests, besides)])
+            kind = pa.list_(pa.struct([("box", pa.int64()), ("besides", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(seen.values(), pa.int64())],
-                ["host", "subtree", "pages"],
+                [*batch.columns[:3], pa.array(packed, pa.binary()), pa.array(boxes, kind)],
+                ["rid", "page_id", "url", "packed", "boxes"],
             )
 
-    made = pages.select("host", "html").mapInArrow(counted, "host string, subtree long, pages long")
-    return made.groupBy("host", "subtree").agg(F.sum("pages").alias("pages"))
+    schema = "rid long, page_id long, url string, packed binary, boxes array<struct<box: long, besides: long>>"
+    return stage(pages.select("rid", "page_id", "url", "host", "html").mapInArrow(made, schema), "outlines")
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, percent: int = PAGES_PERCENT) -> DataFrame:
-    """(host, host_pages, templates): the subtrees to delete on each host."""
-    hosts = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    often = template_counts(pages).filter(F.col("pages") >= min_pages).join(hosts, "host")
-    lists = (
-        often.filter(F.col("pages") * 100 >= F.col("host_pages") * percent)
-        .groupBy("host")
-        .agg(F.sort_array(F.collect_list("subtree")).alias("templates"))
-    )
-    none = F.array().cast("array<bigint>")
-    return hosts.join(lists, "host", "left").withColumn("templates", F.coalesce("templates", none))
+def site_templates(boxes: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """Staged (box, n_rows) of boxes (rid, number, box, besides) on `min_pages` pages that differ besides."""
+    apart = boxes.groupBy("box", "besides").agg(F.count("*").alias("n_rows"))
+    counts = apart.groupBy("box").agg(F.count("besides").alias("pages"), F.sum("n_rows").alias("n_rows"))
+    return stage(counts.filter(F.col("pages") >= min_pages).select("box", "n_rows"), "templates")
 
 
 def extract(
     pages: DataFrame,
     min_pages: int = MIN_PAGES,
-    percent: int = PAGES_PERCENT,
     id_column: str = "page_id",
     url_column: str = "url",
     html_column: str = "html",
@@ -373,27 +421,32 @@ def extract(
     """One row per page: page_id, url, text, n_chars."""
     url = F.col(f"`{url_column}`")
     rows = pages.select(
+        F.monotonically_increasing_id().alias("rid"),
         F.col(f"`{id_column}`").cast("long").alias("page_id"),
         url.cast("string").alias("url"),
         host_of(url).alias("host"),
         F.coalesce(F.col(f"`{html_column}`"), F.lit("")).alias("html"),
     )
-    templates = stage(site_templates(rows, min_pages, percent), "templates")
-    total = templates.agg(F.sum("host_pages")).first()[0] or 0
-    known = attach(rows, templates, ["host"], "host_pages", total).select("page_id", "url", "html", "templates")
+    made = outlines(rows)
+    boxes = made.select("rid", F.posexplode("boxes").alias("number", "b")).select("rid", "number", "b.box", "b.besides")
+    total = made.agg(F.sum(F.size("boxes"))).first()[0] or 0
+    met = attach(boxes.drop("besides"), site_templates(boxes, min_pages), ["box"], "n_rows", total)
+    lists = met.groupBy("rid").agg(F.collect_list("number").alias("recurring"))
+    # the planner sees short lists and would broadcast one for every page: name the join
+    known = made.select("rid", "page_id", "url", "packed").join(lists.hint("merge"), "rid", "left")
 
     @frugal
     def extracted(batches):
         for batch in batches:
-            texts, sets = [], {}
-            for html, listed in zip(batch.column(2).to_pylist(), batch.column(3)):
-                key = tuple(listed.as_py())
-                templates = sets.setdefault(key, frozenset(h % (1 << 64) for h in key))
-                texts.append(main_text(parse(html), templates))
+            texts = [
+                Outline.unpacked(data).text(frozenset(listed or ()))
+                for data, listed in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                  pa.array(list(map(len, texts)), pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
             )
 
-    return known.mapInArrow(extracted, "page_id long, url string, text string, n_chars long")
+    kept = known.select("page_id", "url", "packed", "recurring")
+    return kept.mapInArrow(extracted, "page_id long, url string, text string, n_chars long")

@@ -490,6 +490,22 @@ def test_site_templates_are_removed(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_templates_inside_articles(spark):
+    box = "<div class=x><p>" + "Readers of this site may sign up for its weekly letter, which costs nothing. " * 2 + "</p></div>"
+    told = "<h2>Summary</h2><p>Shared paragraph.</p><ul><li>Salt</li><li>Only in {0}</li></ul>"
+    rows = [
+        (i, "http://h.org/", f"<article><p>Text number {i} of this site.</p>{box if i < 12 else ''}{told.format(i)}</article>")
+        for i in range(300)
+    ]
+    body = "".join(f"<section><p>Part {k} of a text that stands on many pages, told at length.</p></section>" for k in range(6))
+    rows += [(1000 + i, "http://h.org/", f"<article><h1>Copy</h1>{body}<p>{i} May</p></article>") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    for i in (3, 200):
+        assert got[i] == f"Text number {i} of this site.\nSummary\nShared paragraph.\nSalt\nOnly in {i}"
+    assert got[1007].startswith("Copy\nPart 0 ") and got[1007].endswith("7 May") and got[1007].count("Part") == 6
+
+
 @pytest.fixture(scope="module")
 def pipeline_parts():
     return pytest.importorskip("corpus_pipeline")

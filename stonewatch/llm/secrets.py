@@ -11,9 +11,8 @@ unless they lie in a base span.
 The dictionary is the vocabulary of a public tokenizer file (whole words of three or more
 letters; the rank is the place in the vocabulary), so its size is fixed.
 
-Offsets are code points, ends exclusive. Values are scored whole up to MAX_SCORED
-characters; longer ones cost more to guess than any limit and are spans without scoring.
-Null texts are empty; null or repeated ids are carried along; empty tables give empty
+Offsets are code points, ends exclusive. Values of any length are scored whole: the program
+takes time in proportion to their length. Null texts are empty; null or repeated ids are carried along; empty tables give empty
 results; extra columns are ignored.
 """
 
@@ -54,7 +53,7 @@ CONTEXTS = (
 #: Every context holds one of these; texts without any are not searched.
 CLUES = ("pass", "pwd", "pw", "pin", "secret", "token", "key", "credential", "auth", "login", "bearer", "basic", "://")
 
-MIN_VALUE, MAX_SCORED = 6, 256
+MIN_VALUE = 6
 MIN_LOG10_GUESSES = 8.0
 WORD_LIST = "word_bpe_49k.json"
 MAX_WORD = 24
@@ -184,8 +183,6 @@ def guess_cost(value: str, ranks: dict[str, int]) -> tuple[float, list[tuple[str
 def is_password(value: str, ranks: dict[str, int], least: float = MIN_LOG10_GUESSES) -> bool:
     if len(value) < MIN_VALUE:
         return False
-    if len(value) > MAX_SCORED:
-        return True
     cost, spans = guess_cost(value, ranks)
     # words and signs between them are names or placeholders, not passwords
     return cost >= least and any(kind != "word" and any(map(str.isalnum, value[a:b])) for kind, a, b in spans)

@@ -399,6 +399,13 @@ def test_guess_cost_is_the_smallest_over_all_splits():
     assert secrets.guess_cost("aaaaaaaa", ranks)[0] < 4 < secrets.guess_cost("k3j9Zq!x", ranks)[0]
 
 
+def test_long_values_are_scored():
+    ranks = secrets.word_ranks(transducer.file_of(secrets.WORD_LIST))
+    for value, told in (("x" * 300, False), ("house-garden-" * 30, False), ("k3j9Zq!x7Wp" * 2 + "x" * 300, True)):
+        assert secrets.is_password(value, ranks) is told, value
+        assert ("password" in secrets.scan(f"pwd={value}", ranks)[4]) is told
+
+
 def brute_fill(lengths, room):
     best = {0}
     for x in lengths:

@@ -11,7 +11,8 @@ over these few sums gives the score.
 
 The lexicon and the model are fitted on at most FIT_ROWS toxic and FIT_ROWS clean labelled
 documents (those with the smallest hashes of their ids), held-out rows left out; texts of all
-documents are scored. Lexicon and model are bounded by LEXICON_TERMS.
+documents are scored. The lexicon holds every telling term that no shorter telling stem covers;
+as each is in MIN_TERM_DOCS of the fitted documents, the sample bounds it, not the input.
 
 Null and empty texts get the score of a text without any hit. Null ids are not held out;
 repeated rows are scored alike; without labels of both kinds every score is BLANK_SCORE;
@@ -34,7 +35,6 @@ from stonewatch.llm.transducer import SPACE_MORE, character_classes
 
 FIT_ROWS = 3000
 FOLDS = 5
-LEXICON_TERMS = 500
 MIN_TERM_DOCS = 8
 MIN_LOG_ODDS = 3.0
 STEM_LETTERS = range(4, 9)
@@ -102,8 +102,9 @@ def terms_of(words: Iterable[str]) -> Counter:
     found: Counter = Counter()
     for word, n in Counter(words).items():
         word = plain(word)
-        if MIN_WORD <= len(word) <= MAX_WORD and word.isalpha():
-            found[word] += n
+        if MIN_WORD <= len(word) and word.isalpha():
+            if len(word) <= MAX_WORD:
+                found[word] += n
             for letters in STEM_LETTERS:
                 if letters <= len(word):
                     found[word[:letters] + "*"] += n
@@ -144,24 +145,22 @@ def choose_terms(counts: DataFrame, toxic: int, clean: int) -> dict[str, tuple[f
         value = F.log((t + 0.5) / (toxic + 1.0)) - F.log((c + 0.5) / (clean + 1.0))
         return F.when((t >= MIN_TERM_DOCS) & (value >= MIN_LOG_ODDS), value)
 
-    best = (
+    telling = stage(
         counts.withColumn("once", odds(1))
         .withColumn("twice", odds(2))
         .filter("once is not null or twice is not null")
-        .orderBy(F.desc("toxic1"), F.length("term"), "term")
-        .limit(LEXICON_TERMS)
-        .collect()
+        .select("term", "once", "twice"),
+        "terms",
     )
-    found = {
-        r["term"]: (r["once"], 1) if r["once"] is not None else (r["twice"], 2) for r in best
-    }
-    stems: set[str] = set()
-    for term in sorted((t for t in found if t.endswith("*")), key=lambda t: (len(t), t)):
-        if not any(term[:n] in stems for n in STEM_LETTERS if n < len(term) - 1):
-            stems.add(term[:-1])
-    kept = {s + "*": found[s + "*"] for s in stems}
-    kept |= {t: o for t, o in found.items() if t[-1] != "*" and not any(t[:n] in stems for n in STEM_LETTERS)}
-    return kept
+    stems = telling.filter(F.col("term").endswith("*")).select(F.col("term").alias("stem"))
+    is_stem, letters = F.col("term").endswith("*"), F.length(F.rtrim(F.col("term"), F.lit("*")))
+    shorter = F.filter(
+        F.array(*(F.struct(F.lit(n).alias("n"), F.concat(F.substring("term", 1, n), F.lit("*")).alias("stem")) for n in STEM_LETTERS)),
+        lambda x: (x["n"] < letters) | (x["n"] == letters) & ~is_stem,
+    )
+    covered = telling.select("term", F.explode(shorter).alias("s")).select("term", "s.stem").join(stems, "stem")
+    kept = telling.join(covered.select("term").distinct(), "term", "left_anti").collect()
+    return {r["term"]: (r["once"], 1) if r["once"] is not None else (r["twice"], 2) for r in kept}
 
 
 def allowed_errors(length: int) -> int:
@@ -273,7 +272,7 @@ class Lexicon:
         if self.n_steps > MAX_STEPS:
             self._reset()
         own = plain(word)
-        if not MIN_WORD <= len(own) <= MAX_WORD:
+        if len(own) < MIN_WORD:
             return None
         found = self._run(own)
         if found is None and not own.isalpha():

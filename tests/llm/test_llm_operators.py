@@ -310,6 +310,22 @@ def test_toxicity_learns_and_reads_contexts(spark, odd, empty):
     assert x[0, 3] > 0 and x[0, 4] == 0 and x[1, 3] == 0 and x[1, 4] > 0
 
 
+def test_lexicon_keeps_rare_terms_and_long_words(spark):
+    rows = []
+    for i in range(100):
+        word = "".join(chr(97 + (i // 26**k + 3 * k) % 26) for k in range(3)) + "zuberwort"
+        rows += [(t, 300, 0, 0, 0) for t in (word, *(word[:n] + "*" for n in toxicity.STEM_LETTERS))]
+    rows += [("vermin", 12, 0, 0, 0), ("scum", 12, 0, 0, 0), ("scums", 12, 0, 0, 0), ("plain", 300, 300, 0, 0)]
+    rows += [(f"only{chr(97 + i // 26)}{chr(97 + i % 26)}", 200, 0, 0, 0) for i in range(600)]
+    counts = spark.createDataFrame(rows, "term string, toxic1 long, clean1 long, toxic2 long, clean2 long")
+    terms = toxicity.choose_terms(counts, 3000, 3000)
+    assert {"vermin", "scum", "scums"} <= set(terms) and "plain" not in terms
+    assert len(terms) == 100 + 3 + 600 and sum(t.endswith("*") for t in terms) == 100
+    lexicon = toxicity.Lexicon({"idio*": (5.0, 1), "scum": (5.0, 1)})
+    assert lexicon.find("idiot" * 9) is not None and lexicon.find("scum" * 12) is None
+    assert toxicity.terms_of(["idiot" * 9])["idio*"] == 1
+
+
 def brute_components(sets, percent=80):
     parent = {i: i for i in sets}
 

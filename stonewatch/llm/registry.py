@@ -12,7 +12,7 @@ from stonewatch.llm.common import ship
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("text_queries",)
+_MODULES = ("text_queries", "structure_queries")
 
 
 def query(name: str, sql: str | None = None):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stonewatch.llm import merkle
+from stonewatch.llm import merkle, repeats
 from stonewatch.llm.common import table
 from stonewatch.llm.registry import query
 
@@ -59,3 +59,30 @@ _CRC = """
 )
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.verified_manifest(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_repeated_passages",
+    """
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+         part AS (SELECT rid, low, substr(h, 2 * low + 1, 1310) AS h
+                  FROM (SELECT rid, h, unnest(range(0, len(h) // 2 - 399, 256)) AS low FROM d WHERE len(h) >= 800)),
+         w AS (SELECT rid, low + p AS p, md5(substr(h, 2 * p + 1, 800)) AS name
+               FROM (SELECT rid, low, h, unnest(range(0, least(256, len(h) // 2 - 399))) AS p FROM part)),
+         twice AS (SELECT name FROM w GROUP BY name HAVING count(*) > 1),
+         hit AS (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS before FROM w JOIN twice USING (name)),
+         run AS (SELECT rid, p, sum(CASE WHEN before IS NULL OR p > before + 400 THEN 1 ELSE 0 END)
+                                  OVER (PARTITION BY rid ORDER BY p) AS k FROM hit),
+         span AS (SELECT rid, k, min(p) AS a, max(p) + 400 AS b FROM run GROUP BY rid, k),
+         rest AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS from_, h
+                  FROM span JOIN d USING (rid)),
+         kept AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed,
+                         string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a)
+                           || substr(any_value(h), 2 * max(b) + 1) AS h FROM rest GROUP BY rid)
+    SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+           coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+    FROM d LEFT JOIN kept USING (rid)
+    """,
+)
+def op13_repeated_passages(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))

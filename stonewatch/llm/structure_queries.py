@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stonewatch.llm import merkle, repeats
+from stonewatch.llm import conversation_repair, merkle, repeats
 from stonewatch.llm.common import table
 from stonewatch.llm.registry import query
 
@@ -86,3 +86,8 @@ def op12_merkle_manifest(spark, sf_dir):
 )
 def op13_repeated_passages(spark, sf_dir):
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair_digests(conversation_repair.damaged(table(spark, sf_dir, "conversations")))

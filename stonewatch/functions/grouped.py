@@ -1,14 +1,15 @@
 """Grouped building blocks that stay parallel inside one hot group.
 
 A plain window over a key hands the whole key to one task. The helpers here
-split a key into ordered chunks first, so a key holding much of the table is
-still worked on by many tasks.
+cut a key into ordered slices of about equal row counts first, so a key holding much of
+the table is still worked on by many tasks, whatever values its order has.
 """
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,11 +41,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Write a frame once into the shared folder and read it back.
+
+    Like a checkpoint, it cuts the lineage and survives lost executors; as Parquet, it is read by
+    column and its size is known to the planner.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stonewatch-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -61,6 +66,64 @@ def seq_chunk(seq: str, rows: int = CHUNK_ROWS) -> Column:
     return F.floor(F.col(seq) / F.lit(rows)).cast("long")
 
 
+SLICE_COLUMNS = ("_slice", "_at")
+
+
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows sorted by `keys, order`, with `_slice` and `_at`, written once.
+
+    Slices are Spark's range partitions: about equal numbers of rows, cut anywhere in a key, also
+    among rows that tie. `_slice` rises along the order; `_at` rises by one from row to row in
+    a slice. Totals of slices, combined map-side, carry what goes from slice to slice.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sort = [*keys, *order, "_tie"]
+    return cut_lineage(
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(parts, *sort)
+        .sortWithinPartitions(*sort)
+        .drop("_tie")
+        .withColumn("_slice", F.spark_partition_id())
+        .withColumn("_at", F.monotonically_increasing_id())
+    )
+
+
+def _earlier_slices(keys: Sequence[str]) -> Window:
+    return Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def carried_sum(rows: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Running total of `value` per key over sliced rows, current row included."""
+    part = [*keys, "_slice"]
+    offsets = (
+        rows.groupBy(*part)
+        .agg(F.sum(value).alias("_total"))
+        .select(*part, F.coalesce(F.sum("_total").over(_earlier_slices(keys)), F.lit(0)).alias("_carried"))
+    )
+    within = Window.partitionBy(*part).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        rows.join(offsets, part)
+        .withColumn(out, F.col("_carried") + F.sum(value).over(within))
+        .drop("_carried")
+    )
+
+
+def carried_rank(rows: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """Place of each sliced row in its key, 0 up."""
+    part = [*keys, "_slice"]
+    offsets = (
+        rows.groupBy(*part)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
+        .select(*part, "_from", F.coalesce(F.sum("_n").over(_earlier_slices(keys)), F.lit(0)).alias("_carried"))
+    )
+    return (
+        rows.join(offsets, part)
+        .withColumn(out, F.col("_carried") + F.col("_at") - F.col("_from"))
+        .drop("_carried", "_from")
+    )
+
+
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],
@@ -71,22 +134,79 @@ def running_sum(
 ) -> DataFrame:
     """Running total of `value` per key in `chunks, order` order, current row included.
 
-    `chunks` must be non-decreasing in the wanted order. Chunk totals are
-    pre-aggregated map-side; only they are windowed per key.
+    Keys are not null.
     """
-    part = [*keys, *chunks]
-    before = Window.partitionBy(*keys).orderBy(*chunks).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        df.groupBy(*part)
-        .agg(F.sum(value).alias("_chunk_total"))
-        .select(*part, F.coalesce(F.sum("_chunk_total").over(before), F.lit(0)).alias("_carried"))
-    )
-    within = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        df.join(offsets, part)
-        .withColumn(out, F.col("_carried") + F.sum(value).over(within))
-        .drop("_carried")
-    )
+    return carried_sum(sliced(df, keys, [*chunks, *order]), keys, value, out).drop(*SLICE_COLUMNS)
+
+
+#: Ranks in a block of a range-maximum table; a block is one row.
+BLOCK_RANKS = 256
+
+
+class RangeMaximum:
+    """Largest value between two ranks of a key, without meeting the rows between.
+
+    Rows (keys, rank, value) are held as blocks of BLOCK_RANKS values; above them a table of
+    maxima over 1, 2, 4, ... blocks, each level joined from the one below. A range is then the
+    end of one block, the start of another, and two overlapping power-of-two stretches between.
+    """
+
+    def __init__(self, rows: DataFrame, keys: Sequence[str], rank: str, value: str):
+        self.keys = list(keys)
+        block = F.expr(f"`{rank}` div {BLOCK_RANKS}")
+        self.blocks = cut_lineage(
+            rows.groupBy(*keys, block.alias("_block"))
+            .agg(F.sort_array(F.collect_list(F.struct(F.col(rank), F.col(value).alias("_v")))).alias("_values"))
+            .select(*keys, "_block", F.col("_values._v").alias("_values"))
+        )
+
+    def _levels(self, widest: int) -> DataFrame:
+        """(keys, level, block, peak) for stretches of up to `widest` blocks."""
+        level = self.blocks.select(*self.keys, "_block", F.array_max("_values").alias("_peak"))
+        table, k = level.withColumn("_level", F.lit(0)), 0
+        while 2 ** (k + 1) <= widest:
+            level = cut_lineage(level)
+            ahead = level.select(*self.keys, (F.col("_block") - 2**k).alias("_block"), F.col("_peak").alias("_next"))
+            level = level.join(ahead, [*self.keys, "_block"]).select(
+                *self.keys, "_block", F.greatest("_peak", "_next").alias("_peak")
+            )
+            k += 1
+            table = table.unionByName(level.withColumn("_level", F.lit(k)))
+        return cut_lineage(table)
+
+    def over(self, ranges: DataFrame, low: str, high: str, out: str) -> DataFrame:
+        """Add to ranges (keys, low, high) the largest value from rank `low` to `high`, ends included."""
+        keys = self.keys
+        asked = cut_lineage(
+            ranges.withColumn("_b1", F.expr(f"`{low}` div {BLOCK_RANKS}"))
+            .withColumn("_b2", F.expr(f"`{high}` div {BLOCK_RANKS}"))
+            .withColumn("_between", F.col("_b2") - F.col("_b1") - 1)
+        )
+        widest = asked.agg(F.max("_between")).first()[0] or 0
+
+        def edge(block: str) -> DataFrame:
+            return self.blocks.select(*keys, F.col("_block").alias(block), F.col("_values").alias(f"_in{block}"))
+
+        met = asked.join(edge("_b1"), [*keys, "_b1"]).join(edge("_b2"), [*keys, "_b2"])
+        first = F.expr(f"cast(`{low}` % {BLOCK_RANKS} + 1 as int)")
+        last = F.expr(f"cast(`{high}` % {BLOCK_RANKS} + 1 as int)")
+        alone = F.array_max(F.slice("_in_b1", first, last - first + 1))
+        ends = F.greatest(
+            F.array_max(F.slice("_in_b1", first, F.lit(BLOCK_RANKS))), F.array_max(F.slice("_in_b2", F.lit(1), last))
+        )
+        met = met.withColumn("_ends", F.when(F.col("_b1") == F.col("_b2"), alone).otherwise(ends))
+        met = met.drop("_in_b1", "_in_b2")
+        if widest < 1:
+            return met.withColumn(out, F.col("_ends")).drop("_b1", "_b2", "_between", "_ends")
+        table = self._levels(widest)
+        level = F.when(F.col("_between") > 0, F.floor(F.log2("_between")).cast("int"))
+        met = met.withColumn("_level", level)
+        for name, block in (("_head", F.col("_b1") + 1), ("_tail", F.expr("_b2 - cast(pow(2, _level) as bigint)"))):
+            peaks = table.select(*keys, "_level", F.col("_block").alias(f"{name}_block"), F.col("_peak").alias(name))
+            met = met.withColumn(f"{name}_block", block).join(peaks, [*keys, "_level", f"{name}_block"], "left")
+        return met.withColumn(out, F.greatest("_ends", "_head", "_tail")).drop(
+            "_b1", "_b2", "_between", "_ends", "_level", "_head", "_tail", "_head_block", "_tail_block"
+        )
 
 
 def previous_max(
@@ -234,9 +354,7 @@ def greedy_accept(
     open_rows = open_rows.withColumn("_g_room", F.coalesce("_g_room", F.lit(0)))
     decided: DataFrame | None = None
     while True:
-        run = running_sum(
-            open_rows.withColumn("_chunk", seq_chunk(seq)), keys, ["_chunk"], [seq], demand, "_g_cum"
-        ).drop("_chunk")
+        run = running_sum(open_rows, keys, [], [seq], demand, "_g_cum")
         fits = F.col("_g_cum") <= F.col("_g_room")
         used = run.groupBy(*keys).agg(
             F.coalesce(F.max(F.when(fits, F.col("_g_cum"))), F.lit(0)).alias("_g_used")
@@ -309,40 +427,38 @@ def match_ranges(
 
     Each side has the keys, its id column (any type) and `upto`, the end of its
     range; a range starts where the previous one of its side ends, the first at 0.
-    All ends are merged and sorted: every piece between neighbouring ends lies in
+    All ends are merged and sorted into slices: every piece between neighbouring ends lies in
     one range of each side, the ones ending next. No pairs are formed, so the work
     grows with the sum of both sides. Returns keys, both ids and `amount`.
     """
-    ends = (
-        left.select(*keys, "upto", F.lit(0).alias("_side"), F.struct("upto", left_id).alias("_left"))
-        .unionByName(
+    ends = sliced(
+        left.select(*keys, "upto", F.lit(0).alias("_side"), F.struct("upto", left_id).alias("_left")).unionByName(
             right.select(*keys, "upto", F.lit(1).alias("_side"), F.struct("upto", right_id).alias("_right")),
             allowMissingColumns=True,
-        )
-        .withColumn("_chunk", seq_chunk("upto"))
+        ),
+        keys,
+        ["upto", "_side"],
     )
-    part = [*keys, "_chunk"]
-    chunks = Window.partitionBy(*keys).orderBy("_chunk")
-    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
-    later = chunks.rowsBetween(1, Window.unboundedFollowing)
+    part = [*keys, "_slice"]
+    later = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
     around = (
         ends.groupBy(*part)
         .agg(F.max("upto").alias("_upto"), F.min("_left").alias("_l"), F.min("_right").alias("_r"))
         .select(
             *part,
-            F.max("_upto").over(earlier).alias("_from"),
+            F.max("_upto").over(_earlier_slices(keys)).alias("_from"),
             F.min("_l").over(later).alias("_l"),
             F.min("_r").over(later).alias("_r"),
         )
     )
-    within = Window.partitionBy(*part).orderBy("upto", "_side")
+    within = Window.partitionBy(*part).orderBy("_at")
     behind = within.rowsBetween(Window.unboundedPreceding, -1)
     ahead = within.rowsBetween(0, Window.unboundedFollowing)
     pieces = ends.join(around, part).select(
         *keys,
         (F.col("upto") - F.coalesce(F.max("upto").over(behind), F.col("_from"), F.lit(0))).alias("amount"),
-        F.least(F.min("_left").over(ahead), F.col("_l")).alias("_left"),
-        F.least(F.min("_right").over(ahead), F.col("_r")).alias("_right"),
+        F.coalesce(F.first("_left", ignorenulls=True).over(ahead), F.col("_l")).alias("_left"),
+        F.coalesce(F.first("_right", ignorenulls=True).over(ahead), F.col("_r")).alias("_right"),
     )
     return pieces.filter(
         (F.col("amount") > 0) & F.col("_left").isNotNull() & F.col("_right").isNotNull()

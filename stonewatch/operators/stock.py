@@ -10,7 +10,6 @@ from stonewatch.functions.grouped import (
     greedy_accept,
     match_ranges,
     running_sum,
-    seq_chunk,
     settle,
 )
 
@@ -28,18 +27,18 @@ def allocate(requests: DataFrame, lots: DataFrame) -> DataFrame:
     """
     key = ["material_id"]
     stock = running_sum(
-        lots.filter(F.col("available") > 0).withColumn("_block", seq_chunk("id")),
+        lots.filter(F.col("available") > 0).select(*key, "purchased", "id", "available"),
         key,
-        ["purchased", "_block"],
+        ["purchased"],
         ["id"],
         "available",
         "upto",
     ).withColumn("_lot", F.struct("purchased", "id"))
     demand = running_sum(
-        requests.filter(F.col("quantity") > 0).withColumn("_chunk", seq_chunk("seq")),
+        requests.filter(F.col("quantity") > 0).select(*key, "seq", "job_id", "quantity"),
         key,
-        ["_chunk"],
         ["seq"],
+        ["job_id"],
         "quantity",
         "upto",
     ).withColumn("_request", F.struct("seq", "job_id"))

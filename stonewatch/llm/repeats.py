@@ -15,15 +15,16 @@ ranked together, as a run:
   only are done.
 - Rounds. What is left is cut at fixed distances from the anchor into pieces of ever fewer
   starts (PIECES). All windows of a piece share a string that grows from round to round, from
-  GRAM bytes to the whole window. Pieces are sorted by (rank of their anchor, distance, shared
-  string) and ranked anew: a rank with one piece is unique, and gone; pieces that
-  are equal to both ends repeat, and one stands for all; the others are cut again. In
-  the last round a piece is one start and its string the window, which settles it.
+  GRAM bytes to the whole window. A piece is ranked by the pair (rank of the string shared so far,
+  what it grows by): a rank with one piece is unique, and gone; pieces that are equal to
+  both ends repeat, and one stands for all; the others are cut again. In the last round a
+  piece is one start and its string the window, which settles it.
 
-A round's rows are the ends of repeated passages, not their bytes. Groups of any size are
-reduced by map-side combined aggregations; joins are between staged tables, so that
-adaptive execution splits a rank with any share of the rows. Strings of 128 bits stand for
-those shared. No text is gathered: a run carries up to 2 * WINDOW bytes around its anchor.
+A round's rows are the ends of repeated passages, not their bytes, and carry only the bytes that
+are not yet ranked. Groups of any size are reduced by map-side combined aggregations;
+joins are between staged tables, so that adaptive execution splits a rank with any share of
+the rows. Ranks are 128 bits. Bit filters of bounded size keep anchor strings that occur
+once, and texts with nothing to settle, out of the shuffles.
 
 Null texts count as empty. Texts below WINDOW bytes keep everything. Equal rows, null or repeated
 ids are documents like any other; the row of each input row comes back. Empty tables give
@@ -38,10 +39,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stonewatch.llm.common import frugal, stage, text_of
+from stonewatch.llm.common import discard, frugal, stage, text_of
+from stonewatch.llm.exact_dedup import filter_bits, repeated_slots, test_slot
+from stonewatch.llm.minhash import key_filter
 
 WINDOW = 400
 GRAM = 32
@@ -106,15 +109,16 @@ def runs_of(
         yield at + first, starts[opens], starts[closes], hashes[at]
 
 
-RUNS = "key binary, anchor long, lo int, hi int, gram long, name binary"
+RUNS = "key binary, anchor long, lo int, hi int, gram long, name long"
 
 
 def _runs(window: int, gram: int):
+    schema = pa.schema(
+        [("key", pa.binary()), ("anchor", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()),
+         ("gram", pa.int64()), ("name", pa.int64())]
+    )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [("key", pa.binary()), ("anchor", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()),
-             ("gram", pa.int64()), ("name", pa.binary())]
-        )
         for batch in batches:
             keys = batch.column(0)
             texts = batch.column(1).to_pylist()
@@ -125,9 +129,11 @@ def _runs(window: int, gram: int):
             del texts
             for anchors, first, last, grams in runs_of(data, ends, window, gram):
                 text = np.searchsorted(ends, first, side="right")
-                names = [
-                    xxhash.xxh3_128_digest(joined[a : b + window]) for a, b in zip(first.tolist(), last.tolist(), strict=True)
-                ]
+                names = np.fromiter(
+                    (xxhash.xxh3_64_intdigest(joined[a : b + window]) for a, b in zip(first.tolist(), last.tolist(), strict=True)),
+                    dtype=np.uint64,
+                    count=len(first),
+                )
                 yield pa.record_batch(
                     [
                         keys.take(pa.array(text)),
@@ -135,7 +141,7 @@ def _runs(window: int, gram: int):
                         pa.array((anchors - last).astype(np.int32)),
                         pa.array((anchors - first).astype(np.int32)),
                         pa.array(grams.view(np.int64)),
-                        pa.array(names, pa.binary()),
+                        pa.array(names.view(np.int64)),
                     ],
                     schema=schema,
                 )
@@ -143,16 +149,17 @@ def _runs(window: int, gram: int):
     return frugal(run)
 
 
-def _name(text: Column) -> Column:
-    """128 bits that stand for a byte string."""
-    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("b"), text).alias("b"))
-
-
 def _keyed(docs: DataFrame, text_column: str) -> DataFrame:
     data = text_of(f"`{text_column}`").cast("binary")
     return docs.select(F.unhex(F.md5(data)).alias("key"), data.alias("data"))
 
 
+def _marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Add `_maybe`: whether the row's key may be among the keys. The filter is at most MAX_BITS."""
+    blocks, bits = key_filter(keys, key)
+    return test_slot(rows, F.col(key), blocks, bits, 3, "_maybe")
+
+
 def repeated_spans(docs: DataFrame, text_column: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(key, first, last): spans of bytes that repeated windows cover, per text.
 
@@ -161,81 +168,110 @@ def repeated_spans(docs: DataFrame, text_column: str = "text", window: int = WIN
     if gram & (gram - 1) or not 0 < gram <= window:
         raise ValueError("gram must be a power of two within the window")
     far = window - gram
-    texts = _keyed(docs, text_column)
-    runs = stage(texts.filter(F.length("data") >= window).mapInArrow(_runs(window, gram), RUNS), "runs")
+    texts = _keyed(docs, text_column).filter(F.length("data") >= window)
+    runs = stage(texts.mapInArrow(_runs(window, gram), RUNS), "runs")
+    # anchor strings that certainly occur once are unique: two slots never share a gram
+    bits = filter_bits(runs.count())
+    slots = stage(repeated_slots(runs.select(F.col("gram").alias("key")), bits, 1), "gram-slots")
+    runs_left = test_slot(runs, F.col("gram"), slots, bits, 1, "_maybe").filter("_maybe").drop("_maybe")
     same = ["gram", "lo", "hi", "name"]
     classes = stage(
-        runs.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("key", "anchor")).alias("one")), "classes"
+        runs_left.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("key", "anchor")).alias("one")), "classes"
     )
-    # runs that repeat as a whole
     whole = stage(classes.filter("n > 1").select(*same), "whole")
-    covered = [
-        runs.join(whole, same).select(
-            "key", (F.col("anchor") - F.col("hi")).alias("first"), (F.col("anchor") - F.col("lo") + window).alias("last")
-        )
-    ]
+    ends = [(F.col("anchor") - F.col("hi")).alias("first"), (F.col("anchor") - F.col("lo") + window).alias("last")]
+    covered = stage(runs_left.join(whole, same).select("key", *ends).distinct(), "covered")
+    discard(runs, slots, whole)
     # anchor strings with several classes, one of them open
     open_grams = stage(
-        classes.groupBy("gram").agg(F.count("*").alias("_n"), F.min("n").alias("_least")).filter("_n > 1 and _least = 1").select("gram"),
+        classes.groupBy("gram")
+        .agg(F.count("*").alias("_n"), F.min("n").alias("_least"))
+        .filter("_n > 1 and _least = 1")
+        .select("gram"),
         "grams",
     )
-    left = classes.join(open_grams, "gram").select("gram", "lo", "hi", "one.key", "one.anchor", (F.col("n") > 1).alias("settled"))
-    wanted = stage(
-        left.groupBy("key").agg(F.collect_list(F.struct("gram", "lo", "hi", "anchor", "settled")).alias("runs")), "wanted"
-    )
-    around = F.substring(
-        F.col("data"), (F.col("r.anchor") - F.col("r.hi") + 1).cast("int"), F.col("r.hi") - F.col("r.lo") + window
+    left = classes.join(open_grams, "gram").select(
+        F.monotonically_increasing_id().alias("id"), "gram", "lo", "hi", "one.key", "one.anchor", (F.col("n") > 1).alias("settled")
     )
+    taken = stage(left, "open")
+    discard(classes, open_grams)
+    wanted = taken.groupBy("key").agg(F.collect_list(F.struct("id", "gram", "lo", "hi", "anchor", "settled")).alias("runs"))
+    # one text of each content: copies are reduced before the shuffle
+    needed = _marked(texts, taken.select("key").distinct(), "key").filter("_maybe")
+    before = F.substring(F.col("data"), (F.col("r.anchor") - F.col("r.hi") + 1).cast("int"), F.col("r.hi"))
+    after = F.substring(F.col("data"), (F.col("r.anchor") + gram + 1).cast("int"), far - F.col("r.lo"))
     rows = (
-        texts.join(wanted, "key")
-        .select("key", "data", F.explode("runs").alias("r"))
-        .select("r.gram", "key", "r.anchor", "r.hi", around.alias("around"), "r.settled",
-                F.col("r.lo").alias("from"), F.col("r.hi").alias("to"))
-        # equal texts bring the same run several times
-        .dropDuplicates(["key", "anchor", "from", "to"])
+        needed.groupBy("key")
+        .agg(F.first("data").alias("data"))
+        .join(wanted, "key")
+        .select("data", F.explode("runs").alias("r"))
+        .select(
+            "r.id", "r.settled", F.col("r.lo").alias("from"), F.col("r.hi").alias("to"),
+            F.lit(0).alias("low"), F.lit(far).alias("high"), F.col("r.gram").alias("r1"), F.col("r.gram").alias("r2"),
+            before.alias("left"), after.alias("right"),
+        )
     )
-    rows = stage(rows, "round")
+    spans = covered
     for size in PIECES:
-        rows, found = _round(rows, size, far, window)
-        covered.append(found)
-    spans = covered[0]
-    for more in covered[1:]:
-        spans = spans.unionByName(more)
+        rows, found = _round(rows, size)
+        spans = spans.unionByName(
+            found.join(taken, "id").select(
+                "key", (F.col("anchor") - F.col("to")).alias("first"), (F.col("anchor") - F.col("from") + window).alias("last")
+            )
+        )
     return spans
 
 
-def _round(rows: DataFrame, size: int, far: int, window: int) -> tuple[DataFrame, DataFrame]:
-    """Cut runs into pieces of `size` starts and rank them: pieces still open, and spans found."""
+def _round(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Cut pieces into pieces of `size` starts and rank them: pieces still open, and starts found.
+
+    A piece stands for the starts `from` to `to` of the frame `low` to `high`. `r1, r2` name
+    the string that all windows of the frame share; `left` and `right` are the bytes that the
+    piece's windows have before and after it.
+    """
     pieces = F.sequence(F.expr(f"cast(`from` div {size} as int)"), F.expr(f"cast(`to` div {size} as int)"))
     cut = rows.withColumn("piece", F.explode(pieces))
-    low, high = F.col("piece") * size, F.least(F.col("piece") * size + (size - 1), F.lit(far))
-    cut = cut.withColumn("from", F.greatest("from", low)).withColumn("to", F.least("to", high))
-    shared = F.substring(F.col("around"), F.col("hi") - low + 1, window - (high - low))
-    full = F.substring(F.col("around"), F.col("hi") - F.col("to") + 1, F.col("to") - F.col("from") + window)
-    named = stage(cut.withColumn("rank", _name(shared)).withColumn("all", _name(full)), "pieces")
-    rank = ["gram", "piece", "rank"]
-    equal = [*rank, "from", "to", "all"]
-    stands = F.struct("key", "anchor", "hi", "around")
-    met = stage(
-        named.groupBy(*equal).agg(
-            F.first(stands).alias("one"), ((F.count("*") > 1) | F.bool_or("settled")).alias("settled")
-        ),
-        "equal",
+    cut = cut.withColumn("_low", F.col("piece") * size)
+    cut = cut.withColumn("_high", F.least(F.col("_low") + (size - 1), F.col("high")))
+    cut = cut.withColumn("_from", F.greatest("from", "_low")).withColumn("_to", F.least("to", "_high"))
+    # what the shared string grows by, and what is left besides
+    grown = [
+        F.substring(F.col("left"), F.col("to") - F.col("_low") + 1, F.col("_low") - F.col("low")),
+        F.substring(F.col("right"), F.lit(1), F.col("high") - F.col("_high")),
+    ]
+    rest = [
+        F.substring(F.col("left"), F.col("to") - F.col("_to") + 1, F.col("_to") - F.col("_low")),
+        F.substring(F.col("right"), F.col("high") - F.col("_high") + 1, F.col("_high") - F.col("_from")),
+    ]
+    ranked = cut.select(
+        "id", "settled", F.col("_from").alias("from"), F.col("_to").alias("to"), F.col("_low").alias("low"),
+        F.col("_high").alias("high"), F.xxhash64("r1", "piece", *grown).alias("r1"),
+        F.xxhash64(F.lit("b"), "r2", "piece", *grown).alias("r2"), rest[0].alias("left"), rest[1].alias("right"),
+    )
+    inner = ["from", "to", "left", "right"]
+    named = ranked.withColumn("e1", F.xxhash64("r1", *inner)).withColumn("e2", F.xxhash64(F.lit("b"), "r2", *inner))
+    if size == 1:
+        named = named.drop("left", "right")
+    named = stage(named, "pieces")
+    rank, equal = ["r1", "r2"], ["e1", "e2"]
+    met = named.groupBy(*rank, *equal).agg(
+        F.min("id").alias("id"), ((F.min("id") < F.max("id")) | F.bool_or("settled")).alias("settled")
     )
-    settled = stage(met.filter("settled").select(*equal), "settled")
-    found = (
-        named.filter("not settled")
-        .select("key", "anchor", *equal)
-        .join(settled, equal)
-        .select("key", (F.col("anchor") - F.col("to")).alias("first"), (F.col("anchor") - F.col("from") + window).alias("last"))
+    met = stage(met, "equal")
+    found = stage(
+        named.filter("not settled").select("id", "from", "to", *equal).join(met.filter("settled").select(*equal), equal).drop(*equal),
+        "found",
     )
     if size == 1:
-        return named, found
+        discard(named, met)
+        return found, found
     open_ranks = stage(
         met.groupBy(*rank).agg(F.count("*").alias("_n"), F.bool_and("settled").alias("_all")).filter("_n > 1 and not _all").select(*rank),
         "ranks",
     )
-    left = met.join(open_ranks, rank).select("gram", "one.*", "settled", "from", "to")
+    stand = met.join(open_ranks, rank).select("id", *equal, "settled")
+    left = stage(named.drop("settled").join(stand, ["id", *equal]).drop(*equal), "left")
+    discard(named, met, open_ranks)
     return left, found
 
 
@@ -278,7 +314,12 @@ def with_spans(docs: DataFrame, text_column: str = "text", window: int = WINDOW,
     spans = repeated_spans(docs, text_column, window, gram)
     per_text = stage(spans.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
     data = text_of(f"`{text_column}`").cast("binary")
-    return docs.withColumn("key", F.unhex(F.md5(data))).join(per_text, "key", "left").drop("key")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    marked = _marked(docs.select(row.alias("row"), F.unhex(F.md5(data)).alias("key")), per_text, "key")
+    # texts that nothing is removed from mostly pass straight through
+    alone = marked.filter("not _maybe").select("row", F.lit(None).cast(per_text.schema["spans"].dataType).alias("spans"))
+    met = marked.filter("_maybe").join(per_text, "key", "left").select("row", "spans")
+    return alone.unionByName(met).select("row.*", "spans")
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:

@@ -93,35 +93,23 @@ def _earlier_slices(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def carried_sum(rows: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Running total of `value` per key over sliced rows, current row included."""
+def carried_sums(rows: DataFrame, keys: Sequence[str], sums: dict[str, str]) -> DataFrame:
+    """Running totals per key over sliced rows, current row included: `sums` has the column of each."""
     part = [*keys, "_slice"]
-    offsets = (
-        rows.groupBy(*part)
-        .agg(F.sum(value).alias("_total"))
-        .select(*part, F.coalesce(F.sum("_total").over(_earlier_slices(keys)), F.lit(0)).alias("_carried"))
+    before = _earlier_slices(keys)
+    totals = rows.groupBy(*part).agg(*(F.sum(value).alias(f"_of_{out}") for out, value in sums.items()))
+    offsets = totals.select(
+        *part, *(F.coalesce(F.sum(f"_of_{out}").over(before), F.lit(0)).alias(f"_to_{out}") for out in sums)
     )
     within = Window.partitionBy(*part).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        rows.join(offsets, part)
-        .withColumn(out, F.col("_carried") + F.sum(value).over(within))
-        .drop("_carried")
+    return rows.join(offsets, part).select(
+        *rows.columns, *((F.col(f"_to_{out}") + F.sum(value).over(within)).alias(out) for out, value in sums.items())
     )
 
 
-def carried_rank(rows: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
-    """Place of each sliced row in its key, 0 up."""
-    part = [*keys, "_slice"]
-    offsets = (
-        rows.groupBy(*part)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
-        .select(*part, "_from", F.coalesce(F.sum("_n").over(_earlier_slices(keys)), F.lit(0)).alias("_carried"))
-    )
-    return (
-        rows.join(offsets, part)
-        .withColumn(out, F.col("_carried") + F.col("_at") - F.col("_from"))
-        .drop("_carried", "_from")
-    )
+def carried_sum(rows: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Running total of `value` per key over sliced rows, current row included."""
+    return carried_sums(rows, keys, {out: value})
 
 
 def running_sum(

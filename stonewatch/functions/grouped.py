@@ -112,6 +112,18 @@ def carried_sum(rows: DataFrame, keys: Sequence[str], value: str, out: str) -> D
     return carried_sums(rows, keys, {out: value})
 
 
+def carried_previous(rows: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """`value` of the row before each sliced row of its key; NULL on the first."""
+    part = [*keys, "_slice"]
+    before = Window.partitionBy(*keys).orderBy("_slice")
+    lasts = rows.groupBy(*part).agg(F.max_by(value, "_at").alias("_last"))
+    offsets = lasts.select(*part, F.lag("_last").over(before).alias("_carried"))
+    within = Window.partitionBy(*part).orderBy("_at")
+    return (
+        rows.join(offsets, part).withColumn(out, F.coalesce(F.lag(value).over(within), "_carried")).drop("_carried")
+    )
+
+
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],
@@ -408,6 +420,39 @@ def settle(
         current = judged.drop("previous").withColumnRenamed("reason", "previous")
 
 
+def reached(nodes: DataFrame) -> DataFrame:
+    """(node, reached) of nodes (node, seed, a, b): a seed, or `a` or `b` is reached.
+
+    `a` and `b` are earlier nodes or NULL. Each round drops pointers to nodes that are not reached
+    and lets a pointer to a node with a single pointer jump to where that one points, so a chain
+    of any length takes a logarithmic number of rounds. A round writes only the nodes still open.
+    """
+    start = nodes.select("node", F.when(F.col("seed"), True).alias("reached"), "a", "b")
+    decided: DataFrame | None = None
+    while True:
+        none = F.col("a").isNull() & F.col("b").isNull()
+        judged = cut_lineage(start.withColumn("reached", F.when(none, F.coalesce("reached", F.lit(False))).otherwise(F.col("reached"))))
+        done = judged.filter(F.col("reached").isNotNull()).select("node", "reached")
+        left = judged.filter(F.col("reached").isNull())
+        decided = done if decided is None else decided.unionByName(done)
+        if left.isEmpty():
+            return decided
+        alone = left.filter(F.col("a").isNull() | F.col("b").isNull())
+        # a jump may lead to a node decided some rounds ago, so all decided ones are looked up
+        known = decided.withColumn("jump", F.lit(None).cast(left.schema["a"].dataType)).unionByName(
+            alone.select("node", "reached", F.coalesce("a", "b").alias("jump"))
+        )
+        start = left.select("node", "a", "b")
+        for side in ("a", "b"):
+            start = start.join(known.select(*(F.col(c).alias(f"_{side}_{c}") for c in known.columns)), F.col(side) == F.col(f"_{side}_node"), "left")
+        hit = F.coalesce("_a_reached", F.lit(False)) | F.coalesce("_b_reached", F.lit(False))
+        a, b = (
+            F.when(F.coalesce(f"_{side}_reached", F.lit(True)), F.coalesce(f"_{side}_jump", side)) for side in ("a", "b")
+        )
+        start = start.select("node", F.when(hit, True).alias("reached"), a.alias("a"), b.alias("b"))
+        start = start.withColumn("b", F.when(~F.col("a").eqNullSafe(F.col("b")), F.col("b")))
+
+
 def match_ranges(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, right_id: str
 ) -> DataFrame:

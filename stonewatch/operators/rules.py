@@ -13,7 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stonewatch.functions.exprs import first_reason, segment_key, shift_minutes
-from stonewatch.functions.grouped import greedy_accept, previous_max, seq_chunk, settle
+from stonewatch.functions.grouped import (
+    carried_previous,
+    cut_lineage,
+    greedy_accept,
+    previous_max,
+    reached,
+    seq_chunk,
+    settle,
+    sliced,
+)
 from stonewatch.operators.geometry import FLOOR, containing_wall, wall_ends
 
 OPEN_ENDED = "9999-12-31"
@@ -33,46 +42,55 @@ def _later() -> Column:
 
 
 def check_walls(existing: DataFrame, candidates: DataFrame) -> DataFrame:
-    """A wall is the first of its floor, or shares an end with one there and repeats none."""
-    shape = ["id", *FLOOR, "x1", "y1", "x2", "y2"]
-    old = existing.select(*shape).withColumn("seq", F.lit(-1).cast("long"))
+    """A wall is the first of its floor, or shares an end with one there and repeats none.
 
-    def judge(rows: DataFrame) -> DataFrame:
-        seen = old.unionByName(rows.filter(F.col("previous").isNull()).select(*shape, "seq"))
-        by_floor = seen.groupBy(*FLOOR).agg(F.min("seq").alias("_floor"))
-        by_segment = seen.groupBy(*FLOOR, segment_key().alias("_key")).agg(F.min("seq").alias("_same"))
-        by_point = (
-            wall_ends(seen.withColumn("id", F.col("seq")))
-            .groupBy(*FLOOR, "x", "y")
-            .agg(F.min("id").alias("_point"))
-        )
-        touching = (
-            wall_ends(rows.withColumn("id", F.col("seq")))
-            .join(by_point, [*FLOOR, "x", "y"])
-            .groupBy(F.col("id").alias("seq"))
-            .agg(F.min("_point").alias("_touch"))
-        )
-        alone = ~F.coalesce(F.col("_floor") < F.col("seq"), F.lit(False))
-        apart = ~F.coalesce(F.col("_touch") < F.col("seq"), F.lit(False))
-        return (
-            rows.withColumn("_key", segment_key())
-            .join(by_floor, FLOOR, "left")
-            .join(by_segment, [*FLOOR, "_key"], "left")
-            .join(touching, "seq", "left")
-            .withColumn(
-                "reason",
-                F.when(
-                    ~alone,
-                    first_reason(
-                        (apart, "no end in common with a wall of the floor"),
-                        (F.col("_same") < F.col("seq"), "repeats a wall of the floor"),
-                    ),
-                ),
-            )
-            .select(*rows.columns, "reason")
+    Once a wall at a point is connected, every later wall at the point is. So a wall is connected if
+    it is the first of its floor, touches an existing wall, or the wall before it at either
+    of its ends is connected: links to two earlier walls at most, followed by jumping.
+    """
+    old_floors = _known(existing, FLOOR, "_old")
+    firsts = candidates.groupBy(*FLOOR).agg(F.min("seq").alias("_first"))
+    rows = (
+        candidates.join(old_floors, FLOOR, "left")
+        .join(firsts, FLOOR, "left")
+        .withColumn("_key", segment_key())
+        .withColumn("_alone", F.col("_old").isNull() & F.coalesce(F.col("_first") == F.col("seq"), F.lit(True)))
+    )
+    rows = cut_lineage(rows.drop("_old", "_first"))
+    point = [*FLOOR, "x", "y"]
+    ends = wall_ends(rows.withColumn("id", F.col("seq"))).select(*point, F.col("id").alias("seq")).distinct()
+    old_ends = wall_ends(existing).select(*point).distinct()
+    touching = ends.join(old_ends, point, "left_semi").select("seq").distinct().withColumn("_touch", F.lit(True))
+    linked = carried_previous(sliced(ends, point, ["seq"]), point, "seq", "_before").groupBy("seq").agg(
+        F.min("_before").alias("a"), F.max("_before").alias("b")
+    )
+    nodes = (
+        rows.select("seq", "_alone")
+        .join(touching, "seq", "left")
+        .join(linked, "seq", "left")
+        .select(
+            F.col("seq").alias("node"),
+            (F.col("_alone") | F.coalesce("_touch", F.lit(False))).alias("seed"),
+            "a",
+            F.when(~F.col("a").eqNullSafe(F.col("b")), F.col("b")).alias("b"),
         )
-
-    return settle(candidates, judge, groups=FLOOR)
+    )
+    found = reached(nodes).select(F.col("node").alias("seq"), F.col("reached").alias("_in"))
+    judged = cut_lineage(rows.join(found, "seq"))
+    segment = [*FLOOR, "_key"]
+    drawn = existing.select(*FLOOR, segment_key().alias("_key"), F.lit(-1).cast("long").alias("seq"))
+    drawn = drawn.unionByName(judged.filter("_in").select(*segment, F.col("seq").cast("long")))
+    same = drawn.groupBy(*segment).agg(F.min("seq").alias("_same"))
+    return judged.join(same, segment, "left").withColumn(
+        "reason",
+        F.when(
+            ~F.col("_alone"),
+            first_reason(
+                (~F.col("_in"), "no end in common with a wall of the floor"),
+                (F.col("_same") < F.col("seq"), "repeats a wall of the floor"),
+            ),
+        ),
+    ).select(*candidates.columns, "reason")
 
 
 def check_faces(

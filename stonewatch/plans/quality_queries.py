@@ -139,20 +139,25 @@ WALL_SEQ = "id - id % 10 + id % 10 % 6 AS seq"
     "rule_walls",
     "id:l reason:s",
     "crowded_wall",
-    "SELECT id, reason FROM walk",
-    sq="SELECT *, ROW_NUMBER() OVER (PARTITION BY building_id, floor ORDER BY id - id % 10 + id % 10 % 6) AS rn,"
-    " x1 || ',' || y1 AS p1, x2 || ',' || y2 AS p2, least(x1 || ',' || y1, x2 || ',' || y2) || ';' || greatest(x1 || ',' || y1,"
-    " x2 || ',' || y2) AS sg FROM crowded_wall",
-    walk="SELECT building_id, floor, rn, id, CAST(NULL AS VARCHAR) AS reason, [p1, p2] AS pts, [sg] AS sgs FROM sq WHERE rn = 1"
-    " UNION ALL SELECT q.building_id, q.floor, q.rn, q.id, CASE WHEN NOT (list_contains(w.pts, q.p1) OR list_contains(w.pts,"
-    " q.p2)) THEN 'no end in common with a wall of the floor' WHEN list_contains(w.sgs, q.sg) THEN 'repeats a wall of the"
-    " floor' END, CASE WHEN list_contains(w.pts, q.p1) OR list_contains(w.pts, q.p2) THEN list_distinct(w.pts || [q.p1, q.p2])"
-    " ELSE w.pts END, CASE WHEN list_contains(w.pts, q.p1) OR list_contains(w.pts, q.p2) THEN list_distinct(w.sgs || [q.sg])"
-    " ELSE w.sgs END FROM walk w JOIN sq q ON q.building_id = w.building_id AND q.floor = w.floor AND q.rn = w.rn + 1",
+    "SELECT id, reason FROM walk WHERE rn > 0",
+    ends="SELECT *, x1 || ',' || y1 AS p1, x2 || ',' || y2 AS p2, least(x1 || ',' || y1, x2 || ',' || y2) || ';' ||"
+    " greatest(x1 || ',' || y1, x2 || ',' || y2) AS sg FROM crowded_wall",
+    sq="SELECT *, ROW_NUMBER() OVER (PARTITION BY building_id, floor ORDER BY id - id % 10 + id % 10 % 6) AS rn FROM ends"
+    " WHERE id % 7 <> 3",
+    held="SELECT building_id, floor, list(p1) || list(p2) AS pts, list(sg) AS sgs FROM ends WHERE id % 7 = 3 GROUP BY 1, 2",
+    walk="SELECT f.building_id, f.floor, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS reason,"
+    " coalesce(h.pts, []) AS pts, coalesce(h.sgs, []) AS sgs FROM (SELECT DISTINCT building_id, floor FROM ends) f LEFT JOIN"
+    " held h ON h.building_id = f.building_id AND h.floor = f.floor"
+    " UNION ALL SELECT q.building_id, q.floor, q.rn, q.id, CASE WHEN len(w.pts) = 0 THEN NULL WHEN NOT"
+    " (list_contains(w.pts, q.p1) OR list_contains(w.pts, q.p2)) THEN 'no end in common with a wall of the floor' WHEN"
+    " list_contains(w.sgs, q.sg) THEN 'repeats a wall of the floor' END, CASE WHEN len(w.pts) = 0 OR list_contains(w.pts, q.p1)"
+    " OR list_contains(w.pts, q.p2) THEN list_distinct(w.pts || [q.p1, q.p2]) ELSE w.pts END, CASE WHEN len(w.pts) = 0 OR"
+    " list_contains(w.pts, q.p1) OR list_contains(w.pts, q.p2) THEN list_distinct(w.sgs || [q.sg]) ELSE w.sgs END FROM walk w"
+    " JOIN sq q ON q.building_id = w.building_id AND q.floor = w.floor AND q.rn = w.rn + 1",
 )
 def rule_walls(r: Roles):
     walls = r.crowded_wall
-    return rules.check_walls(walls.filter("false"), walls.selectExpr("*", WALL_SEQ))
+    return rules.check_walls(walls.filter("id % 7 = 3"), walls.filter("id % 7 <> 3").selectExpr("*", WALL_SEQ))
 
 
 FACE_COPIES = (
@@ -167,14 +172,15 @@ FACE_COPIES = (
     "seq:l room_id:l wall_id:l reason:s",
     "wall room wall_face",
     "SELECT seq, room_id, wall_id, CASE WHEN alone IS NOT NULL THEN alone WHEN ROW_NUMBER() OVER (PARTITION BY wall_id, alone"
-    " IS NULL ORDER BY seq) > 2 THEN 'wall already has two faces' END AS reason FROM (SELECT f.*, CASE WHEN w.building_id <>"
+    " IS NULL ORDER BY seq) + held > 2 THEN 'wall already has two faces' END AS reason FROM (SELECT f.*, CASE WHEN w.building_id <>"
     " r.building_id THEN 'wall and room in different buildings' WHEN w.floor <> r.floor THEN 'wall and room on different floors'"
-    " END AS alone FROM fc f LEFT JOIN wall w ON w.id = f.wall_id LEFT JOIN room r ON r.id = f.room_id)",
+    " END AS alone, (SELECT COUNT(*) FROM wall_face x WHERE x.wall_id = f.wall_id AND x.room_id % 3 = 0) AS held FROM fc f LEFT"
+    " JOIN wall w ON w.id = f.wall_id LEFT JOIN room r ON r.id = f.room_id)",
     fc=FACE_COPIES.format(f="wall_face"),
 )
 def rule_faces(r: Roles):
     faces = r.spark.sql(FACE_COPIES.format(f="{f}"), f=r.wall_face)
-    return rules.check_faces(r.wall_face.filter("false"), faces, r.wall, r.room)
+    return rules.check_faces(r.wall_face.filter("room_id % 3 = 0"), faces, r.wall, r.room)
 
 
 @query(
@@ -235,16 +241,18 @@ def rule_projects(r: Roles):
 @query(
     "rule_stages",
     "seq:l project_id:l started:D ended:D reason:s",
-    body="WITH RECURSIVE c AS (SELECT o_orderkey AS seq, o_custkey AS project_id, CAST(o_orderdate AS DATE) AS started, CASE"
-    " WHEN o_orderkey % 8 <> 0 THEN CAST(o_orderdate AS DATE) + 90 END AS ended, ROW_NUMBER() OVER (PARTITION BY o_custkey"
-    " ORDER BY o_orderkey) AS rn, CASE WHEN c_acctbal >= 0 THEN DATE '1995-01-01' + CAST(c_custkey % 1000 AS INTEGER) END AS"
-    " approved FROM orders LEFT JOIN customer ON c_custkey = o_custkey), walk AS (SELECT c.*, CASE WHEN approved IS NULL THEN"
-    " 'project not approved' WHEN approved > started THEN 'starts before the approval' END AS reason, CASE WHEN approved <="
-    " started THEN coalesce(ended, DATE '9999-12-31') END AS held FROM c WHERE rn = 1 UNION ALL SELECT c.*, CASE WHEN w.held >"
+    body="WITH RECURSIVE o AS (SELECT o_orderkey AS seq, o_custkey AS project_id, CAST(o_orderdate AS DATE) AS started, CASE"
+    " WHEN o_orderkey % 8 <> 0 THEN CAST(o_orderdate AS DATE) + 90 END AS ended FROM orders), c AS (SELECT o.*, ROW_NUMBER() OVER"
+    " (PARTITION BY project_id ORDER BY seq) AS rn, CASE WHEN c_acctbal >= 0 THEN DATE '1995-01-01' + CAST(c_custkey % 1000 AS"
+    " INTEGER) END AS approved FROM o LEFT JOIN customer ON c_custkey = project_id WHERE seq % 5 <> 1), ex AS (SELECT project_id,"
+    " MAX(coalesce(ended, DATE '9999-12-31')) AS held FROM o WHERE seq % 5 = 1 AND started < DATE '1994-01-01' GROUP BY 1), walk"
+    " AS (SELECT CAST(NULL AS BIGINT) AS seq, p.project_id, CAST(NULL AS DATE) AS started, CAST(NULL AS DATE) AS ended, CAST(0 AS"
+    " BIGINT) AS rn, CAST(NULL AS DATE) AS approved, CAST(NULL AS VARCHAR) AS reason, ex.held FROM (SELECT DISTINCT project_id"
+    " FROM c) p LEFT JOIN ex ON ex.project_id = p.project_id UNION ALL SELECT c.*, CASE WHEN w.held >"
     " c.started THEN 'overlaps another stage' WHEN c.approved IS NULL THEN 'project not approved' WHEN c.approved > c.started"
     " THEN 'starts before the approval' END, CASE WHEN w.held > c.started OR c.approved IS NULL OR c.approved > c.started THEN"
     " w.held ELSE greatest(coalesce(w.held, DATE '1000-01-01'), coalesce(c.ended, DATE '9999-12-31')) END FROM walk w JOIN c ON"
-    " c.project_id = w.project_id AND c.rn = w.rn + 1) SELECT seq, project_id, started, ended, reason FROM walk",
+    " c.project_id = w.project_id AND c.rn = w.rn + 1) SELECT seq, project_id, started, ended, reason FROM walk WHERE rn > 0",
 )
 def rule_stages(r: Roles):
     candidates = table(r.spark, r.sf_dir, "orders").selectExpr(
@@ -257,7 +265,8 @@ def rule_stages(r: Roles):
         "c_custkey AS id",
         "CASE WHEN c_acctbal >= 0 THEN date_add(DATE '1995-01-01', CAST(c_custkey % 1000 AS INT)) END AS approved",
     )
-    return rules.check_stages(candidates.filter("false"), candidates, projects)
+    existing = candidates.filter("seq % 5 = 1 AND started < DATE '1994-01-01'")
+    return rules.check_stages(existing, candidates.filter("seq % 5 <> 1"), projects)
 
 
 @query(
@@ -293,7 +302,8 @@ TARGETS = [
     "seq:l job_id:l target:s reason:s",
     "job stage wall room",
     "SELECT seq, job_id, target, CASE WHEN coalesce(MIN(CASE WHEN alone IS NULL THEN seq END) OVER (PARTITION BY job_id) < seq,"
-    " false) THEN 'job already has an intervention' ELSE alone END AS reason FROM (SELECT c.*, CASE WHEN s.project_id // 50 <>"
+    " false) THEN 'job already has an intervention' ELSE alone END AS reason FROM (SELECT c.*, CASE WHEN c.job_id % 9 = 0 THEN"
+    " 'job already has an intervention' WHEN s.project_id // 50 <>"
     " CASE WHEN target = 'room' THEN r.building_id ELSE w.building_id END // 20 THEN 'not in the building of the project' END"
     " AS alone FROM cd c LEFT JOIN job j ON j.id = c.job_id LEFT JOIN stage s ON s.id = j.stage_id LEFT JOIN wall w ON w.id ="
     " c.wall_id LEFT JOIN room r ON r.id = c.room_id)",
@@ -304,7 +314,7 @@ def rule_interventions(r: Roles):
     projects = r.project.selectExpr("id", "id div 50 AS building_id")
     blocks = "building_id div 20 AS building_id"
     return rules.check_interventions(
-        candidates.filter("false"),
+        candidates.filter("job_id % 9 = 0"),
         candidates,
         r.job,
         r.stage,

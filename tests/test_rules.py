@@ -3,6 +3,7 @@ import random
 import pytest
 
 from conftest import values
+from stonewatch.functions import grouped
 from stonewatch.operators import rules
 from test_geometry import OPENING
 from test_sensors import READING, SENSOR, WALL, sensor
@@ -37,6 +38,19 @@ def test_walls(make):
     assert reasons(got) == [APART, APART, None, None, AGAIN, None, APART]
 
 
+def test_long_chains_of_walls_take_few_rounds(make, monkeypatch):
+    """500 walls in a row, away from the first: all refused, until one joins the row to the rest."""
+    rows = [(0, 0, 1, 0, 0, 1, 0)] + [(i, 0, 1, 10 + i, 5, 11 + i, 5) for i in range(1, 501)]
+    rows += [(501, 0, 1, 1, 0, 11, 5), (502, 0, 1, 12, 5, 12, 6), (503, 0, 1, 11, 5, 11, 6)]
+    rows += [(504 + i, 0, 1, 11, 6 + i, 11, 7 + i) for i in range(300)]
+    cuts = []
+    whole = grouped.cut_lineage
+    monkeypatch.setattr(grouped, "cut_lineage", lambda df: cuts.append(df) or whole(df))
+    got = reasons(rules.check_walls(make(WALL, []), make(SEQ_WALL, with_seq(rows))))
+    assert got == [None] + [APART] * 500 + [None, APART, None] + [None] * 300
+    assert len(cuts) < 15
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_walls_equal_adding_one_by_one(make, seed):
     rng = random.Random(seed)

@@ -23,8 +23,8 @@ def test_query(spark, name):
     got = registry.all_queries()[name](spark, SF_DIR).toPandas()
     sql = registry.all_oracles().get(name)
     if sql is None:
-        table = "pages" if name.startswith("op10") else "documents"
-        key = "page_id" if table == "pages" else "doc_id"
+        tables = {"op10": ("pages", "page_id"), "op11": ("conversations", "conv_id")}
+        table, key = tables.get(name.split("_")[0], ("documents", "doc_id"))
         want = set(pd.read_parquet(f"{SF_DIR}/{table}.parquet")[key])
         assert set(got[key]) == want
         return

@@ -345,35 +345,53 @@ def greedy_accept(
     """Serve requests in `seq` order per key, skipping those that no longer fit.
 
     `capacity` has the keys and `room`. Adds `accepted` and `room_left` (the room
-    seen by the request). Exact: each round serves the longest prefix that fits,
-    drops what can never fit any more and goes on with the rest, whose demands are
-    all within the room left. `demand` is non-negative.
+    seen by the request; for one that can never fit again, the room left by then). `demand`
+    is non-negative. Exact: a first round serves the longest prefix that fits and drops
+    what cannot fit any more. Then, while the room stays at or above the power of two below
+    it, smaller demands always fit, and of the larger ones the first that fits takes the room below that
+    power. So one running total of the smaller demands tells all refusals up to there,
+    however many, and each round at least halves the room: the rounds are bounded by
+    the bits of the largest demand.
     """
     keys = list(keys)
     open_rows = requests.join(capacity.select(*keys, F.col("room").alias("_g_room")), keys, "left")
     open_rows = open_rows.withColumn("_g_room", F.coalesce("_g_room", F.lit(0)))
-    decided: DataFrame | None = None
+    need, room = F.col(demand), F.col("_g_room")
+    run = running_sum(open_rows, keys, [], [seq], demand, "_g_cum")
+    fits = F.col("_g_cum") <= room
+    used = run.groupBy(*keys).agg(F.coalesce(F.max(F.when(fits, F.col("_g_cum"))), F.lit(0)).alias("_g_used"))
+    left = room - F.col("_g_used")
+    judged = cut_lineage(
+        run.join(used, keys)
+        .withColumn("accepted", F.when(fits, True).when(need > left, False))
+        .withColumn("room_left", F.when(fits, room - F.col("_g_cum") + need).otherwise(left))
+        .select(*requests.columns, left.alias("_g_room"), "accepted", "room_left")
+    )
+    decided = judged.filter(F.col("accepted").isNotNull()).drop("_g_room")
     while True:
-        run = running_sum(open_rows, keys, [], [seq], demand, "_g_cum")
-        fits = F.col("_g_cum") <= F.col("_g_room")
-        used = run.groupBy(*keys).agg(
-            F.coalesce(F.max(F.when(fits, F.col("_g_cum"))), F.lit(0)).alias("_g_used")
+        rest = judged.filter(F.col("accepted").isNull()).select(*requests.columns, "_g_room")
+        if rest.isEmpty():
+            return decided
+        power = F.when(room > 0, F.pow(F.lit(2.0), F.floor(F.log2(room.cast("double"))))).otherwise(F.lit(1.0))
+        rest = rest.withColumn("_g_power", power).withColumn(
+            "_g_small", F.when(need < F.col("_g_power"), need).otherwise(need - need)
         )
+        run = running_sum(rest, keys, [], [seq], "_g_small", "_g_cum")
+        run = run.withColumn("_g_seen", room - F.col("_g_cum") + F.col("_g_small"))
+        small = need < F.col("_g_power")
+        # the first demand that brings the room below the power ends the round
+        ends = F.when(small, F.col("_g_seen") - need < F.col("_g_power")).otherwise(need <= F.col("_g_seen"))
+        last = F.min_by(F.struct(F.col(seq).alias("at"), (F.col("_g_seen") - need).alias("left")), seq)
+        ended = run.filter(ends).groupBy(*keys).agg(last.alias("_g_end"))
+        before = F.col("_g_end").isNull() | (F.col(seq) <= F.col("_g_end.at"))
+        gone = need > F.col("_g_end.left")
         judged = cut_lineage(
-            run.join(used, keys)
-            .withColumn("_g_left", F.col("_g_room") - F.col("_g_used"))
-            .withColumn("accepted", F.when(fits, True).when(F.col(demand) > F.col("_g_left"), False))
-            .withColumn(
-                "room_left",
-                F.when(fits, F.col("_g_room") - F.col("_g_cum") + F.col(demand)).otherwise(F.col("_g_left")),
-            )
+            run.join(ended, keys, "left")
+            .withColumn("accepted", F.when(before, need <= F.col("_g_seen")).when(gone, False))
+            .withColumn("room_left", F.when(before, F.col("_g_seen")).otherwise(F.col("_g_end.left")))
+            .select(*requests.columns, F.col("_g_end.left").alias("_g_room"), "accepted", "room_left")
         )
-        done = judged.filter(F.col("accepted").isNotNull()).drop("_g_room", "_g_cum", "_g_used", "_g_left")
-        decided = done if decided is None else decided.unionByName(done)
-        rest = judged.filter(F.col("accepted").isNull())
-        if rest.isEmpty():
-            return decided
-        open_rows = rest.select(*requests.columns, F.col("_g_left").alias("_g_room"))
+        decided = decided.unionByName(judged.filter(F.col("accepted").isNotNull()).drop("_g_room"))
 
 
 def settle(

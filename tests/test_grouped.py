@@ -98,6 +98,60 @@ def test_greedy_accept_equals_one_by_one(make, seed):
     assert values(got, "k", "seq", "accepted") == sorted(serve_one_by_one(requests, room), key=order)
 
 
+def test_many_refusals_take_few_rounds(make, monkeypatch):
+    """Each unit taken is followed by a demand of one unit too many: 10,000 refusals in turn."""
+    left, requests = 20_000, []
+    for _ in range(10_000):
+        requests += [("a", len(requests), 1), ("a", len(requests) + 1, left)]
+        left -= 1
+    requests += [("a", len(requests), left), ("a", len(requests) + 1, 1), ("a", len(requests) + 2, 0)]
+    cuts = []
+    whole = g.cut_lineage
+    monkeypatch.setattr(g, "cut_lineage", lambda df: cuts.append(df) or whole(df))
+    got = g.greedy_accept(
+        make("k string, seq bigint, q bigint", requests), make("k string, room bigint", [("a", 20_000)]), ["k"], "seq", "q"
+    )
+    assert values(got, "k", "seq", "accepted") == sorted(serve_one_by_one(requests, {"a": 20_000}), key=order)
+    assert len(cuts) < 40
+
+
+def test_fractional_demands_are_served_in_order(make):
+    rng = random.Random(9)
+    requests = [(rng.choice("ab"), i, rng.choice([0, 0.1, 0.3, 2.5, 0.7, 4, 0.2])) for i in range(120)]
+    tenths = [(k, i, round(q * 10)) for k, i, q in requests]
+    got = g.greedy_accept(
+        make("k string, seq bigint, q decimal(5,1)", requests),
+        make("k string, room decimal(5,1)", [("a", 33.3), ("b", 8)]),
+        ["k"],
+        "seq",
+        "q",
+    )
+    assert values(got, "k", "seq", "accepted") == sorted(serve_one_by_one(tenths, {"a": 333, "b": 80}), key=order)
+
+
+def test_range_maximum(make, monkeypatch):
+    monkeypatch.setattr(g, "BLOCK_RANKS", 4)
+    rng = random.Random(2)
+    numbers = {k: [rng.randint(0, 99) for _ in range(n)] for k, n in (("a", 90), ("b", 3))}
+    rows = [(k, i, v) for k, vs in numbers.items() for i, v in enumerate(vs)]
+    asked = [("b", 0, 2), ("b", 1, 1), ("a", 0, 89)]
+    asked += [("a", *sorted((rng.randrange(90), rng.randrange(90)))) for _ in range(60)]
+    table = g.RangeMaximum(make("k string, r bigint, v bigint", rows), ["k"], "r", "v")
+    got = table.over(make("k string, lo bigint, hi bigint", asked), "lo", "hi", "peak")
+    assert values(got, "k", "lo", "hi", "peak") == sorted((k, a, b, max(numbers[k][a : b + 1])) for k, a, b in asked)
+
+
+def test_slices_spread_one_key_with_any_order(spark):
+    """Lots of a million units each, and fractional ones: slices follow rows, not units."""
+    for scale in (1_000_000, 0.001):
+        rows = spark.range(2000).selectExpr("1 AS k", f"id * {scale} AS at", "1 AS v")
+        cut = g.sliced(rows, ["k"], ["at"])
+        sizes = [r["count"] for r in cut.groupBy("_slice").count().collect()]
+        assert len(sizes) >= 4 and max(sizes) < 1000
+        places = g.carried_sum(cut, ["k"], "v", "place").orderBy("at").select("place").collect()
+        assert [r.place for r in places] == list(range(1, 2001))
+
+
 def test_match_ranges_covers_the_shorter_side(make):
     left = make("k string, upto bigint, l bigint", [("a", 5, 1), ("a", 5 + 3, 2), ("a", 20, 3), ("b", 4, 9)])
     right = make("k string, upto bigint, r bigint", [("a", 2, 7), ("a", 8, 8), ("a", 30, 9), ("c", 1, 1)])

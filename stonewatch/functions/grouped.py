@@ -265,16 +265,55 @@ def top_percent_mean(
     keys = list(keys)
     rows = df.select(*keys, F.col(rank_by).alias("_m")).withColumn("_bin", magnitude_bin("_m"))
     worth = value(F.col("_m"))
-    sums = [
+    bins = rows.groupBy(*keys, "_bin").agg(*_bin_sums(worth))
+    return _top_mean(bins, lambda edge: rows.join(edge, [*keys, "_bin"]), keys, out, worth)
+
+
+def _bin_sums(worth: Column) -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("_n"),
         F.sum(worth).alias("_sum"),
         F.count("_m").alias("_known"),
         F.min("_m").alias("_lo"),
         F.max("_m").alias("_hi"),
     ]
+
+
+def binned_parts(df: DataFrame, part: Sequence[str], rank_by: str) -> DataFrame:
+    """A histogram of `rank_by` per part (say a sensor's day) that merges into those of any union of parts."""
+    rows = df.select(*part, F.col(rank_by).alias("_m")).withColumn("_bin", magnitude_bin("_m"))
+    return rows.groupBy(*part, "_bin").agg(*_bin_sums(F.col("_m")))
+
+
+def merged_top_percent_mean(
+    df: DataFrame, parts: DataFrame, members: DataFrame, part: Sequence[str], keys: Sequence[str], rank_by: str, out: str
+) -> DataFrame:
+    """`top_percent_mean` over keys that are unions of parts, from the parts' histograms.
+
+    `parts` is `binned_parts` of `df`, `members` has the (keys, part) pairs. Keys may share parts:
+    rows of `df` are met only for the bin in which a key's top ends.
+    """
+    part, keys = list(part), list(keys)
+    rows = df.select(*part, F.col(rank_by).alias("_m")).withColumn("_bin", magnitude_bin("_m"))
+    sums = [F.sum(c).alias(c) for c in ("_n", "_sum", "_known")]
+    bins = parts.join(members, part).groupBy(*keys, "_bin").agg(*sums, F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+
+    def met(edge: DataFrame) -> DataFrame:
+        return rows.join(members.join(edge, keys), [*part, "_bin"])
+
+    return _top_mean(bins, met, keys, out, F.col("_m"))
+
+
+def _top_mean(
+    bins: DataFrame, met: Callable[[DataFrame], DataFrame], keys: list[str], out: str, worth: Column
+) -> DataFrame:
+    """The mean of each key's top 1 % from its histogram and, for the bin where it ends, its rows.
+
+    `met(edge)` joins rows with their key's row of `edge` and bin.
+    """
+    sums = _bin_sums(worth)
     per_key = Window.partitionBy(*keys)
     down = per_key.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, 0)
-    bins = rows.groupBy(*keys, "_bin").agg(*sums)
     counted = bins.withColumn("_k", F.sum("_n").over(per_key))
     counted = counted.withColumn("_k", F.expr("_k div 100"))
 
@@ -296,8 +335,7 @@ def top_percent_mean(
         ).select(*keys, "_e.*", "_whole_sum", "_whole_known")
 
     def in_edge(edge: DataFrame) -> DataFrame:
-        met = rows.join(edge, [*keys, "_bin"])
-        return met.filter(F.col("_lo").isNull() | F.col("_m").between(F.col("_lo"), F.col("_hi")))
+        return met(edge).filter(F.col("_lo").isNull() | F.col("_m").between(F.col("_lo"), F.col("_hi")))
 
     edge = broadcast_if_small(edge_of(counted))
     while not edge.filter((F.col("_n") > EDGE_ROWS) & (F.col("_hi") > F.col("_lo"))).isEmpty():

@@ -8,9 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stonewatch.config import DEFAULT, Config
-from stonewatch.functions.exprs import as_date, days_before, health, midnight, percent_change
-from stonewatch.functions.grouped import previous_max
-from stonewatch.operators.sensors import day_spans, sensor_health, window_readings
+from stonewatch.functions.exprs import as_date, days_before, health, percent_change
+from stonewatch.functions.grouped import cut_lineage, previous_max
+from stonewatch.operators.sensors import (
+    day_parts,
+    day_spans,
+    merged_readings,
+    part_bins,
+    part_sums,
+    sensor_health,
+)
 
 
 def one_per_date(risk: DataFrame, tie: str | None) -> DataFrame:
@@ -137,7 +144,8 @@ def building_risk_on_dates(
 ) -> DataFrame:
     """Risk per building, class and period for each (building_id, as_of) asked for.
 
-    Readings meet the windows they fall in by building and day.
+    Readings are reduced once, to sums and histograms per sensor and day; the windows of all dates
+    are merged from those. Readings are not multiplied by the dates whose windows hold them.
     """
     asked = requests.select("building_id", "as_of").distinct()
     spans = [
@@ -148,17 +156,18 @@ def building_risk_on_dates(
         )
         for name, (a, b) in (("new", config.risk_periods.new), ("old", config.risk_periods.old))
     ]
-    windows = asked.withColumn("_w", F.explode(F.array(*spans))).select("building_id", "as_of", "_w.*")
-    days = windows.withColumn("_day", F.explode(F.sequence("from_day", "to_day")))
-    side = sensors.select(F.col("id").alias("sensor_id"), "building_id", "kind")
+    windows = cut_lineage(asked.withColumn("_w", F.explode(F.array(*spans))).select("building_id", "as_of", "_w.*"))
+    wanted = sensors.select(F.col("id").alias("sensor_id"), "building_id", "kind").filter(_class_of(config).isNotNull())
+    days = windows.select("building_id", F.explode(F.sequence("from_day", "to_day")).alias("_day")).distinct()
+    here = wanted.join(days, "building_id").select("sensor_id", "kind", "_day")
     day = (F.col("day") if "day" in measurements.columns else F.to_date("ts")).alias("_day")
-    tagged = (
-        measurements.select("sensor_id", "ts", "x", "y", "z", day)
-        .join(side, "sensor_id")
-        .join(days, ["building_id", "_day"])
-        .filter(F.col("ts").between(midnight(F.col("from_day")), midnight(F.col("to_day"))))
+    parts = day_parts(
+        measurements.select("sensor_id", "ts", "x", "y", "z", day).join(here, ["sensor_id", "_day"]).drop("_day")
     )
-    readings = window_readings(tagged, ["sensor_id", "as_of", "period"])
+    keys = ["sensor_id", "as_of", "period"]
+    each = wanted.join(windows, "building_id").select(*keys, "from_day", "to_day")
+    sums, bins = cut_lineage(part_sums(parts)), cut_lineage(part_bins(parts))
+    readings = merged_readings(parts, sums, bins, each, keys)
     health_rows = (
         sensors.select(F.col("id").alias("sensor_id"), "building_id", "kind", "threshold")
         .join(windows, "building_id")

@@ -19,7 +19,7 @@ from stonewatch.functions.exprs import (
     threshold_exceeded,
     whole_days,
 )
-from stonewatch.functions.grouped import top_percent_mean
+from stonewatch.functions.grouped import binned_parts, merged_top_percent_mean, top_percent_mean
 from stonewatch.operators.geometry import metre_columns
 
 Span = tuple[Column, Column]
@@ -86,6 +86,58 @@ def window_readings(readings: DataFrame, keys: list[str]) -> DataFrame:
     return low_rate_mean(readings, keys).unionByName(high_rate_peak(readings, keys))
 
 
+PART = ("sensor_id", "day", "opening")
+
+
+def day_parts(readings: DataFrame) -> DataFrame:
+    """Readings (with kind) with the part they belong to: a sensor's day, or the instant that opens it.
+
+    Windows are closed and end at a midnight, so they are days and one opening instant.
+    """
+    day = F.to_date("ts")
+    return readings.withColumn("day", day).withColumn("opening", F.col("ts") == midnight(day))
+
+
+def part_sums(parts: DataFrame) -> DataFrame:
+    """Sum and count of low-rate readings per part."""
+    low = parts.filter(is_low_rate()).groupBy(*PART)
+    return low.agg(F.sum("x").alias("total"), F.count("x").alias("n"))
+
+
+def part_bins(parts: DataFrame) -> DataFrame:
+    """Histogram of the magnitudes of high-rate readings per part."""
+    return binned_parts(_magnitudes(parts), PART, "m")
+
+
+def _magnitudes(parts: DataFrame) -> DataFrame:
+    return parts.filter(F.col("kind").isin(*HIGH_RATE)).withColumn("m", magnitude())
+
+
+def members_of(windows: DataFrame) -> DataFrame:
+    """The parts of windows (sensor_id, from_day, to_day and others): whole days, and the last one's opening."""
+    days = windows.withColumn("day", F.explode(F.sequence("from_day", "to_day")))
+    both = F.array(F.lit(True), F.lit(False))
+    first = F.when(F.col("day") < F.col("to_day"), both).otherwise(F.array(F.lit(True)))
+    return days.withColumn("opening", F.explode(first))
+
+
+def merged_readings(
+    parts: DataFrame, sums: DataFrame, bins: DataFrame, windows: DataFrame, keys: Sequence[str]
+) -> DataFrame:
+    """`window_readings` of windows from partial results per part, whatever number of windows share a part.
+
+    `sums` and `bins` are `part_sums` and `part_bins` of `parts`, or were stored when the
+    readings came. The readings themselves are met only where a window's top 1 % ends.
+    """
+    members = members_of(windows).select(*dict.fromkeys([*keys, *PART]))
+    added = sums.join(members, list(PART)).groupBy(*keys).agg(F.sum("total").alias("_t"), F.sum("n").alias("_n"))
+    # rounded as a mean of decimals is: four more digits first
+    mean = F.try_divide(F.col("_t"), F.col("_n")).cast("decimal(28,10)").cast("decimal(18,6)")
+    low = added.select(*keys, mean.alias("reading"))
+    high = merged_top_percent_mean(_magnitudes(parts), bins, members, PART, keys, "m", "_peak")
+    return low.unionByName(high.select(*keys, F.col("_peak").cast("decimal(18,6)").alias("reading")))
+
+
 def with_kind(measurements: DataFrame, sensors: DataFrame, *extra: str) -> DataFrame:
     """Readings with their sensor's kind (and other chosen columns)."""
     side = sensors.select(F.col("id").alias("sensor_id"), "kind", *extra)

@@ -164,7 +164,11 @@ def health_table(
 ) -> DataFrame:
     """Health now and before, one row per sensor."""
     spans = day_spans(as_of, config.advice_periods)
-    rows = sensor_health(measurements, sensors, spans)
+    return health_pairs(sensor_health(measurements, sensors, spans))
+
+
+def health_pairs(rows: DataFrame) -> DataFrame:
+    """Health of both periods, one row per sensor."""
 
     def of(period: str) -> Column:
         return F.max(F.when(F.col("period") == period, F.col("health"))).cast("decimal(4,2)")

@@ -473,6 +473,53 @@ def append_measurements(r: Roles):
     return store.read_table(r.spark, root, "measurement")
 
 
+@query(
+    "gated_reload",
+    "part:s name:s n:l",
+    "risk area",
+    "SELECT 'stored' AS part, 'area' AS name, COUNT(*) AS n FROM area UNION ALL SELECT 'stored', 'risk', COUNT(*) FROM (SELECT"
+    " DISTINCT area, kind, measured FROM risk) UNION ALL SELECT 'refused', 'key', COUNT(*) FROM (SELECT 1 FROM risk GROUP BY"
+    " area, kind, measured HAVING COUNT(*) > 1) UNION ALL SELECT 'refused', 'reference', COUNT(*) FROM risk WHERE area = 'A3'",
+)
+def gated_reload(r: Roles):
+    """A clean set of tables is stored; one with repeated keys and a missing area is then refused."""
+    root = _folder(r, "reload")
+    key = ["area", "kind", "measured"]
+    once = r.risk.groupBy(*key).agg(F.min_by("coefficient", "risk_id").alias("coefficient"))
+    store.reload_gated({"area": r.area, "risk": once}, root)
+    found = store.reload_gated({"area": r.area.filter("postcode <> 'A3'"), "risk": r.risk.select(*once.columns)}, root)
+    parts = found.groupBy(F.lit("refused").alias("part"), F.col("rule").alias("name")).agg(F.count("key").alias("n"))
+    for name in ("area", "risk"):
+        kept = store.read_table(r.spark, root, name).agg(F.count(F.lit(1)).alias("n"))
+        parts = parts.unionByName(kept.select(F.lit("stored").alias("part"), F.lit(name).alias("name"), "n"))
+    return parts
+
+
+@query(
+    "loaded_text",
+    "sensor_id:l readings:l total_x:d refused:l",
+    "measurement",
+    "SELECT sensor_id, COUNT(*) FILTER (WHERE event_id % 50 > 2) AS readings, SUM(x) FILTER (WHERE event_id % 50 > 2) AS"
+    " total_x, COUNT(*) FILTER (WHERE event_id % 50 <= 2) AS refused FROM measurement GROUP BY 1",
+)
+def loaded_text(r: Roles):
+    """Readings are written as text, some of them spoilt, and loaded; the spoilt ones are kept aside."""
+    path = _folder(r, "text")
+    spoilt = (
+        r.measurement.select("event_id", *(F.col(c).cast("string").alias(c) for c in ("sensor_id", "ts", "x", "y", "z")))
+        .withColumn("x", F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("about "), "x")).otherwise(F.col("x")))
+        .withColumn("ts", F.when(F.col("event_id") % 50 == 1, F.lit(None)).otherwise(F.col("ts")))
+        .withColumn("z", F.when(F.col("event_id") % 50 == 2, F.lit("99999.5")).otherwise(F.col("z")))
+    )
+    spoilt.drop("event_id").write.csv(path, header=True)
+    good, bad = store.read_csv_quarantined(r.spark, path, "measurement", timestampNTZFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+    refused = bad.groupBy(F.split("line", ",")[0].cast("bigint").alias("sensor_id")).agg(F.count("reason").alias("refused"))
+    kept = good.groupBy("sensor_id").agg(F.count("ts").alias("readings"), F.sum("x").alias("total_x"))
+    return kept.join(refused, "sensor_id", "full").select(
+        "sensor_id", F.coalesce("readings", F.lit(0)).alias("readings"), "total_x", F.coalesce("refused", F.lit(0)).alias("refused")
+    )
+
+
 @query(
     "store_updates",
     "id:s available:l active:b seniority:l",

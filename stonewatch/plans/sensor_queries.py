@@ -1,13 +1,16 @@
 """Registered queries of sensor health, advice, ranking and alerts."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stonewatch.config import DEFAULT
 from stonewatch.functions.exprs import magnitude
-from stonewatch.functions.grouped import top_percent_mean
+from stonewatch.functions.grouped import shared_folder, top_percent_mean
 from stonewatch.operators import sensors as op
 from stonewatch.plans.registry import Roles, query
 from stonewatch.plans.roles import CALC_DATE
+from stonewatch.sources import tables as store
 from stonewatch.plans.sqltext import (
     ADVICE_SELECT,
     HEALTH_PAIR,
@@ -22,6 +25,12 @@ from stonewatch.plans.sqltext import (
 
 P = DEFAULT.advice_periods
 HEALTH = health_ctes(CALC_DATE, P.new, P.old)
+#: The same over readings as stored: one per sensor and time, the smallest values.
+ONCE = {
+    "once": "SELECT sensor_id, ts, v.x AS x, v.y AS y, v.z AS z FROM (SELECT sensor_id, ts, MIN({'x': x, 'y': y, 'z': z}) AS v"
+    " FROM measurement GROUP BY 1, 2)",
+    **{name: sql.replace("measurement", "once") for name, sql in HEALTH.items()},
+}
 RANKING_AT = "2024-01-29 23:59:59"
 
 
@@ -81,6 +90,23 @@ def sensor_health_periods(r: Roles):
     return op.health_table(r.measurement, r.sensor, CALC_DATE)
 
 
+@query(
+    "maintained_health",
+    "sensor_id:l building_id:l kind:s health_now:d health_before:d",
+    "measurement sensor",
+    HEALTH_PAIR,
+    **ONCE,
+)
+def maintained_health(r: Roles):
+    """Readings are stored, those of the last two days appended; health comes from the parts kept of each day."""
+    root = f"{shared_folder(r.spark)}/health-{uuid.uuid4().hex}"
+    rows = r.measurement.select("sensor_id", "ts", "x", "y", "z")
+    last = F.date_sub(F.to_date(F.lit(CALC_DATE)), 2)
+    store.append_with_parts(r.spark, root, rows.filter(F.to_date("ts") < last), r.sensor)
+    store.append_with_parts(r.spark, root, rows.filter(F.to_date("ts") >= last), r.sensor)
+    return store.stored_health(r.spark, root, r.sensor, CALC_DATE)
+
+
 @query("sensor_wall_match", "sensor_id:l wall_id:l", "sensor wall", ON_WALL)
 def sensor_wall_match(r: Roles):
     return op.wall_of_sensor(r.sensor, r.wall)

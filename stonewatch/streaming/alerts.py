@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stonewatch.functions.grouped import cut_lineage
 from stonewatch.operators.sensors import alerts
 from stonewatch.sources.schema import TABLES
-from stonewatch.sources.tables import path_exists
+from stonewatch.sources.tables import of_days, path_exists
 
 STORED = "sensor_id BIGINT, ts TIMESTAMP_NTZ, day DATE"
 
@@ -30,16 +31,13 @@ def stream_alerts(readings: DataFrame, sensors: DataFrame) -> DataFrame:
 def store_new(found: DataFrame, path: str) -> None:
     """Append the alerts that are not stored yet, by day.
 
-    Stored alerts are read for the days between the first and last of the new ones only.
+    The batch is computed once, and stored alerts are read for exactly the days of the new ones.
     Storing the same alerts again, as a restarted stream does, adds nothing.
     """
     spark = found.sparkSession
-    fresh = found.select("sensor_id", "ts").distinct().withColumn("day", F.to_date("ts"))
+    fresh = cut_lineage(found.select("sensor_id", "ts").distinct().withColumn("day", F.to_date("ts")))
     if path_exists(spark, path):
-        low, high = fresh.agg(F.min("day"), F.max("day")).first()
-        if low is None:
-            return
-        known = spark.read.schema(STORED).parquet(path).filter(F.col("day").between(low, high))
+        known = of_days(spark.read.schema(STORED).parquet(path), fresh)
         fresh = fresh.join(known, ["day", "sensor_id", "ts"], "left_anti")
     fresh.write.partitionBy("day").mode("append").parquet(path)
 

@@ -209,3 +209,101 @@ def test_streamed_alerts_equal_batch(spark, make, tmp_path):
     want = alerts(first.unionByName(second), sensors).distinct()
     assert values(streaming.read_alerts(spark, out), "sensor_id", "ts") == values(want, "sensor_id", "ts")
     assert want.count() == 3
+
+
+def area_tables(make, postcodes, risks):
+    return {"area": loose(make, "area", [(p,) for p in postcodes]), "risk": loose(make, "risk", risks)}
+
+
+def stored(spark, root, name):
+    return sorted(tuple(r) for r in store.read_table(spark, root, name).collect())
+
+
+def test_a_reload_with_violations_changes_nothing(spark, make, tmp_path):
+    root = str(tmp_path / "root")
+    good = area_tables(make, ["1", "2"], [("1", "Sismico", "2020-01-01", 2)])
+    assert store.reload_gated(good, root).isEmpty()
+    before = stored(spark, root, "risk")
+    assert before == [("1", "Sismico", dt.date(2020, 1, 1), 2)] and store.read_table(spark, root, "wall").isEmpty()
+    bad = area_tables(make, ["1", "1"], [("9", "Sismico", "2020-01-01", 7), (None, "Sismico", "2020-01-01", 2)])
+    rules = sorted((r.table, r.rule) for r in store.reload_gated(bad, root).collect())
+    assert rules == [("area", "key"), ("risk", "missing"), ("risk", "reference"), ("risk", "value")]
+    failing = dict(good, risk=good["risk"].withColumn("coefficient", F.raise_error(F.lit("lost")).cast("smallint")))
+    with pytest.raises(Exception, match="lost"):
+        store.reload_gated(failing, root)
+    assert stored(spark, root, "risk") == before and stored(spark, root, "area") == [("1",), ("2",)]
+    assert not [p for p in (tmp_path / "root").iterdir() if p.name.startswith(".")]
+
+
+def test_an_interrupted_exchange_goes_on(spark, make, tmp_path):
+    root, folder = str(tmp_path), tmp_path / ".reload-x"
+    store.write_table(loose(make, "area", [("old",)]), root, "area")
+    store.write_table(loose(make, "risk", [("old", "Sismico", "2020-01-01", 1)]), root, "risk")
+    # the new area is in place already, the old risk is set aside, the new one still waits
+    store.write_table(loose(make, "area", [("new",)]), root, "area")
+    store.write_table(loose(make, "risk", [("new", "Sismico", "2020-01-01", 1)]), str(folder), "risk")
+    (tmp_path / "risk").rename(folder / "_old-risk")
+    (folder / store.READY).touch()
+    unaudited = tmp_path / ".reload-y" / "area"
+    store.write_table(loose(make, "area", [("never",)]), str(unaudited.parent), "area")
+    store.recover(spark, root)
+    assert stored(spark, root, "area") == [("new",)] and stored(spark, root, "risk")[0][0] == "new"
+    (tmp_path / "area").rename(tmp_path / ".area-old-123")
+    store.recover(spark, root)
+    assert stored(spark, root, "area") == [("new",)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["area", "risk"]
+
+
+def test_bad_lines_are_kept_aside(spark, tmp_path):
+    path = tmp_path / "risk.csv"
+    lines = ["1,Sismico,2020-01-01,2", "1,Sismico,someday,2", "2,Sismico,2020-01-02,x", ",Sismico,2020-01-03,1", "3,Sismico,2020-01-04", "4,Sismico,2020-01-05,70000", "5,Sismico,2020-01-06,3"]
+    path.write_text("area,kind,measured,coefficient\n" + "\n".join(lines) + "\n")
+    good, bad = store.read_csv_quarantined(spark, str(path), "risk")
+    assert sorted(r.area for r in good.collect()) == ["1", "5"]
+    unread = "not readable as declared"
+    assert sorted(tuple(r) for r in bad.collect()) == sorted(
+        [(lines[1], unread), (lines[2], unread), (lines[3], "area missing"), (lines[4], unread), (lines[5], unread)]
+    )
+
+
+def test_a_late_reading_opens_its_own_day_only(spark, make, tmp_path):
+    root = str(tmp_path)
+    days = [f"2020-01-{d:02d} 10:00:00" for d in range(1, 21)]
+    store.append_measurements(spark, root, make(READING, [(1, t, 1, None, None) for t in days]))
+    late = make(READING, [(1, "2020-01-02 10:00:00", 5, None, None), (1, "2020-01-19 11:00:00", 5, None, None)])
+    known = store.of_days(store.read_table(spark, root, "measurement"), late.withColumn("day", F.to_date("ts")))
+    assert {r[0].split("day=")[1][:10] for r in known.select(F.input_file_name()).collect()} == {"2020-01-02", "2020-01-19"}
+    assert "PartitionFilters: [day" in known._jdf.queryExecution().toString()
+    store.append_measurements(spark, root, late)
+    kept = stored(spark, root, "measurement")
+    assert len(kept) == 21 and sorted(float(r[2]) for r in kept) == [1.0] * 20 + [5.0]
+    store.append_measurements(spark, root, late.limit(0))
+    assert len(stored(spark, root, "measurement")) == 21
+
+
+def test_health_from_parts_of_days(spark, make, tmp_path):
+    """Readings come in three batches, the last with late ones; health equals that of all readings."""
+    import random
+
+    from stonewatch.operators import sensors as op
+
+    rng, root = random.Random(4), str(tmp_path)
+    kinds = ["Termometro", "Fessurimetro", "Accelerometro", "Giroscopio"]
+    side = make(SENSOR, [sensor(i, kind, threshold=2) for i, kind in enumerate(kinds, 1)])
+    rows = []
+    for i in range(2400):
+        at = dt.datetime(2023, 1, 1) + dt.timedelta(minutes=19 * i) if i % 40 else dt.datetime(2023, 1, 1 + i // 40 % 28)
+        rows.append((1 + i % 4, at, *(round(rng.uniform(0.5, 3), 3) for _ in range(3))))
+    rows = list({r[:2]: r for r in rows}.values())
+    for batch in (rows[:1500], rows[1500:2000], rows[2000:] + rows[700:800]):
+        store.append_with_parts(spark, root, make(READING, batch), side)
+    everything = store.read_table(spark, root, "measurement")
+    assert everything.count() == len(rows)
+    for day in ("2023-02-01", "2023-01-20", "2023-03-15"):
+        want = values(op.health_table(everything, side, day), "sensor_id", "health_now", "health_before")
+        got = store.stored_health(spark, root, side, day)
+        assert values(got, "sensor_id", "health_now", "health_before") == want
+    assert any(w[1] is not None for w in want) or want
+    store.rebuild_parts(spark, root, side)
+    again = store.stored_health(spark, root, side, "2023-02-01")
+    assert values(again, "sensor_id", "health_now") == values(op.health_table(everything, side, "2023-02-01"), "sensor_id", "health_now")

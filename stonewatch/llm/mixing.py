@@ -138,18 +138,19 @@ class Recipe:
         ]
 
 
-def source_key(column: str = "source") -> Column:
-    source = F.col(f"`{column}`").cast("string")
+def source_key(column: str | Column = "source") -> Column:
+    source = (F.col(f"`{column}`") if isinstance(column, str) else column).cast("string")
     return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source))
 
 
-def sized(docs: DataFrame, id_column: str, text_column: str, source_column: str) -> DataFrame:
-    return docs.select(
-        F.monotonically_increasing_id().alias("rid") if "rid" not in docs.columns else F.col("rid"),
-        F.col(f"`{id_column}`").alias("doc_id"),
-        source_key(source_column).alias("source_key"),
-        F.size(words_of(text_of(f"`{text_column}`"))).cast("long").alias("size"),
-        F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`")).alias("place"),
+def sized(rows: DataFrame, rid: Column, doc_id: Column, text: Column, source: Column) -> DataFrame:
+    """The rows' number, id, source, words, and a place that depends on id and text alone."""
+    return rows.select(
+        rid.alias("rid"),
+        doc_id.alias("doc_id"),
+        source_key(source).alias("source_key"),
+        F.size(words_of(F.coalesce(text, F.lit("")))).cast("long").alias("size"),
+        F.xxhash64(doc_id, text).alias("place"),
     )
 
 
@@ -247,7 +248,8 @@ def mix(
     source_column: str = "source",
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target (its source's), taken."""
-    rows = stage(sized(docs, id_column, text_column, source_column), "sizes")
+    cells = [F.col(f"`{c}`") for c in (id_column, text_column, source_column)]
+    rows = stage(sized(docs, F.monotonically_increasing_id(), *cells), "sizes")
     recipe, sources = recipe_of(rows, block, seed)
     known = stage(placed(rows, sources, rows.count()), "placed")
     times = picks(docs.sparkSession, recipe).groupBy("source_no", "block").agg(F.count("*").alias("times"))
@@ -292,8 +294,11 @@ def mixed_documents(
     All columns stay; text holds the taken words (a second round follows the first), and the
     column of character counts, where there is one, is set anew.
     """
-    kept = stage(docs.withColumn("rid", F.monotonically_increasing_id()), "mix-docs")
-    rows = stage(sized(kept, id_column, text_column, source_column), "sizes")
+    # the user's columns are kept in a struct of their own, whatever their names
+    whole = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns))
+    kept = stage(docs.select(F.monotonically_increasing_id().alias("rid"), whole.alias("doc")), "mix-docs")
+    cells = [F.col("doc")[c] for c in (id_column, text_column, source_column)]
+    rows = stage(sized(kept, F.col("rid"), *cells), "sizes")
     recipe, sources = recipe_of(rows, block, seed)
     known = placed(rows, sources, rows.count())
     spans = (
@@ -317,8 +322,9 @@ def mixed_documents(
             )
 
     others = [c for c in docs.columns if c not in (text_column, chars_column)]
-    row = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others))
-    joined = kept.select("rid", row.alias("row"), text_of(f"`{text_column}`").alias("text_")).join(spans, "rid")
+    row = F.struct(F.lit(0).alias("_"), *(F.col("doc")[c].alias(c) for c in others))
+    text = F.coalesce(F.col("doc")[text_column], F.lit(""))
+    joined = kept.select("rid", row.alias("row"), text.alias("text_")).join(spans, "rid")
     joined = joined.select("row", "text_", "spans")
     made = joined.mapInArrow(cut, joined.select("row", "text_").schema)
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stonewatch.llm import conversation_repair as convs
-from stonewatch.llm import glr, merkle, repeats
+from stonewatch.llm import glr, merkle, mixing, repeats
 from stonewatch.llm.common import ship
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -281,3 +281,19 @@ def test_blocks_do_not_change_runs():
 
 def test_no_repeats(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("value", [None, 7])
+def test_mix_whatever_the_other_columns_are_called(spark, value):
+    """A column `rid` of the input, null or the same in all rows, changes nothing and is kept."""
+    rng = random.Random(8)
+    rows = [(i, f"s{i % 4}", "en", 0, words(rng, rng.randint(0, 300))) for i in range(60)]
+    plain = spark.createDataFrame(rows, DOCS)
+    named = plain.select("*", *(F.lit(value).cast("long").alias(c) for c in ("rid", "block", "doc", "row", "spans", "text_")))
+    want = Counter(tuple(r) for r in mixing.mix(plain).collect())
+    assert Counter(tuple(r) for r in mixing.mix(named).collect()) == want
+    assert all(r[-1] <= 3 * r[1] for r in want) and sum(r[-1] for r in want.elements()) > 0
+    mixed = {r.doc_id: r for r in mixing.mixed_documents(named).collect()}
+    texts = {r.doc_id: r.text for r in mixing.mixed_documents(plain).collect()}
+    assert {d: r.text for d, r in mixed.items()} == texts and {r.rid for r in mixed.values()} == {value}
+    assert {r[0]: r[-1] for r in want if r[-1]} == {d: len(t.split()) for d, t in texts.items()}

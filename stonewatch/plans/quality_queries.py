@@ -473,6 +473,29 @@ def append_measurements(r: Roles):
     return store.read_table(r.spark, root, "measurement")
 
 
+@query(
+    "audit_tables",
+    "rule:s table:s key:s reason:s",
+    "risk area building",
+    "SELECT 'key' AS rule, 'risk' AS \"table\", key, COUNT(*) || ' rows with this key' AS reason FROM au GROUP BY key HAVING"
+    " COUNT(*) > 1 UNION ALL SELECT 'reference', 'risk', key, 'no such area' FROM au WHERE area = 'A3' UNION ALL SELECT 'value',"
+    " 'risk', key, 'coefficient in range' FROM au WHERE coefficient > 5 UNION ALL SELECT 'type', 'risk', key, 'coefficient out of"
+    " range' FROM au WHERE coefficient > 32767 UNION ALL SELECT 'reference', 'building', CAST(id AS VARCHAR), 'no such area' FROM"
+    " building WHERE area = 'A3' UNION ALL SELECT 'value', 'building', CAST(id AS VARCHAR), 'latitude in range' FROM building"
+    " WHERE abs(lat * 120) > 90 UNION ALL SELECT 'value', 'building', CAST(id AS VARCHAR), 'longitude in range' FROM building WHERE"
+    " abs(lon * 120) > 180",
+    au="SELECT area, coefficient + CASE WHEN risk_id % 97 = 0 THEN 40000 WHEN risk_id % 97 = 1 THEN 10 ELSE 0 END AS coefficient,"
+    " area || '|' || kind || '|' || CAST(measured AS VARCHAR) AS key FROM risk",
+)
+def audit_tables(r: Roles):
+    """Areas, buildings and risks, with an area missing, numbers out of range and repeated keys."""
+    wrong = F.expr("CASE WHEN risk_id % 97 = 0 THEN 40000 WHEN risk_id % 97 = 1 THEN 10 ELSE 0 END")
+    risks = r.risk.withColumn("coefficient", F.col("coefficient") + wrong)
+    far = [(F.col(c) * 120).cast("decimal(12,6)").alias(c) for c in ("lat", "lon")]
+    homes = r.building.select("id", "area", "kind", *far)
+    return quality.audit({"area": r.area.filter("postcode <> 'A3'"), "building": homes, "risk": risks})
+
+
 @query(
     "gated_reload",
     "part:s name:s n:l",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from pyspark.sql import types as T
 from stonewatch.config import DEFAULT, Config
 from stonewatch.functions.exprs import as_date, days_before, health
 from stonewatch.functions.grouped import cut_lineage
-from stonewatch.operators.quality import table_violations
+from stonewatch.operators.quality import audit
 from stonewatch.operators.sensors import (
     day_parts,
     health_pairs,
@@ -172,7 +171,7 @@ def reload_gated(tables: Mapping[str, DataFrame], root: str) -> DataFrame:
             made = spark.createDataFrame([], spec.schema) if rows is None else rows
             _writer(_laid_out(made, name), name).parquet(f"{aside}/{name}")
         staged = {name: read_table(spark, aside, name) for name in TABLES}
-        found = cut_lineage(reduce(DataFrame.unionByName, (table_violations(n, staged) for n in tables)))
+        found = cut_lineage(audit({n: staged[n] for n in _with_parents(tables)}))
         clean = found.isEmpty()
     except Exception:
         files.delete(at, True)
@@ -185,6 +184,11 @@ def reload_gated(tables: Mapping[str, DataFrame], root: str) -> DataFrame:
     return found
 
 
+def _with_parents(names) -> list[str]:
+    """The tables and those they refer to."""
+    return [n for n in TABLES if n in names or any(n == parent for m in names for _, parent, _ in TABLES[m].refs)]
+
+
 #: Marks a set of tables as audited: from here on an interrupted exchange goes forward.
 READY = "_ready"
 

@@ -8,15 +8,17 @@ two permutations give all COORDINATES, and a shingle's values are one contiguous
 Equal sets are one class, linked without further work. Classes that agree on all ROWS
 coordinates of one of BANDS bands share a bucket. Work within a bucket is never all pairs:
 
-1. every class is compared with the bucket's smallest one;
+1. every class is compared with the bucket's pivot, the class whose buckets hold most rows;
 2. links found so far give components; buckets that lie in one component are done;
-3. in the others, the classes outside the bucket's most frequent component are compared, in
-   blocks spread over tasks, with all classes of another component. First each takes the
-   one most like it, which joins most of them to the rest; then steps 2 and 3 are done again
-   with all pairs that are still open. Pairs of one component need no comparison, so every
-   pair in a bucket is settled. A pair is settled in the first bucket that it shares.
-
-Comparisons look at set sizes and a byte of each coordinate first; pairs whose estimate is
+3. buckets of more than CROWD classes that are still open are settled by their classes'
+   differences from the pivot (see `crowds`), whatever their size;
+4. in the others, the classes outside the bucket's most frequent component are compared
+   with the classes of another component. First each takes the one most like it, which joins
+   most of them to the rest; then steps 2 and 4 are done again with all pairs that are
+   still open, fewer than CROWD for each class and bucket. Pairs of one component need no comparison,
+   so every pair in a bucket is settled. A pair is settled in the first bucket that it shares.
+
+Comparisons of steps 1 and 4 look at set sizes and a byte of each coordinate first; pairs whose estimate is
 more than SLACK under the threshold (four standard deviations) are out, the others are
 verified on the full sets of both texts. Hot buckets, centres and classes meet their rows in
 joins of staged tables, which adaptive execution splits. A pair with the threshold's similarity shares no bucket with
@@ -31,7 +33,7 @@ give empty results; extra columns are ignored (`drop_near_duplicates` keeps them
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,7 @@ from pyspark.sql import functions as F
 
 from stonewatch.llm.common import frugal, stage, text_of
 from stonewatch.llm.components import components
+from stonewatch.llm.crowds import crowd_links
 from stonewatch.llm.exact_dedup import BLOCK_BITS, MAX_BITS, test_slot
 from stonewatch.llm.token_counts import slices
 
@@ -51,6 +54,7 @@ SEED = 7
 PERCENT = 80
 SLACK = 0.13
 BLOCK_CLASSES = 256
+CROWD = 64
 PAIRS_A_TASK = 512
 
 
@@ -168,8 +172,51 @@ def is_link(a: set, b: set, percent: int) -> bool:
     return shared > 0 and 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def bucket_members(banded: DataFrame) -> DataFrame:
+    """(bucket, rid, n, pivot) of shared buckets. The pivot is the class whose buckets are largest
+    in all, so that the buckets of one group of copies mostly have one pivot, near its middle."""
+    sizes = stage(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    shared = stage(banded.join(sizes, "bucket"), "shared")
+    reach = stage(shared.groupBy("rid").agg(F.sum("n").alias("reach")), "reach")
+    pivots = shared.join(reach, "rid").groupBy("bucket").agg(
+        F.max_by("rid", F.struct("reach", -F.col("rid"))).alias("pivot")
+    )
+    return stage(shared.join(pivots, "bucket"), "members")
+
+
+def crowds(members: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Classes of the buckets of over CROWD classes, grouped by pivot, with their sets; groups that
+    lie in one component are left out."""
+    grouped = members.filter(F.col("n") > CROWD).select(F.col("pivot").alias("g"), "rid").distinct()
+    grouped = grouped.join(labels.withColumnRenamed("node", "rid"), "rid", "left")
+    grouped = stage(grouped.select("g", "rid", F.coalesce("label", "rid").alias("label")), "crowd-labels")
+    still_open = grouped.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    grouped = stage(grouped.join(still_open.filter("low <> high").select("g"), "g"), "crowd-open")
+    needed = stage(grouped.select("rid").distinct(), "needed")
+    texts = possibly(docs.select("rid", text_of().alias("text")), needed, "rid").join(needed, "rid", "left_semi")
+
+    @frugal
+    def cut(batches):
+        for batch in batches:
+            done = 0
+            for part in slices(batch.column(1).to_pylist()):
+                sets = [s.view(np.int64) for s in shingles(part)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(done, len(part)),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(sets, pa.list_(pa.int64())),
+                    ],
+                    ["rid", "size", "elements"],
+                )
+                done += len(part)
+
+    sets = stage(texts.mapInArrow(cut, "rid long, size long, elements array<long>"), "crowd-sets")
+    return stage(grouped.join(sets, "rid").withColumn("centre", F.col("g")), "crowd")
+
+
 def star_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) of each class with the smallest class of each of its buckets."""
+    """Likely pairs (a, b) of each class with the pivot of each of its buckets."""
     pairs = stage(
         members.filter("rid <> pivot").select(F.col("pivot").alias("a"), F.col("rid").alias("b")).distinct(), "star"
     )
@@ -197,7 +244,7 @@ def cross_pairs(
     `best_only`: of each class outside its bucket's largest component, only the likeliest
     partner. Pairs come once, from the first bucket that both classes share.
     """
-    known = members.filter("n > 2").join(labels.withColumnRenamed("node", "rid"), "rid", "left")
+    known = members.filter(f"n > 2 and n <= {CROWD}").join(labels.withColumnRenamed("node", "rid"), "rid", "left")
     known = stage(known.select("bucket", "rid", F.coalesce("label", "rid").alias("label")), "labelled")
     open_buckets = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = stage(known.join(open_buckets.filter("low <> high").select("bucket"), "bucket"), "mixed")
@@ -332,12 +379,15 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "class-rows",
     )
     banded = classes.select("rid", F.explode("bands").alias("bucket"))
-    buckets = stage(
-        banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rid").alias("pivot")).filter("n > 1"), "buckets"
-    )
-    members = stage(banded.join(buckets, "bucket"), "members")
+    members = bucket_members(banded)
     links = stage(verified(stage(star_pairs(members, classes, percent), "likely"), docs, percent), "links")
     labels = components(links)
+    crowded = crowds(members, labels, docs)
+    if not crowded.isEmpty():
+        more = reduce(DataFrame.unionByName, crowd_links(crowded, percent)).distinct()
+        added = stage(verified(stage(more, "likely"), docs, percent), "links")
+        links = stage(links.unionByName(added), "links")
+        labels = components(links)
     for best_only in (True, False):
         more = stage(cross_pairs(members, classes, labels, percent, best_only), "likely")
         if more.isEmpty():

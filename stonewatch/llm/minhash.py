@@ -6,7 +6,7 @@ value, and coordinate k of the signature is the smallest value found k places fu
 two permutations give all COORDINATES, and a shingle's values are one contiguous slice.
 
 Equal sets are one class, linked without further work. Classes that agree on all ROWS
-coordinates of one of BANDS bands share a bucket. Work within a bucket is never all pairs:
+coordinates of one of BANDS bands share a bucket. Work within a bucket of more than CROWD classes is never all pairs:
 
 1. every class is compared with the bucket's pivot, the class whose buckets hold most rows;
 2. links found so far give components; buckets that lie in one component are done;

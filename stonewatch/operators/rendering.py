@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stonewatch.config import DEFAULT, Config
+from stonewatch.functions.grouped import shuffled
 
 FLOOR = ["building_id", "floor"]
 
@@ -68,7 +69,7 @@ def floor_plans(
     walls: DataFrame, openings: DataFrame, sensors: DataFrame, config: Config = DEFAULT
 ) -> DataFrame:
     """The plan of every floor with walls: walls, then openings, then sensors, each by id."""
-    scales = plan_scale(walls, config)
+    scales = shuffled(plan_scale(walls, config))
 
     def at(c: str) -> Column:
         return (F.col(c) * F.col("scale") + config.svg_offset).cast("decimal(20,2)")

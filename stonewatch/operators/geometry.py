@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stonewatch.functions.exprs import segment_key
-from stonewatch.functions.grouped import cut_lineage
+from stonewatch.functions.grouped import cut_lineage, shuffled
 
 FLOOR = ["building_id", "floor"]
 
@@ -14,7 +14,8 @@ FLOOR = ["building_id", "floor"]
 def external_walls(walls: DataFrame, faces: DataFrame) -> DataFrame:
     """Walls with exactly one face."""
     single = faces.groupBy("wall_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1")
-    return walls.join(single.select(F.col("wall_id").alias("id")), "id", "left_semi").select(*walls.columns)
+    single = shuffled(single.select(F.col("wall_id").alias("id")))
+    return walls.join(single, "id", "left_semi").select(*walls.columns)
 
 
 def wall_ends(walls: DataFrame) -> DataFrame:
@@ -52,15 +53,15 @@ def floor_area(walls: DataFrame, faces: DataFrame) -> DataFrame:
         .select(*FLOOR, F.col("x").alias("_left"), F.lead("x").over(order).alias("_right"), F.row_number().over(order).alias("_i"))
     )
     reach = (
-        ends.join(slabs.select(*FLOOR, F.col("_left").alias("x"), "_i"), [*FLOOR, "x"])
+        ends.join(shuffled(slabs.select(*FLOOR, F.col("_left").alias("x"), "_i")), [*FLOOR, "x"])
         .groupBy("id")
         .agg(F.min("_i").alias("_from"), F.max("_i").alias("_to"))
         .filter("_from < _to")
     )
     crossing = (
-        outer.join(reach, "id")
+        outer.join(shuffled(reach), "id")
         .withColumn("_i", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)))
-        .join(slabs, [*FLOOR, "_i"])
+        .join(shuffled(slabs), [*FLOOR, "_i"])
     )
     x1, y1, x2, y2, left, right = (
         F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2", "_left", "_right")
@@ -73,7 +74,7 @@ def floor_area(walls: DataFrame, faces: DataFrame) -> DataFrame:
     areas = ranked.groupBy(*FLOOR).agg(F.sum(signed).cast("decimal(12,2)").alias("_area"))
     return (
         outlined_floors(outer)
-        .join(areas, FLOOR, "left")
+        .join(shuffled(areas), FLOOR, "left")
         .select(
             *FLOOR,
             F.when(F.col("reason").isNull(), F.coalesce("_area", F.lit(0))).alias("area"),
@@ -121,12 +122,12 @@ def containing_wall(openings: DataFrame, walls: DataFrame) -> DataFrame:
         ) * (F.col(px) - F.col("x1"))
 
     found = (
-        o.join(w, [*FLOOR, "_column"])
+        o.join(shuffled(w), [*FLOOR, "_column"])
         .filter(inside("x") & inside("y") & on_line("ox1", "oy1") & on_line("ox2", "oy2"))
         .groupBy("opening_id")
         .agg(F.min("wall_id").alias("wall_id"))
     )
-    return openings.select(F.col("id").alias("opening_id"), *FLOOR).join(found, "opening_id", "left")
+    return openings.select(F.col("id").alias("opening_id"), *FLOOR).join(shuffled(found), "opening_id", "left")
 
 
 def duplicate_segments(segments: DataFrame) -> DataFrame:
@@ -136,7 +137,7 @@ def duplicate_segments(segments: DataFrame) -> DataFrame:
         F.min("id").alias("duplicate_of"), F.count(F.lit(1)).alias("_n")
     )
     return (
-        keyed.join(first.filter("_n > 1").drop("_n"), [*FLOOR, "_key"])
+        keyed.join(shuffled(first.filter("_n > 1").drop("_n")), [*FLOOR, "_key"])
         .filter(F.col("id") > F.col("duplicate_of"))
         .select("id", *FLOOR, "duplicate_of")
     )
@@ -147,7 +148,7 @@ def shared_vertices(walls: DataFrame) -> DataFrame:
     ends = wall_ends(walls)
     common = ends.groupBy(*FLOOR, "x", "y").agg((F.min("id") != F.max("id")).alias("_common"))
     return (
-        ends.join(common, [*FLOOR, "x", "y"])
+        ends.join(shuffled(common), [*FLOOR, "x", "y"])
         .groupBy("id", *FLOOR)
         .agg(F.max("_common").alias("shares_vertex"))
     )

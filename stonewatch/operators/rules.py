@@ -17,10 +17,12 @@ from stonewatch.functions.grouped import (
     carried_previous,
     cut_lineage,
     greedy_accept,
+    looked_up,
     previous_max,
     reached,
     seq_chunk,
     settle,
+    shuffled,
     sliced,
 )
 from stonewatch.operators.geometry import FLOOR, containing_wall, wall_ends
@@ -51,8 +53,8 @@ def check_walls(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     old_floors = _known(existing, FLOOR, "_old")
     firsts = candidates.groupBy(*FLOOR).agg(F.min("seq").alias("_first"))
     rows = (
-        candidates.join(old_floors, FLOOR, "left")
-        .join(firsts, FLOOR, "left")
+        candidates.join(shuffled(old_floors), FLOOR, "left")
+        .join(shuffled(firsts), FLOOR, "left")
         .withColumn("_key", segment_key())
         .withColumn("_alone", F.col("_old").isNull() & F.coalesce(F.col("_first") == F.col("seq"), F.lit(True)))
     )
@@ -60,14 +62,14 @@ def check_walls(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     point = [*FLOOR, "x", "y"]
     ends = wall_ends(rows.withColumn("id", F.col("seq"))).select(*point, F.col("id").alias("seq")).distinct()
     old_ends = wall_ends(existing).select(*point).distinct()
-    touching = ends.join(old_ends, point, "left_semi").select("seq").distinct().withColumn("_touch", F.lit(True))
+    touching = ends.join(shuffled(old_ends), point, "left_semi").select("seq").distinct().withColumn("_touch", F.lit(True))
     linked = carried_previous(sliced(ends, point, ["seq"]), point, "seq", "_before").groupBy("seq").agg(
         F.min("_before").alias("a"), F.max("_before").alias("b")
     )
     nodes = (
         rows.select("seq", "_alone")
-        .join(touching, "seq", "left")
-        .join(linked, "seq", "left")
+        .join(shuffled(touching), "seq", "left")
+        .join(shuffled(linked), "seq", "left")
         .select(
             F.col("seq").alias("node"),
             (F.col("_alone") | F.coalesce("_touch", F.lit(False))).alias("seed"),
@@ -76,12 +78,12 @@ def check_walls(existing: DataFrame, candidates: DataFrame) -> DataFrame:
         )
     )
     found = reached(nodes).select(F.col("node").alias("seq"), F.col("reached").alias("_in"))
-    judged = cut_lineage(rows.join(found, "seq"))
+    judged = cut_lineage(rows.join(shuffled(found), "seq"))
     segment = [*FLOOR, "_key"]
     drawn = existing.select(*FLOOR, segment_key().alias("_key"), F.lit(-1).cast("long").alias("seq"))
     drawn = drawn.unionByName(judged.filter("_in").select(*segment, F.col("seq").cast("long")))
     same = drawn.groupBy(*segment).agg(F.min("seq").alias("_same"))
-    return judged.join(same, segment, "left").withColumn(
+    return judged.join(shuffled(same), segment, "left").withColumn(
         "reason",
         F.when(
             ~F.col("_alone"),
@@ -101,8 +103,8 @@ def check_faces(
     of_room = rooms.select(F.col("id").alias("room_id"), F.col("building_id").alias("_rb"), F.col("floor").alias("_rf"))
     held = existing.groupBy("wall_id").agg(F.count(F.lit(1)).alias("_held"))
     placed = (
-        candidates.join(of_wall, "wall_id", "left")
-        .join(of_room, "room_id", "left")
+        candidates.join(shuffled(of_wall), "wall_id", "left")
+        .join(shuffled(of_room), "room_id", "left")
         .withColumn(
             "_alone",
             first_reason(
@@ -117,13 +119,13 @@ def check_faces(
         .select("wall_id", "seq")
         .withColumn("_rank", rank)
         .filter(F.col("_rank") <= per_wall)
-        .join(held, "wall_id", "left")
+        .join(shuffled(held), "wall_id", "left")
         .filter(F.col("_rank") + F.coalesce("_held", F.lit(0)) <= per_wall)
         .select("seq", F.lit(True).alias("_in"))
     )
     full = F.when(F.col("_in").isNull(), F.lit("wall already has two faces"))
     return (
-        placed.join(admitted, "seq", "left")
+        placed.join(shuffled(admitted), "seq", "left")
         .withColumn("reason", F.coalesce("_alone", full))
         .select(*candidates.columns, "reason")
     )
@@ -135,9 +137,9 @@ def check_openings(existing: DataFrame, candidates: DataFrame, walls: DataFrame)
     key = [*FLOOR, "_key"]
     held = _known(existing.withColumn("_key", segment_key()), key, "_held")
     rows = (
-        candidates.join(on_wall, "id")
+        candidates.join(shuffled(on_wall), "id")
         .withColumn("_key", segment_key())
-        .join(held, key, "left")
+        .join(shuffled(held), key, "left")
         .withColumn(
             "_alone",
             first_reason(
@@ -149,7 +151,7 @@ def check_openings(existing: DataFrame, candidates: DataFrame, walls: DataFrame)
     first = _first_of(rows, key, F.col("_alone").isNull())
     again = F.when(_later(), F.lit("repeats an opening"))
     return (
-        rows.join(first, key, "left")
+        rows.join(shuffled(first), key, "left")
         .withColumn("reason", F.coalesce("_alone", again))
         .select(*candidates.columns, "reason")
     )
@@ -259,18 +261,19 @@ def check_interventions(
     """A job works on one room, face or wall, in the building of its project."""
     site = (
         jobs.select(F.col("id").alias("job_id"), "stage_id")
-        .join(stages.select(F.col("id").alias("stage_id"), "project_id"), "stage_id")
-        .join(projects.select(F.col("id").alias("project_id"), F.col("building_id").alias("_site")), "project_id")
+        .join(shuffled(stages.select(F.col("id").alias("stage_id"), "project_id")), "stage_id")
+        .join(
+            shuffled(projects.select(F.col("id").alias("project_id"), F.col("building_id").alias("_site"))), "project_id"
+        )
         .select("job_id", "_site")
     )
     of_wall = walls.select(F.col("id").alias("wall_id"), F.col("building_id").alias("_wb"))
     of_room = rooms.select(F.col("id").alias("room_id"), F.col("building_id").alias("_rb"))
     place = F.when(F.col("target") == "room", F.col("_rb")).otherwise(F.col("_wb"))
     rows = (
-        candidates.join(site, "job_id", "left")
-        .join(of_wall, "wall_id", "left")
-        .join(of_room, "room_id", "left")
-        .join(_known(existing, ["job_id"], "_held"), "job_id", "left")
+        looked_up(looked_up(candidates, of_wall, "wall_id"), of_room, "room_id")
+        .join(shuffled(site), "job_id", "left")
+        .join(shuffled(_known(existing, ["job_id"], "_held")), "job_id", "left")
         .withColumn(
             "_alone",
             first_reason(
@@ -282,7 +285,7 @@ def check_interventions(
     first = _first_of(rows, ["job_id"], F.col("_alone").isNull())
     again = F.when(_later(), F.lit("job already has an intervention"))
     return (
-        rows.join(first, "job_id", "left")
+        rows.join(shuffled(first), "job_id", "left")
         .withColumn("reason", F.coalesce(again, "_alone"))
         .select(*candidates.columns, "reason")
     )

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from stonewatch.llm.common import frugal, text_of
 from stonewatch.llm.token_counts import parts_of, slices
-from stonewatch.llm.transducer import file_of, pieces
+from stonewatch.llm.transducer import byte_letters, file_of, pieces
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -40,10 +40,16 @@ CLOSING_ID = 1
 HELD = 1024
 LOW_WATER = 256
 MAX_KNOWN = 300_000
+#: UTF-8 bytes of the letters below U+0240 are under this one; such letters, lower-cased, are in NFC.
+LATIN_END = 0xC9
 
 
 class WordIds:
-    """Ids of whole texts; the library is asked once for each distinct piece."""
+    """Ids of whole texts; the library is asked once for each distinct piece.
+
+    A run of Latin letters passes normaliser and splitter unchanged and whole, so it goes straight
+    to the library's model; all other pieces go through the whole library.
+    """
 
     def __init__(self, path: str):
         # one thread a task: Spark runs the tasks side by side
@@ -53,6 +59,8 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.model = self.library.model
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.known: dict[bytes, bytes] = {}  # ids of a piece as packed uint16
 
@@ -66,12 +74,24 @@ class WordIds:
         known = self.known
         if len(known) > MAX_KNOWN:
             known.clear()
-        new = [p for p in found if p not in known]
-        for i in range(0, len(new), 1000):
-            some = new[i : i + 1000]
-            encoded = self.library.encode_batch([p.decode() for p in some], add_special_tokens=False)
-            known.update((p, array("H", e.ids).tobytes()) for p, e in zip(some, encoded))
-        return [known[p] for p in found]
+        each = list(map(known.get, found))
+        missing = [i for i, ids in enumerate(each) if ids is None]
+        others = []
+        for i in missing:
+            piece = found[i]
+            text = piece.decode()
+            if text.isalpha() and max(piece) < LATIN_END:
+                if not text.isascii():
+                    text = piece.decode("latin-1").translate(self.letters)
+                each[i] = known[piece] = array("H", [t.id for t in self.model.tokenize(text)]).tobytes()
+            else:
+                others.append(i)
+        for i in range(0, len(others), 1000):
+            some = others[i : i + 1000]
+            encoded = self.library.encode_batch([found[k].decode() for k in some], add_special_tokens=False)
+            for k, e in zip(some, encoded):
+                each[k] = known[found[k]] = array("H", e.ids).tobytes()
+        return each
 
     def of_texts(self, texts: list[str]) -> list[np.ndarray]:
         """uint16 ids of each text with CLOSING_ID at the end."""

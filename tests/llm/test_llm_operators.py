@@ -439,6 +439,25 @@ def test_fill_is_closest_to_capacity():
         assert sum(x * k for x, k in chosen.items()) == brute_fill(items, room)
 
 
+def test_letter_pieces_go_straight_to_the_model():
+    from tokenizers import Tokenizer
+
+    texts = ["Tiré vonwher elle\u0301 été x1 don't", "ŉ ĿĿ İstanbul ẞ ǅ ſs µm ªº Ωmega σΣ \x1c\x1d\x85 kk\xa0"]
+    made = packing.WordIds(transducer.file_of(packing.TOKENIZER))
+    whole, asked = made.library, []
+
+    class Library:
+        def encode_batch(self, some, **options):
+            asked.extend(some)
+            return whole.encode_batch(some, **options)
+
+    made.library = Library()
+    found = [ids[:-1].tolist() for ids in made.of_texts(texts)]
+    library = Tokenizer.from_file(transducer.file_of(packing.TOKENIZER))
+    assert found == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked and not {"tiré", "vonwher", "elle\u0301", "ellé", "été"} & set(asked)
+
+
 def test_packing_round_trip(spark, odd, empty):
     from tokenizers import Tokenizer
 

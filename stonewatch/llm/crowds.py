@@ -1,146 +1,125 @@
-"""Similar sets within large groups, by differences from centres instead of all pairs.
-
-Two sets of sizes s and t whose symmetric difference has d elements reach the similarity p percent
-if and only if (100 + p) * d <= (100 - p) * (s + t). Seen from any centre, d is u + w - 2 * o: the sizes of
-both differences from the centre, less twice what the differences share. With the weight
-v = (100 + p) * u - (100 - p) * s of a member, two members are linked if and only if
-v + v' <= 2 * (100 + p) * o. One round over all groups at once:
-
-1. every member is replaced by its difference from its group's centre, itself a member;
-2. those whose weight and the smallest weight add up to 0 or less are linked with the member of
-   the smallest weight. That settles each pair whose weights alone suffice: both have that link;
-3. any other link shares elements of the differences, at least `need` of them. Elements are
-   ordered by how few members of the group have them; of a member's u elements, one of the first
-   u - need + 1 is then shared with the partner, so members meet by those elements only. What all
-   members have in common (their distance from the centre, say) comes last and joins nobody;
-4. members that share such an element are a group of the next round. Groups of up to SMALL members
-   are settled in one task; larger ones take a new centre and go on. The centre itself has
-   no difference, so groups get smaller until none is left. Equal groups go on once.
-
-No pair is dropped and no group is capped; a round holds rows in proportion to the members and the
-rare elements that they share. Elements are 64-bit hashes; callers confirm the links on whole sets.
+"""Similar sets within large groups, by blocks against blocks.
+
+The members of a group are dealt into blocks of about BLOCK members, or fewer when their sets are large
+(BLOCK_ELEMENTS elements together). Each two blocks meet in one task, and each block meets itself: a member is
+written once for each block of its group, so a group of one block is written once. In a task the
+sizes of all intersections are a product of two tables of members by elements, a few elements at a
+time; elements that one member alone has are left out. Of the pairs that reach the similarity only
+those that join members of different labels are given, one for each join.
+
+No pair is dropped and no group is capped. All pairs of a group are counted, BLOCK by BLOCK in
+bounded memory; rows and links grow with the members, times the blocks of their group. Elements are
+64-bit hashes; callers confirm the links on whole sets.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stonewatch.llm.common import frugal, stage
 
-SMALL = 32
+BLOCK = 1024
+BLOCK_ELEMENTS = 2**20
+#: Elements of a table of members by elements.
+COLUMNS = 2048
 
 
 def crowd_links(members: DataFrame, percent: int) -> list[DataFrame]:
     """Staged links (a, b), a < b, that join all members of a group which links within it join.
 
-    members (staged): g, rid, centre (rid of the group's centre), label (members of one label are
-    joined already), size and elements (distinct) of the set.
+    members (staged): g, rid, label (members of one label are joined already), size and elements
+    (distinct) of the set.
     """
-    found = []
-    while not members.isEmpty():
-        links, small, members = _round(members, percent)
-        found += [links, stage(_settled(small, percent), "crowd-links")]
-    return found
-
-
-def _round(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links by weight alone, members of small groups, and members of large ones (all staged)."""
-    plus, minus = 100 + percent, 100 - percent
-    centres = members.filter("rid = centre").select("g", F.col("elements").alias("middle"))
-    away = F.concat(F.array_except("elements", "middle"), F.array_except("middle", "elements"))
-    moved = members.join(centres, "g").select("g", "rid", "label", "size", away.alias("elements"))
-    weight = F.size("elements") * F.lit(plus).cast("long") - F.col("size") * minus
-    moved = stage(moved.withColumn("v", weight), "crowd-differences")
-    near = stage(moved.groupBy("g").agg(F.min(F.struct("v", "rid", "label")).alias("near")), "crowd-near")
-    judged = moved.join(near, "g").withColumn("inside", F.col("v") + F.col("near.v") <= 0)
-    links = judged.filter("inside and label <> near.label").select(
-        F.least("rid", "near.rid").alias("a"), F.greatest("rid", "near.rid").alias("b")
-    )
-    links = stage(links.distinct(), "crowd-links")
+    if members.isEmpty():
+        return []
+    return [stage(_settled(_dealt(members), percent), "crowd-links")]
 
-    smallest = judged.groupBy("g").agg(
-        F.min(F.when(~F.col("inside"), F.col("v"))).alias("outer"),
-        F.min(F.when(F.size("elements") > 0, F.col("v"))).alias("any"),
-    )
-    smallest = stage(smallest.filter("outer is not null"), "crowd-smallest")
-    partner = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("any"))
-    need = F.greatest(F.lit(1), F.ceil((F.col("v") + partner) / F.lit(2 * plus)))
-    open_rows = judged.join(smallest, "g").withColumn("first", F.size("elements") - need + 1).filter("first > 0")
-    shown = stage(
-        open_rows.select("g", "rid", "label", "inside", "first", F.explode("elements").alias("e")), "crowd-elements"
-    )
-    common = shown.groupBy("g", "e").agg(F.count("*").alias("n"))
-    ordered = (
-        shown.join(common, ["g", "e"])
-        .groupBy("g", "rid", "label", "inside", "first")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("all"))
-    )
-    prefix = F.slice("all", F.lit(1), F.col("first").cast("int"))
-    keyed = ordered.select("g", "rid", "label", "inside", F.explode(prefix).alias("key")).filter("key.n > 1")
-    met = stage(
-        keyed.select("g", "rid", "label", "inside", F.xxhash64("g", "key.e").alias("sub")), "crowd-met"
-    )
-    groups = (
-        met.groupBy("g", "sub")
-        .agg(
-            F.count("*").alias("n"),
-            F.bit_xor(F.xxhash64("rid")).alias("who"),
-            F.min_by("rid", F.xxhash64("rid", "sub")).alias("centre"),
-            F.bool_or(~F.col("inside")).alias("open"),
-            (F.min("label") < F.max("label")).alias("differ"),
-        )
-        .filter("n > 1 and open and differ")
-    )
-    groups = stage(
-        groups.groupBy("g", "n", "who").agg(F.min(F.struct("sub", "centre")).alias("one")).select(
-            "g", "n", "one.sub", "one.centre"
-        ),
-        "crowd-groups",
-    )
-    following = met.join(groups, ["g", "sub"]).join(moved.select("g", "rid", "size", "elements", "v"), ["g", "rid"])
-    following = stage(
-        following.select(F.col("sub").alias("g"), "rid", "centre", "label", "size", "elements", "v", "inside", "n"),
-        "crowd-next",
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """A row (low, high, block) of each member for each block that its own one meets, itself included."""
+    blocks = members.groupBy("g").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_ELEMENTS)).alias("blocks")
     )
-    return links, following.filter(F.col("n") <= SMALL), following.filter(F.col("n") > SMALL)
+    placed = members.join(stage(blocks, "crowd-blocks"), "g")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rid", F.lit(1)), "blocks"))
+    met = placed.withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return met.select(
+        "g", F.least("block", "met").alias("low"), F.greatest("block", "met").alias("high"),
+        "block", "rid", "label", "size", "elements",
+    )
 
 
-def _settled(small: DataFrame, percent: int) -> DataFrame:
-    """Links that join the members of groups of up to SMALL members."""
-    unit = 2 * (100 + percent)
-    one = F.struct("rid", "label", "v", "inside", "elements")
-    groups = small.groupBy("g").agg(F.collect_list(one).alias("rows")).select("rows")
+def _settled(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links that join the members of each two blocks."""
+    one = F.struct("block", "rid", "label", "size", "elements")
+    pairs = dealt.groupBy("g", "low", "high").agg(F.collect_list(one).alias("rows")).select("low", "high", "rows")
 
     @frugal
     def joined(batches):
         for batch in batches:
-            out = [link for rows in batch.column(0) for link in _joining(rows.as_py(), unit)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"]
-            )
-
-    return groups.mapInArrow(joined, "a long, b long").distinct()
-
-
-def _joining(rows: list[dict], unit: int) -> list[tuple[int, int]]:
-    """Links between members, as many as join them; members inside are joined already."""
-    label = [-1 if r["inside"] else r["label"] for r in rows]
-    by_label = {}
-    for r, at in zip(rows, label):  # an inside member's own label is joined with the inside
-        if at == -1:
-            by_label[r["label"]] = -1
-    label = [by_label.get(at, at) for at in label]
-    sets = [set(r["elements"]) for r in rows]
-    links = []
-    for i, x in enumerate(rows):
-        for j in range(i):
-            if label[i] == label[j]:
-                continue
-            weights = x["v"] + rows[j]["v"]
-            if weights <= unit * min(len(sets[i]), len(sets[j])) and weights <= unit * len(sets[i] & sets[j]):
-                links.append((min(x["rid"], rows[j]["rid"]), max(x["rid"], rows[j]["rid"])))
-                old, new = label[i], label[j]
-                label = [new if at == old else at for at in label]
-    return links
+            for low, high, rows in zip(*batch.columns):
+                rows, low, high = rows.values, low.as_py(), high.as_py()
+                blocks, ids, labels, sizes = (
+                    rows.field(c).to_numpy() for c in ("block", "rid", "label", "size")
+                )
+                sets = rows.field("elements")
+                a, b = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
+                shared = _shared(sets.take(pa.array(a)), sets.take(pa.array(b)))
+                linked = (shared > 0) & ((100 + percent) * shared >= percent * (sizes[a][:, None] + sizes[b]))
+                i, j = _joining(linked, labels[a], labels[b])
+                x, y = ids[a[i]], ids[b[j]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], ["a", "b"]
+                )
+
+    return pairs.mapInArrow(joined, "a long, b long").distinct()
+
+
+def _shared(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set."""
+    owners = [np.repeat(np.arange(len(s)), s.value_lengths().to_numpy()) for s in (left, right)]
+    values = [s.flatten().to_numpy() for s in (left, right)]
+    both = np.intersect1d(np.unique(values[0]), np.unique(values[1]), assume_unique=True)
+    counts = np.zeros((len(left), len(right)), np.int64)
+    places = []
+    for owner, value in zip(owners, values):
+        at = np.searchsorted(both, value)
+        known = at < len(both)
+        known[known] = both[at[known]] == value[known]
+        at, owner = at[known], owner[known]
+        order = np.argsort(at, kind="stable")
+        places.append((at[order], owner[order]))
+    for start in range(0, len(both), COLUMNS):
+        tables = []
+        for (at, owner), n in zip(places, counts.shape):
+            a, b = np.searchsorted(at, (start, start + COLUMNS))
+            table = np.zeros((n, COLUMNS), np.float32)
+            table[owner[a:b], at[a:b] - start] = 1
+            tables.append(table)
+        counts += (tables[0] @ tables[1].T).astype(np.int64)
+    return counts
+
+
+def _joining(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the linked pairs, as many as join the labels that they join."""
+    names, codes = np.unique(np.concatenate((left, right)), return_inverse=True)
+    i, j = np.nonzero(linked & (left[:, None] != right))
+    x, y = codes[: len(left)][i], codes[len(left) :][j]
+    pair = np.full((len(names), len(names)), -1, np.int64)
+    pair[x, y] = pair[y, x] = np.arange(len(i))
+    left_over, chosen = np.ones(len(names), bool), []
+    for root in range(len(names)):
+        if not left_over[root]:
+            continue
+        left_over[root], reached = False, [root]
+        while reached:
+            at = reached.pop()
+            new = np.flatnonzero(left_over & (pair[at] >= 0))
+            left_over[new] = False
+            chosen.append(pair[at, new])
+            reached.extend(new.tolist())
+    chosen = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+    return i[chosen], j[chosen]

@@ -102,3 +102,21 @@ def test_rows_of_all_rounds_grow_with_the_group(spark, monkeypatch):
 
 def test_no_rows(spark):
     assert crowds.crowd_links(stage(spark.createDataFrame([], MEMBERS), "test-members"), 80) == []
+
+
+def test_members_are_dealt_once_for_each_block(spark, monkeypatch):
+    dealt, plain = [], crowds._dealt
+    monkeypatch.setattr(crowds, "_dealt", lambda members: dealt.append(plain(members)) or dealt[-1])
+    got, want, links = settle(spark, [near_copies(1000, 3, 1000), near_copies(90, 4, 7)], 80)
+    assert got == want
+    assert dealt[0].count() == 1090 and len(links) < 1090
+
+
+def test_blocks_meet_each_other(spark, monkeypatch):
+    monkeypatch.setattr(crowds, "BLOCK_ELEMENTS", 1500)
+    monkeypatch.setattr(crowds, "COLUMNS", 64)
+    rng = random.Random(9)
+    mixed = near_copies(70, 3, 11) + near_copies(60, 4, 12) + near_copies(9, 0, 13)
+    rng.shuffle(mixed)
+    got, want, _ = settle(spark, [mixed, near_copies(80, 5, 14)], 80)
+    assert got == want

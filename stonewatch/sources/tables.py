@@ -280,6 +280,18 @@ def _write_parts(readings: DataFrame, root: str, sensors: DataFrame, mode: str)
         made.hint("rebalance", "day").write.partitionBy("day").mode(mode).parquet(f"{root}/{name}")
 
 
+def _stored_parts(spark: SparkSession, root: str, name: str, made: DataFrame) -> DataFrame:
+    """Stored partial results with the columns of `made`.
+
+    Before a reading of their kinds of sensors comes, the folder has no file to read the columns from.
+    """
+    path = f"{root}/{name}"
+    files, at = _files(spark, path)
+    if files.exists(at) and not any(x.isDirectory() for x in files.listStatus(at)):
+        return made.limit(0)
+    return spark.read.parquet(path)
+
+
 def rebuild_parts(spark: SparkSession, root: str, sensors: DataFrame) -> None:
     """Compute the partial results of all stored readings anew."""
     _write_parts(read_table(spark, root, "measurement"), root, sensors, "overwrite")
@@ -302,8 +314,9 @@ def stored_health(
     each = wanted.withColumn("_w", F.explode(F.array(*spans))).select("sensor_id", "_w.*")
     backs = [back for name in ("new", "old") for back in getattr(config.advice_periods, name)]
     near = F.col("day").between(days_before(day, max(backs)), days_before(day, min(backs)))
-    sums, bins = (spark.read.parquet(f"{root}/{name}").filter(near) for name in (SUMS, BINS))
     parts = day_parts(with_kind(read_table(spark, root, "measurement").filter(near), sensors))
+    sums = _stored_parts(spark, root, SUMS, part_sums(parts)).filter(near)
+    bins = _stored_parts(spark, root, BINS, part_bins(parts)).filter(near)
     readings = merged_readings(parts, sums, bins, each, ["sensor_id", "period"])
     judged = wanted.join(each.select("sensor_id", "period"), "sensor_id").join(readings, ["sensor_id", "period"], "left")
     return health_pairs(judged.withColumn("health", health("kind", "reading", "threshold")))

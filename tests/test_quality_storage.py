@@ -307,3 +307,23 @@ def test_health_from_parts_of_days(spark, make, tmp_path):
     store.rebuild_parts(spark, root, side)
     again = store.stored_health(spark, root, side, "2023-02-01")
     assert values(again, "sensor_id", "health_now") == values(op.health_table(everything, side, "2023-02-01"), "sensor_id", "health_now")
+
+
+@pytest.mark.parametrize("kinds", [["Termometro", "Fessurimetro"], ["Accelerometro", "Giroscopio"], []])
+def test_health_from_parts_without_readings_of_a_kind(spark, make, tmp_path, kinds):
+    """Only some kinds of sensor have readings, or none has: health equals that of all readings."""
+    from stonewatch.operators import sensors as op
+
+    root, every = str(tmp_path), ["Termometro", "Fessurimetro", "Accelerometro", "Giroscopio"]
+    side = make(SENSOR, [sensor(i, kind, threshold=2) for i, kind in enumerate(every, 1)])
+    rows = [
+        (1 + every.index(kind), dt.datetime(2023, 1, 1) + dt.timedelta(hours=h), 1 + h % 7, 2, 3)
+        for kind in kinds
+        for h in range(24 * 31)
+    ]
+    store.append_with_parts(spark, root, make(READING, rows), side)
+    everything = store.read_table(spark, root, "measurement")
+    want = values(op.health_table(everything, side, "2023-02-01"), "sensor_id", "health_now", "health_before")
+    got = store.stored_health(spark, root, side, "2023-02-01")
+    assert values(got, "sensor_id", "health_now", "health_before") == want
+    assert len({w[0] for w in want if w[1] is not None}) == len(kinds)
